@@ -15,6 +15,7 @@ before anything is shuffled.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,9 @@ from tidewell.sources import shared
 
 KEY = ["entity", "tbl", "pk"]
 SEQUENCE = ["file_no", "pos", "row_no"]
-PUT, TOMBSTONE, SET = "put", "tombstone", "set"
+PUT, TOMBSTONE = "put", "tombstone"
+#: The most changes in a run that apply_feed takes in, and the changes that it reckons with for a bucket.
+RUN_CHANGES, BUCKET_CHANGES = 20_000_000, 1_000_000
 
 
 def file_number(binlog_file: Column) -> Column:
@@ -33,61 +36,72 @@ def file_number(binlog_file: Column) -> Column:
     return F.regexp_extract(binlog_file, r"(\d+)\s*$", 1).try_cast("bigint")
 
 
-def cells(feed: DataFrame, *carry: str) -> DataFrame:
-    """Markers and column cells of each change, with the columns named in carry.
+def changes(feed: DataFrame, *carry: str) -> DataFrame:
+    """The changes that count, as one narrow row each: KEY, was, SEQUENCE, op, row_columns, row_values and the columns in carry.
 
-    Changes with a null or blank pk and those of unknown kind give none. An update
-    whose pk_before is another key (by NFC) is a tombstone of the one and a put of
-    the other. A column listed twice in one change counts as last listed; a null
-    column name is left out; missing values are null.
+    Keys are in NFC. Left out are changes with a null or blank pk and those of unknown
+    kind. was is the key that an update has moved away from, else null.
     """
     op = F.upper(strip(F.col("op_type")))
     f = feed.select(
         *carry, "entity", "tbl", "row_columns", "row_values", op.alias("op"), F.col("pk").alias("raw_pk"),
-        nfc(F.col("pk")).alias("pk"), nfc(F.when(op == "UPDATE", F.col("pk_before"))).alias("was"),
+        nfc(F.col("pk")).alias("pk"), nfc(F.when(op == "UPDATE", F.col("pk_before"))).alias("before"),
         file_number(F.col("binlog_file")).alias("file_no"), F.col("binlog_pos").cast("bigint").alias("pos"), F.col("row_no").cast("int").alias("row_no"),
     ).filter(~blank(F.col("raw_pk")) & F.col("op").isin("INSERT", "UPDATE", "DELETE"))
-    moved = ~blank(F.col("was")) & (F.col("was") != F.col("pk"))
-    f = f.withColumn("moved", F.coalesce(moved, F.lit(False)))
+    was = F.when(~blank(F.col("before")) & (F.col("before") != F.col("pk")), F.col("before"))
+    listed = F.col("op") != "DELETE"
+    return f.select(*carry, *KEY, was.alias("was"), *SEQUENCE, F.substring("op", 1, 1).alias("op"), F.when(listed, F.col("row_columns")).alias("row_columns"), F.when(listed, F.col("row_values")).alias("row_values"))
 
-    def cell(pk: Column, col: Column, ord_: Column, kind: str, value: Column) -> Column:
-        return F.struct(pk.alias("pk"), col.alias("col"), ord_.alias("ord"), F.lit(kind).alias("kind"), value.alias("value"))
 
-    none, zero = F.lit(None).cast("string"), F.lit(0)
-    whole = (F.col("op") == "INSERT") | F.col("moved")
+def by_key(changes_: DataFrame) -> DataFrame:
+    """A change that moves a row becomes two: a DELETE of the key it leaves and an INSERT of its new key."""
+    moved = F.col("was").isNotNull()
+    part = lambda pk, op, c, v: F.struct(pk.alias("pk"), op.alias("op"), c.alias("row_columns"), v.alias("row_values"))
+    none = F.lit(None).cast("array<string>")
+    here = part(F.col("pk"), F.when(moved, F.lit("I")).otherwise(F.col("op")), F.col("row_columns"), F.col("row_values"))
+    away = part(F.col("was"), F.lit("D"), none, none)
+    rest = [c for c in changes_.columns if c not in ("pk", "was", "op", "row_columns", "row_values")]
+    return changes_.select(*rest, F.inline(F.when(moved, F.array(here, away)).otherwise(F.array(here))))
+
+
+def cells(by_key_: DataFrame, *carry: str) -> DataFrame:
+    """KEY, col, SEQUENCE, value and the columns in carry: the marker (col is null, value is PUT or TOMBSTONE) and column cells of each change.
+
+    A null column name is left out, a missing value is null, and of a column that one
+    change lists twice the greater value counts.
+    """
+    cell = lambda col, value: F.struct(col.alias("col"), value.alias("value"))
+    marker = cell(F.lit(None).cast("string"), F.when(F.col("op") == "I", F.lit(PUT)).otherwise(F.lit(TOMBSTONE)))
     values = F.col("row_values")
-    listed = F.when(
-        F.col("op") != "DELETE",
-        F.filter(F.transform(F.col("row_columns"), lambda name, i: cell(F.col("pk"), name, i, SET, F.get(values, i))), lambda c: c["col"].isNotNull()),
-    )
-    no_cells = F.array().cast("array<struct<pk:string,col:string,ord:int,kind:string,value:string>>")
-    parts = F.concat(
-        F.when(whole, F.array(cell(F.col("pk"), none, zero, PUT, none))).otherwise(no_cells),
-        F.when(F.col("op") == "DELETE", F.array(cell(F.col("pk"), none, zero, TOMBSTONE, none))).otherwise(no_cells),
-        F.when(F.col("moved"), F.array(cell(F.col("was"), none, zero, TOMBSTONE, none))).otherwise(no_cells),
-        F.coalesce(listed, no_cells),
-    )
-    return f.select(*carry, "entity", "tbl", *SEQUENCE, F.inline(parts))
-
-
-def newest(df: DataFrame, *within: str) -> DataFrame:
-    """The newest cell of each (key, column); a marker has a null column. The leading hash makes the sort compare one long."""
+    listed = F.filter(F.transform("row_columns", lambda name, i: cell(name, F.get(values, i))), lambda c: c["col"].isNotNull())
+    none = F.array().cast("array<struct<col:string,value:string>>")
+    every = F.when(F.col("op") == "U", F.coalesce(listed, none)).otherwise(F.concat(F.array(marker), F.coalesce(listed, none)))
+    return by_key_.select(*carry, *KEY, *SEQUENCE, F.inline(every))
+
+
+def newest(cells_: DataFrame, *within: str) -> DataFrame:
+    """The newest cell of each (key, column). The leading hash makes the sort compare one long."""
     by = [*within, *KEY, "col"]
-    newest_ = F.max(F.struct(*SEQUENCE, "ord", "kind", "value")).alias("c")
-    return df.groupBy(F.xxhash64(*by).alias("_h"), *by).agg(newest_).select(*by, "c.*")
+    top = F.max(F.struct(*SEQUENCE, "value")).alias("c")
+    return cells_.groupBy(F.xxhash64(*KEY, "col").alias("_h"), *by).agg(top).select(*by, "c.*")
+
+
+def fold_keys(newest_cells: DataFrame) -> DataFrame:
+    """One row a key: base (the newest marker, null if there is none) and the cells, as wide as the table."""
+    marker = F.when(F.col("col").isNull(), F.struct(*SEQUENCE, F.col("value").alias("kind")))
+    cell = F.when(F.col("col").isNotNull(), F.struct("col", F.struct(*SEQUENCE).alias("seq"), "value"))
+    return newest_cells.groupBy(F.xxhash64(*KEY).alias("_h"), *KEY).agg(F.max(marker).alias("base"), F.collect_list(cell).alias("cells"))
+
+
+def _base() -> Column:
+    return F.struct(*[F.col(f"base.{k}").alias(k) for k in SEQUENCE])
 
 
 def live_rows(newest_cells: DataFrame) -> DataFrame:
     """entity, tbl, pk and cells (an array of col, value in the order of col) of the rows that exist."""
-    seq = F.struct(*SEQUENCE)
-    folded = newest_cells.groupBy(F.xxhash64(*KEY).alias("_h"), *KEY).agg(
-        F.max(F.when(F.col("col").isNull(), F.struct(*SEQUENCE, "kind"))).alias("base"),
-        F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", seq.alias("seq"), "value"))).alias("cells"),
-    )
-    base = F.struct(*[F.col(f"base.{k}").alias(k) for k in SEQUENCE])
-    held = F.filter("cells", lambda c: c["seq"] >= base)
+    held = F.filter("cells", lambda c: c["seq"] >= _base())
     kept = F.transform(held, lambda c: F.struct(c["col"].alias("col"), c["value"].alias("value")))
-    return folded.filter(F.col("base.kind") == PUT).select(*KEY, F.array_sort(kept).alias("cells"))
+    return fold_keys(newest_cells).filter(F.col("base.kind") == PUT).select(*KEY, F.array_sort(kept).alias("cells"))
 
 
 def row_md5(cells_: Column) -> Column:
@@ -111,7 +125,7 @@ class ChangeStore:
         self.buckets = buckets
         self.name = f"tidewell_runs_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (entity STRING, tbl STRING, pk STRING, col STRING, file_no BIGINT, pos BIGINT, row_no INT, ord INT, kind STRING, value STRING, run INT) "
+            f"CREATE TABLE {self.name} (entity STRING, tbl STRING, pk STRING, col STRING, file_no BIGINT, pos BIGINT, row_no INT, value STRING, run INT) "
             f"USING parquet PARTITIONED BY (run) CLUSTERED BY (entity, tbl, pk) SORTED BY (entity, tbl, pk, col, file_no, pos, row_no) INTO {buckets} BUCKETS LOCATION '{self.path}/data'"
         )
         if versions:
@@ -132,23 +146,32 @@ class ChangeStore:
         versions = self._versions()
         return shared.read_json(self.spark, f"{self.path}/log/{versions[-1]}")["last"] if versions else -1
 
-    def _write(self, newest_cells: DataFrame, run: Column) -> None:
-        rows = newest_cells.select(*KEY, "col", *SEQUENCE, "ord", "kind", "value", run.cast("int").alias("run"))
-        rows.repartition(self.buckets, *KEY).write.insertInto(self.name)
+    def _bucket(self) -> Column:
+        """The bucket that the table's writer will choose: a task that holds whole buckets writes one file for each."""
+        return F.pmod(F.hash(*KEY), F.lit(self.buckets))
+
+    def _write(self, cells_: DataFrame) -> None:
+        cells_.select(*KEY, "col", *SEQUENCE, "value", F.col("run").cast("int")).write.insertInto(self.name)
 
     def append(self, feed: DataFrame, runs: int = 1, arrival: str | None = None) -> list[int]:
-        """Adds the changes of feed as so many sorted runs, cut by ranges of the arrival column; an empty feed adds none."""
+        """Adds the changes of feed as so many sorted runs, cut by ranges of the arrival column.
+
+        Narrow changes are shuffled once, by run and bucket; a run is bounded, and so is
+        what a hot key can bring into one task. There each (key, column) is folded to its
+        newest cell, and the run is written sorted.
+        """
         first = self._last() + 1
         low = high = None
         if runs > 1 and arrival:
             low, high = feed.agg(F.min(arrival), F.max(arrival)).first()
         if low is None:
-            part = cells(feed).withColumn("slice", F.lit(0))
-            runs = 1
+            runs, cut = 1, F.lit(0)
         else:
-            cut = F.floor((F.col(arrival) - F.lit(low)) * F.lit(runs) / F.lit(high - low + 1)).cast("int")
-            part = cells(feed.withColumn("slice", F.coalesce(cut, F.lit(0))), "slice")
-        self._write(newest(part, "slice"), F.col("slice") + F.lit(first))
+            cut = F.coalesce(F.floor((F.col(arrival) - F.lit(low)) * F.lit(runs) / F.lit(high - low + 1)).cast("int"), F.lit(0))
+        rows = by_key(changes(feed.withColumn("run", cut + F.lit(first)), "run")).withColumn("bucket", self._bucket())
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(runs * self.buckets, 4 * self.buckets))
+        placed = rows.repartition(parts, "run", "bucket")
+        self._write(newest(cells(placed, "run", "bucket"), "run", "bucket"))
         added = list(range(first, first + runs))
         self._commit([*self.runs(), *added], added[-1])
         return added
@@ -169,18 +192,15 @@ class ChangeStore:
         than those merged can still arrive.
         """
         run = self._last() + 1
-        by = self.merged()
-        seq = F.struct(*SEQUENCE)
-        packed = by.groupBy(*KEY).agg(
-            F.max(F.when(F.col("col").isNull(), F.struct(*SEQUENCE, "kind"))).alias("base"),
-            F.collect_list(F.struct(seq.alias("seq"), F.struct("col", *SEQUENCE, "ord", "kind", "value").alias("cell"))).alias("all"),
-        )
-        base = F.struct(*[F.col(f"base.{k}").alias(k) for k in SEQUENCE])
-        kept = F.filter("all", lambda c: F.col("base").isNull() | (c["seq"] >= base))
+        folded = fold_keys(self.merged())
         if drop_tombstones:
-            packed = packed.filter(F.col("base").isNull() | (F.col("base.kind") != TOMBSTONE))
-        flat = packed.select(*KEY, F.inline(F.transform(kept, lambda c: c["cell"])))
-        self._write(flat, F.lit(run))
+            folded = folded.filter(F.col("base").isNull() | (F.col("base.kind") != TOMBSTONE))
+        seq = [F.col(f"base.{k}").alias(k) for k in SEQUENCE]
+        marker = F.when(F.col("base").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("col"), F.struct(*seq).alias("seq"), F.col("base.kind").alias("value"))))
+        none = F.array().cast(folded.schema["cells"].dataType)
+        kept = F.filter("cells", lambda c: F.col("base").isNull() | (c["seq"] >= _base()))
+        flat = folded.select(*KEY, F.inline(F.concat(F.coalesce(marker, none), kept)))
+        self._write(flat.select(*KEY, "col", "seq.*", "value", F.lit(run).alias("run")))
         self._commit([run], run)
         return run
 
@@ -192,10 +212,15 @@ class ChangeStore:
         return True
 
 
-def apply_feed(feed: DataFrame, runs: int = 4, arrival: str | None = "delivery_id", buckets: int | None = None) -> DataFrame:
-    """Current rows of a whole feed through a store in the shared folder: entity, tbl, pk, cells."""
+def apply_feed(feed: DataFrame, arrival: str = "delivery_id", least_runs: int = 4) -> DataFrame:
+    """Current rows of a whole feed through a store in the shared folder: entity, tbl, pk, cells.
+
+    The feed is taken in by runs of at most RUN_CHANGES changes in the order of arrival.
+    """
     spark = feed.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    store = ChangeStore(spark, shared.scratch_path(spark, "changes"), n)
+    n = feed.count()
+    runs = max(least_runs, math.ceil(n / RUN_CHANGES))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / BUCKET_CHANGES))
+    store = ChangeStore(spark, shared.scratch_path(spark, "changes"), buckets)
     store.append(feed, runs, arrival)
     return store.read()
