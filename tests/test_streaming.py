@@ -1,0 +1,128 @@
+import datetime
+import json
+
+import pytest
+from brute import current_rows
+from pyspark.sql import functions as F
+from test_changelog import COLUMNS, change, feed_of, found, random_changes
+
+from tidewell.errors import SpecError
+from tidewell.operators import maintenance
+from tidewell.sources import readers
+from tidewell.spec import Filter, FilterGroup, InsertOp, Join, JoinOn, ReadOp
+from tidewell.streaming import replica, subscriptions
+
+
+def land(spark, folder, changes):
+    feed_of(spark, changes).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_replica_follows_a_log_through_restarts_and_replays(spark, tmp_path):
+    changes = random_changes(120, 9)
+    log, home = tmp_path / "log", str(tmp_path / "home")
+    land(spark, log, changes[:50])
+    first = replica.Replica(spark, home, 2, most_runs=2)
+    first.start(readers.change_stream(spark, str(log), files_per_trigger=1), once=True).awaitTermination()
+    land(spark, log, changes[40:90])
+    land(spark, log, changes[90:])
+    again = replica.Replica(spark, home, 2, most_runs=2)
+    again.start(readers.change_stream(spark, str(log), files_per_trigger=1), once=True).awaitTermination()
+    assert found(again.rows()) == current_rows(changes)
+    assert len(again.store.runs()) <= 2
+    # a batch that is delivered again is left alone
+    runs = again.store.runs()
+    again.take(feed_of(spark, changes[:10]), 0)
+    assert again.store.runs() == runs
+    tip = again.position()
+    assert again.caught_up(tip) and not again.caught_up((tip[0], tip[1] + 1))
+    assert spark.read.parquet(f"{home}/rejects").count() > 0
+    again.reset()
+    assert again.rows().count() == 0 and again.position() is None
+
+
+def test_snapshot_then_changes_and_typed_tables(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a", 1.5), (2, "b", None)], "id long, s string, n double")
+    r = replica.Replica(spark, str(tmp_path / "r"), 2)
+    r.take(replica.snapshot_changes(base, "e", "t", ["id"], "bin.5", 100), 0)
+    r.take(feed_of(spark, [change(1, "UPDATE", "1", {"s": "old"}, file="bin.5", pos=99), change(2, "UPDATE", "2", {"n": "7", "s": ""}, file="bin.5", pos=101), change(3, "INSERT", "x\x1fy", {"s": "k"}, file="bin.6", pos=1, tbl="pair")]), 1)
+    t = r.table("e", "t", {"s": "string", "n": "double"}, {"id": "bigint"})
+    assert {tuple(x) for x in t.collect()} == {(1, "a", 1.5), (2, None, 7.0)}
+    assert [tuple(x) for x in r.table("e", "pair", {"s": "string"}, {"a": "string", "b": "string"}).collect()] == [("x", "y", "k")]
+
+
+def test_subscriptions_in_batch_and_stream(spark, tmp_path):
+    changes = [change(1, "INSERT", "1", {"Estado": "A", "n": "5"}), change(2, "UPDATE", "1", {"n": "50"}), change(3, "DELETE", "1", {"Estado": "A"}), change(4, "DELETE", "2"), change(5, "INSERT", "3", {"estado": "I"}), change(6, "INSERT", "4", {"Estado": "A"}, tbl="other"), change(7, "INSERT", "5", {"x": "1"}, tbl="J")]
+    op = ReadOp("T", "", "E", "b", joins=(Join("j", (JoinOn("b.k", "j.k"),), "Left"),), filters=(Filter("b.ESTADO", "Eq", "$s"),))
+    got = lambda o, df: {r["delivery_id"] for r in subscriptions.subscribe(df, o, {"s": "A"}).collect()}
+    df = feed_of(spark, changes)
+    assert got(op, df) == {1, 3, 4}
+    tree = ReadOp("t", "", "e", filter_tree=FilterGroup("Or", (Filter("n", "Gt", "10"), Filter("estado", "IsNull"))))
+    assert got(tree, df) == {2, 4}
+    either = ReadOp("t", "", "e", filters=(Filter("n", "Gt", "10"), Filter("estado", "Eq", "I")), filters_op="Or")
+    assert got(either, df) == {2, 4, 5}
+    land(spark, tmp_path / "log", changes)
+    stream = subscriptions.subscribe(readers.change_stream(spark, str(tmp_path / "log")), op, {"s": "A"})
+    q = stream.writeStream.format("memory").queryName("notes").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r["delivery_id"] for r in spark.table("notes").collect()} == {1, 3, 4}
+
+
+def test_hourly_counts_on_a_stream(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 10, 59)
+    spark.createDataFrame([(at, "a"), (at, "a"), (at + datetime.timedelta(minutes=2), "a"), (at + datetime.timedelta(days=1), "b")], "ts timestamp, event_type string").write.parquet(str(tmp_path / "e"))
+    src = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "e"))
+    q = subscriptions.hourly_counts(src, late="1 hour").writeStream.outputMode("update").format("memory").queryName("hours").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["bucket"].hour, r["event_type"], r["n"]) for r in spark.table("hours").collect()} == {(10, "a", 2), (11, "a", 1), (10, "b", 1)}
+
+
+def test_worker_state(spark):
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:59' AS a, timestamp'2024-01-01 00:01:00' AS b, CAST(NULL AS timestamp) AS c, timestamp'2024-01-01 00:02:00' AS now")
+    assert [r for r in df.select(*[replica.worker_state(F.col(c), F.col("now")) for c in "abc"]).first()] == ["lagging", "lagging", "unknown"]
+
+
+def test_scope(spark):
+    df = feed_of(spark, [change(i, "INSERT", "1", {}, entity=e, tbl=t) for i, (e, t) in enumerate([("e", "t"), ("E", "T"), ("e", "u"), ("mysql", "user"), ("f", "t")])])
+    got = lambda **kw: {r["delivery_id"] for r in readers.in_scope(df, **kw).collect()}
+    assert got() == {0, 1, 2, 4} and got(tables=[("E", "t")]) == {0, 1} and got(schemas=["E"]) == {0, 1, 2} and got(schemas=[]) == set()
+    assert got(tables=[("e", "t"), ("e", "u")], used=[("e", "u")]) == {2} and got(tables=[("e", "t")], used=[("f", "t")]) == {4}
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "j.jsonl").write_text('{"a": 1, "b": true, "d": "2024-05-06T07:08:09", "x": {"y": [1]}}\n{"b": null, "a": 2}\nbroken\n')
+    rows = readers.json_lines(spark, str(tmp_path / "j.jsonl"), "a int, b string, d string, x string", ["d"]).orderBy("a").collect()
+    assert tuple(rows[0]) == (1, "true", "2024-05-06T07:08:09", '{"y": [1]}', "2024-05-06", "2024-05", "07:00-07:59") and tuple(rows[1])[1:] == (None,) * 6
+    op = InsertOp("i", "e", "t", ("id", "v"))
+    c = readers.insert_change(op, {"id": 7, "k": None, "v": 1.5}, ["id", "k"], ("bin.1", 4, 0))
+    assert c["pk"] == "7\x1f" and c["row_columns"] == ["v"] and c["row_values"] == ["1.5"]
+    with pytest.raises(SpecError):
+        readers.insert_change(op, {"v": 1}, ["id"], ("bin.1", 4, 0))
+    df = spark.createDataFrame([("2", "1700000000", ["@1", "b", "@9"]), ("9", "5", []), (None, None, None)], "e string, t string, c array<string>")
+    out = [tuple(r) for r in readers.decode_columns(df, {"e": ["x", "y"]}, ["t"]).select("e", "t", readers.named_columns(F.col("c"), ["id", "b"])).collect()]
+    assert out == [("y", "2023-11-14 22:13:20", ["id", "b", "@9"]), ("9", "5", []), (None, None, None)]
+
+
+def test_drift_and_repair(spark):
+    a, b = spark.range(20), spark.range(5)
+    out = maintenance.count_drift({"s.t": a, "s.u": b, "x.only": b}, {"s.t": b, "s.u": b})
+    assert [tuple(r) for r in out.collect()] == [("s.t", 20, 5, 15, False), ("s.u", 5, 5, 0, True), ("x.only", 5, None, None, False)]
+    assert {r["tbl"] for r in maintenance.to_repair(out).collect()} == {"s.t", "x.only"}
+    assert [r["tbl"] for r in maintenance.count_drift({"s.t": a, "s.u": b}, {}, ["u"]).collect()] == ["s.u"]
+    m = maintenance.matches_table_filter
+    assert m("db_beparking_prod.BpCliente", "bpcliente") and m("db_beparking_prod.BpCliente", "beparking.BpCliente") and m("db_attendant_prod.pagos", "attendant/pagos") and m("a.b", " ")
+    assert not m("a.b", "a") and not m("a.b", "c.b") and m("a.b", ".b")
+
+
+def test_snapshots(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id % 500 AS id", "id AS seq")
+    win, lose = maintenance.reconcile(df, ["id"], ["seq"])
+    assert win.count() == 500 == lose.count() and win.agg(F.min("seq")).first()[0] == 500
+    assert maintenance.latest_per_key(df, ["id"], ["seq"]).agg(F.sum("seq")).first()[0] == sum(range(500, 1000))
+    for _ in range(2):
+        maintenance.rewrite_snapshot(spark, win, str(tmp_path / "s"), ["id"], 100)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 500
+    assert maintenance.needs_compaction(20, 1000) and not maintenance.needs_compaction(3, 10) and not maintenance.needs_compaction(4, 100_000)
+
+
+def test_columns_of_the_log():
+    assert COLUMNS[:3] == ["delivery_id", "entity", "tbl"] and json.dumps(COLUMNS)

@@ -103,5 +103,114 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p6_found)}
 
 
+#: In SQL: the number at the end of a log file's name, and a text without outer blanks.
+_FILE = "CAST(regexp_extract(binlog_file, '([0-9]+)$', 1) AS BIGINT)"
+
+_FEED = f"""
+WITH e AS (
+  SELECT DISTINCT entity, tbl, nfc_normalize(pk) AS pk, nfc_normalize(pk_before) AS was, {_FILE} AS f, binlog_pos AS p, row_no AS r, upper(trim(op_type)) AS op, row_columns AS c, row_values AS v
+  FROM update_events WHERE trim(coalesce(pk, '')) <> ''),
+m AS (SELECT *, op = 'UPDATE' AND trim(coalesce(was, '')) <> '' AND was <> pk AS moved FROM e),
+x AS (
+  SELECT entity, tbl, pk, f, p, r, CASE WHEN moved THEN 'INSERT' ELSE op END AS op, c, v FROM m
+  UNION ALL SELECT entity, tbl, was, f, p, r, 'DELETE', NULL, NULL FROM m WHERE moved),
+base AS (SELECT entity, tbl, pk, f, p, r, op FROM x WHERE op <> 'UPDATE' QUALIFY row_number() OVER (PARTITION BY entity, tbl, pk ORDER BY f DESC, p DESC, r DESC) = 1),
+cells AS (SELECT entity, tbl, pk, f, p, r, unnest(c) AS col, unnest(v) AS val FROM x WHERE op <> 'DELETE'),
+newest AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY entity, tbl, pk, col ORDER BY f DESC, p DESC, r DESC) = 1),
+held AS (
+  SELECT b.entity, b.tbl, b.pk, n.col, n.val FROM base b LEFT JOIN newest n ON n.entity = b.entity AND n.tbl = b.tbl AND n.pk = b.pk AND (n.f, n.p, n.r) >= (b.f, b.p, b.r)
+  WHERE b.op = 'INSERT')
+"""
+_ROWS = "SELECT entity, tbl, pk, md5(coalesce(string_agg(col || '=' || val, '|' ORDER BY col) FILTER (WHERE val <> ''), '')) AS row_md5 FROM held GROUP BY ALL"
+
+
+def _check_sql() -> str:
+    number = "coalesce(CAST(TRY_CAST(trim({0}) AS DECIMAL(38,9)) AS VARCHAR), trim({0}))"
+    make = {"number": number, "boolean": "CASE lower(trim({0})) WHEN '1' THEN 'true' WHEN '0' THEN 'false' ELSE lower(trim({0})) END", "time": "coalesce(CAST(TRY_CAST({0} AS TIMESTAMP) AS VARCHAR), {0})", "text": "nfc_normalize({0})"}
+    cols = ", ".join(f"nullif({make[k].format(f'CAST({f} AS VARCHAR)')}, '') AS {f}" for f, k in CHECK_FIELDS.items())
+    values = " UNION ALL ".join(f"SELECT s.check_id, '{f}' AS field_name, 'value' AS diff_kind FROM s JOIN m USING (check_id) WHERE s.{f} IS DISTINCT FROM m.{f}" for f in CHECK_FIELDS)
+    return f"""
+WITH s AS (SELECT DISTINCT check_id, {cols} FROM consistency_checks),
+m AS (SELECT DISTINCT check_id, {cols} FROM (SELECT * FROM consistency_checks_mirror QUALIFY rank() OVER (PARTITION BY check_id ORDER BY mirror_seq DESC) = 1) WHERE NOT deleted)
+SELECT check_id, '' AS field_name, 'missing_in_mirror' AS diff_kind FROM s ANTI JOIN m USING (check_id)
+UNION ALL SELECT check_id, '', 'missing_in_source' FROM m ANTI JOIN s USING (check_id)
+UNION ALL {values}"""
+
+
+_LISTED = r"""
+WITH newest AS (SELECT entity, tbl, segments FROM manifests QUALIFY row_number() OVER (PARTITION BY entity, tbl ORDER BY manifest_version DESC, captured_at DESC) = 1),
+raw AS (SELECT entity, tbl, unnest(segments).path AS path FROM newest),
+listed AS (SELECT DISTINCT entity, tbl, trim(regexp_replace(regexp_replace('/' || path, '/[^/.]+/\.\./', '/', 'g'), '(/\.?)+(/|$)', '/', 'g'), '/') AS segment_path FROM raw)
+"""
+
+_UNPROCESSED = f"""
+WITH s AS (SELECT entity, max(run_no) AS run_no FROM cdc_states WHERE outcome = 'committed' GROUP BY entity),
+c AS (
+  SELECT DISTINCT entity, {_FILE} AS f, binlog_pos AS p, lower(regexp_replace(coalesce(gtid_executed, ''), '\\s', '', 'g')) AS g
+  FROM cdc_states JOIN s USING (entity, run_no) WHERE outcome = 'committed'),
+parts AS (SELECT entity, unnest(string_split(g, ',')) AS part FROM c WHERE g <> ''),
+ranges AS (SELECT entity, split_part(part, ':', 1) AS source, unnest(string_split(part, ':')[2:]) AS w FROM parts),
+sets AS (SELECT entity, source, CAST(split_part(w, '-', 1) AS BIGINT) AS lo, CAST(split_part(w, '-', -1) AS BIGINT) AS hi FROM ranges),
+e AS (SELECT DISTINCT entity, binlog_file, binlog_pos, row_no, lower(gtid) AS gtid, {_FILE} AS f FROM update_events),
+held AS (SELECT DISTINCT e.entity, e.gtid FROM e JOIN sets ON sets.entity = e.entity AND sets.source = split_part(e.gtid, ':', 1) AND CAST(split_part(e.gtid, ':', 2) AS BIGINT) BETWEEN sets.lo AND sets.hi)
+SELECT e.entity, e.binlog_file, e.binlog_pos, e.row_no FROM e LEFT JOIN c ON c.entity = e.entity LEFT JOIN held ON held.entity = e.entity AND held.gtid = e.gtid
+WHERE c.entity IS NULL OR CASE WHEN e.gtid IS NOT NULL AND c.g <> '' THEN held.gtid IS NULL ELSE (e.f, e.binlog_pos) > (c.f, c.p) END
+"""
+
+_DRIFT = """
+WITH v AS (
+  SELECT entity, tbl, manifest_version AS b, list_transform(original_fields, lambda x: lower(x)) AS fields, list_transform(field_types, lambda x: trim(split_part(lower(x), '(', 1))) AS types,
+    list_transform(CASE WHEN len(primary_key_columns) > 0 THEN primary_key_columns ELSE [primary_key] END, lambda x: lower(x)) AS key
+  FROM manifests WHERE len(original_fields) > 0 QUALIFY row_number() OVER (PARTITION BY entity, tbl, manifest_version ORDER BY captured_at DESC) = 1),
+s AS (
+  SELECT *, lag(b) OVER w AS a, lag(fields) OVER w AS was, lag(types) OVER w AS was_types, lag(key) OVER w AS was_key FROM v WINDOW w AS (PARTITION BY entity, tbl ORDER BY b)),
+p AS (SELECT * FROM s WHERE a IS NOT NULL),
+gone AS (SELECT entity, tbl, a, b, f FROM (SELECT *, unnest(was) AS f FROM p) WHERE NOT list_contains(fields, f)),
+fresh AS (SELECT entity, tbl, a, b, f FROM (SELECT *, unnest(fields) AS f FROM p) WHERE NOT list_contains(was, f)),
+k AS (SELECT DISTINCT entity, tbl, schema_version, rec_key, row_json, unnest(json_keys(row_json)) AS field FROM segment_rows),
+cells AS (SELECT entity, tbl, schema_version, rec_key, lower(field) AS f, json_extract_string(row_json, '$."' || field || '"') AS val FROM k),
+recs AS (SELECT DISTINCT entity, tbl, schema_version, rec_key FROM segment_rows),
+pairs AS (SELECT g.entity, g.tbl, g.a, g.b, g.f AS g, n.f AS n FROM gone g JOIN fresh n USING (entity, tbl, a, b)),
+met AS (
+  SELECT q.entity, q.tbl, q.b, q.g, q.n, x.val AS x, y.val AS y FROM pairs q
+  JOIN recs ra ON ra.entity = q.entity AND ra.tbl = q.tbl AND ra.schema_version = q.a
+  JOIN recs rb ON rb.entity = q.entity AND rb.tbl = q.tbl AND rb.schema_version = q.b AND rb.rec_key = ra.rec_key
+  LEFT JOIN cells x ON x.entity = q.entity AND x.tbl = q.tbl AND x.schema_version = q.a AND x.rec_key = ra.rec_key AND x.f = q.g
+  LEFT JOIN cells y ON y.entity = q.entity AND y.tbl = q.tbl AND y.schema_version = q.b AND y.rec_key = ra.rec_key AND y.f = q.n),
+same AS (SELECT entity, tbl, b, g, n FROM met GROUP BY ALL HAVING bool_and(x IS NOT DISTINCT FROM y) AND bool_or(x IS NOT NULL)),
+every AS (
+  SELECT entity, tbl, b, n AS f, 'renamed' AS kind FROM same
+  UNION SELECT entity, tbl, b, f, 'added' FROM fresh WHERE (entity, tbl, b, f) NOT IN (SELECT (entity, tbl, b, n) FROM same)
+  UNION SELECT entity, tbl, b, f, 'removed' FROM gone WHERE (entity, tbl, b, f) NOT IN (SELECT (entity, tbl, b, g) FROM same)
+  UNION SELECT entity, tbl, b, f, 'retyped' FROM (SELECT *, unnest(fields) AS f FROM p) WHERE list_contains(was, f) AND types[list_position(fields, f)] IS DISTINCT FROM was_types[list_position(was, f)]
+  UNION SELECT entity, tbl, b, '', 'key_changed' FROM p WHERE key <> was_key)
+SELECT entity, tbl, b AS manifest_version, f AS field_name, kind AS change_kind FROM every
+"""
+
+_ENTRIES = r"""
+WITH n AS (SELECT DISTINCT op_id, spec FROM (SELECT * FROM saved_ops WHERE json_valid(spec)) QUALIFY rank() OVER (PARTITION BY op_id ORDER BY spec_version DESC) = 1),
+d AS (
+  SELECT op_id, CASE json_type(spec, '$.details') WHEN 'OBJECT' THEN json_extract(spec, '$.details') WHEN 'VARCHAR' THEN CAST(json_extract_string(spec, '$.details') AS JSON) ELSE CAST(spec AS JSON) END AS j FROM n),
+t AS (SELECT d.op_id, substr(t.fullkey, 3) AS path, t.type AS type, t.value AS value FROM d, json_tree(d.j) t WHERE t.type IN ('OBJECT', 'VARCHAR')),
+e AS (
+  SELECT op_id, regexp_replace(regexp_replace(path, '^joins\.', 'joins[0].'), '(joins|on|filters|select)$', '\1[0]') AS path, type, value,
+    CASE WHEN regexp_matches(path, '^joins(\[\d+\])?$') THEN 'alias' WHEN regexp_matches(path, '\.on(\[\d+\])?$') THEN 'left' ELSE 'field' END AS label
+  FROM t WHERE regexp_matches(path, '^(joins|joins(\[\d+\])?\.(on|filters)|filters|select)(\[\d+\])?$')
+  UNION ALL
+  SELECT op_id, regexp_replace(path, '\.children(\.|$)', '.children[0]\1', 'g'), type, value, 'field'
+  FROM t WHERE regexp_matches(path, '^filter_tree(\.children(\[\d+\])?)*$') AND NOT (type = 'OBJECT' AND coalesce(json_type(value, '$.children'), 'NULL') <> 'NULL'))
+SELECT op_id, path AS node_path, CASE type WHEN 'VARCHAR' THEN json_extract_string(value, '$') ELSE coalesce(json_extract_string(value, '$.' || label), '') END AS node_value FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; the others are held against brute force in the tests."""
+    return {
+        "p1_found": _FEED + _ROWS,
+        "p1_compacted": _FEED + "SELECT entity, tbl, count(DISTINCT pk) AS n_rows FROM held GROUP BY ALL",
+        "p2_found": _check_sql(),
+        "p3_found": _ENTRIES,
+        "p4_found": _DRIFT,
+        "p5_found": _LISTED + "SELECT entity, tbl, segment_path FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path) GROUP BY ALL HAVING count(DISTINCT row_no) < 20",
+        "p6_found": _UNPROCESSED,
+    }

@@ -287,15 +287,16 @@ class Plan:
         if given := self.params.get("fields"):
             names = [x.strip() for x in given.split(",")] if isinstance(given, str) else list(given)
             out = [(n, self.resolve(n)[0]) for x in names for n in (base.base_columns if x == "*" and not op.joins else [x])]
+            out = list(dict(out).items())
         elif op.select:
             out = [(s.header, self._computed(s.expression) if s.expression else self.resolve(s.field)[0]) for s in op.select]
         elif op.selected_fields:
-            out = [(n, self.resolve(n)[0]) for x in op.selected_fields for n in (base.base_columns if x == "*" else [x])]
+            out = [(n, self.resolve(n)[0]) for x in op.selected_fields for n in (base.base_columns if x == "*" and not op.joins else [x])]
+            out = list(dict(out).items())
         elif op.aggregations and not any(isinstance(a, Collect) for a in op.aggregations):
             return []
         else:
             out = [(n, self.resolve(n)[0]) for n in sorted(base.base_columns)]
-        out = list({h: (h, c) for h, c in reversed(out)}.values())[::-1] if not op.select else out
         if len({h for h, _ in out}) < len(out):
             raise SpecError("two output columns have the same name")
         return out

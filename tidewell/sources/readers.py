@@ -13,10 +13,11 @@ from tidewell.functions.dates import SUFFIXES, derived
 from tidewell.spec import InsertOp
 
 #: The change log: one line a delivered change. CHANGE_SCHEMA is that of update_events.
-CHANGE_SCHEMA = T.StructType.fromDDL(
-    "delivery_id bigint, entity string, tbl string, op_type string, pk string, pk_before string, row_columns array<string>, row_values array<string>, "
-    "binlog_file string, binlog_pos bigint, row_no int, gtid string, committed_at timestamp_ntz, received_at timestamp_ntz"
-)
+_TEXTS, _TIME = T.ArrayType(T.StringType()), T.TimestampNTZType()
+CHANGE_SCHEMA = T.StructType([T.StructField(n, k) for n, k in {
+    "delivery_id": T.LongType(), "entity": T.StringType(), "tbl": T.StringType(), "op_type": T.StringType(), "pk": T.StringType(), "pk_before": T.StringType(), "row_columns": _TEXTS, "row_values": _TEXTS,
+    "binlog_file": T.StringType(), "binlog_pos": T.LongType(), "row_no": T.IntegerType(), "gtid": T.StringType(), "committed_at": _TIME, "received_at": _TIME,
+}.items()])
 #: Schemas of the source server itself, never replicated.
 SYSTEM_SCHEMAS = ("information_schema", "mysql", "performance_schema", "sys")
 #: Epoch seconds above this (2000-01-01) in a time column are times.

@@ -325,7 +325,7 @@ def read_from(d: dict) -> ReadOp:
         _need(d, "table", "a read"), d.get("name", ""), d.get("entity", ""), d.get("table_alias"), tuple(join_from(x) for x in _list(d.get("joins")) if x is not None),
         tuple(filter_from(x) for x in _list(d.get("filters")) if x is not None), _one_of(d.get("filters_op", "And"), ("And", "Or"), "filters_op"), tree and tree_from(tree),
         tuple(aggregation_from(x) for x in _list(d.get("aggregations"))), tuple(order_from(x) for x in _list(d.get("order_by"))), d.get("limit"), d.get("limit_param"), tuple(_list(d.get("selected_fields"))),
-        tuple(Select(x.get("field") or "", x.get("expression"), x.get("as")) if isinstance(x, dict) else Select(x) for x in _list(d.get("select")) if x is not None), grouping and grouping_from(grouping),
+        tuple(Select(x.get("field") or "", x.get("expression"), x.get("as")) if isinstance(x, dict) else Select(x) for x in _list(d.get("select")) if x is not None), None if grouping is None else grouping_from(grouping),
         Auth(**{k: v for k, v in auth.items() if k in names}) if auth else None, split_from(profile) if isinstance(profile, dict) else None,
     )
 
