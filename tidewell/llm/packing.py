@@ -39,6 +39,11 @@ class Plan:
     runs: list[tuple[int, int, int]]
     n_bins: int
 
+    def cost(self, open_cost: int) -> int:
+        """The lengths of all bins and what it takes to open them."""
+        ends = [*[r[0] for r in self.runs[1:]], self.n_bins]
+        return sum((length + open_cost) * (end - first) for (first, _, length), end in zip(self.runs, ends))
+
 
 def _least_cost(size: int, lengths: tuple[int, ...], left: dict[int, int], sizes: list[int], open_cost: int) -> int:
     """The permitted length whose cost a token held is least, if filled with size and then with the largest sizes left."""
@@ -67,10 +72,17 @@ def _least_cost(size: int, lengths: tuple[int, ...], left: dict[int, int], sizes
 def plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, open_cost: int = OPEN_COST) -> Plan:
     """The plan for items counted by size; sizes from 1 to the longest permitted length.
 
-    Its work hangs on the number of sizes and of bin groups alone, which the capacity
-    bounds. No items give no bins.
+    Bins may be opened at all lengths, at all but the shortest, and so on to the longest
+    alone; of these plans the one whose bins, cut down, cost least is taken, and of equal
+    ones that with fewest bins. The work hangs on the number of sizes and of bin groups
+    alone, which the capacity bounds. No items give no bins.
     """
     lengths = tuple(sorted(set(lengths)))
+    plans = [_plan(histogram, lengths, lengths[i:], open_cost) for i in range(len(lengths))]
+    return min(plans, key=lambda p: (p.cost(open_cost), p.n_bins))
+
+
+def _plan(histogram: dict[int, int], lengths: tuple[int, ...], opened: tuple[int, ...], open_cost: int) -> Plan:
     left = {s: n for s, n in histogram.items() if n > 0}
     if left and (min(left) < 1 or max(left) > lengths[-1]):
         raise ValueError("a size is outside 1..capacity")
@@ -96,7 +108,7 @@ def plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, open_cos
         while left[size]:
             at = bisect.bisect_left(rooms, size)
             if at == len(rooms):
-                length = _least_cost(size, lengths, left, ascending, open_cost)
+                length = _least_cost(size, opened, left, ascending, open_cost)
                 each = length // size
                 count = max(1, left[size] // each)
                 keep(length, (n_bins, count, length))

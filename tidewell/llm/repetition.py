@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.spreading import spread
+
 RUN, SHARE = 10, 0.25
 CHUNK = 8192
 LEVEL = 3
@@ -84,7 +86,7 @@ def repetition(df: DataFrame, keep: list[str], text: str = "text", run: int = RU
     One row out for each row in. Null and empty texts and those without letters are in
     band 'empty' with share 0. Whole texts are measured, however long.
     """
-    source = df.select(*[f"`{c}`" for c in keep], f"`{text}`")
+    source = spread(df.select(*[f"`{c}`" for c in keep], f"`{text}`"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL).compress

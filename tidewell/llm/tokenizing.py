@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewell.llm.spreading import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The piece pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,7 +181,7 @@ def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]
 
 
 def _with_output(df: DataFrame, keep: list[str], text: str, name: str, kind: T.DataType, make) -> DataFrame:
-    source = df.select(*[f"`{c}`" for c in keep], f"`{text}`")
+    source = spread(df.select(*[f"`{c}`" for c in keep], f"`{text}`"))
     fields = [source.schema[c] for c in keep]
     return source.mapInArrow(make, T.StructType([*fields, T.StructField(name, kind)]))
 
