@@ -50,6 +50,8 @@ def test_ingest_enforces_rescues_and_promotes(spark):
     done = {r["_in_Price"]: r for r in schema_drift.promote(out, {"new": "int", "note": "bigint", "when": "date"}).collect()}
     assert done[2]["new"] == 2 and json.loads(done[2]["_rescued"]) == {"id": "seven"}
     assert done[1]["when"] == datetime.date(2024, 1, 2) and done[1]["note"] is None and "note" in json.loads(done[1]["_rescued"])
+    odd = schema_drift.ingest(spark.createDataFrame([("x", "y", '{"id": 1}')], "_entries string, _rescued string, j string"), "j", {"id": "int"})
+    assert odd.columns == ["_in__entries", "_in__rescued", "id", "_rescued", "_broken"] and tuple(odd.first()) == ("x", "y", 1, None, None)
     assert schema_drift.ingest(df.limit(0), "j", {"id": "bigint"}).count() == 0
 
 

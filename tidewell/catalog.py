@@ -30,6 +30,7 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[tuple[str, str], Table] = {}
+        self.paths: dict[tuple[str, str], tuple[str, tuple[str, ...]]] = {}
 
     def register(self, entity: str, name: str, df: DataFrame, key: Iterable[str] = (), hidden: Iterable[str] = ()) -> None:
         key = tuple(key)
@@ -40,7 +41,15 @@ class Catalog:
         self.tables[entity, name] = Table(df, key, tuple(hidden))
 
     def register_parquet(self, entity: str, name: str, path: str, key: Iterable[str] = ()) -> None:
-        self.register(entity, name, self.spark.read.parquet(path), key)
+        """A table that is opened when it is first asked for."""
+        self.tables.pop((entity, name), None)
+        self.paths[entity, name] = path, tuple(key)
+
+    def _opened(self, entity: str, name: str) -> Table:
+        if (entity, name) not in self.tables:
+            path, key = self.paths[entity, name]
+            self.register(entity, name, self.spark.read.parquet(path), key)
+        return self.tables[entity, name]
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str, names: dict[str, tuple[str, ...]], entity: str = "") -> Catalog:
@@ -51,9 +60,10 @@ class Catalog:
         return out
 
     def table(self, entity: str, name: str) -> Table:
-        if (entity, name) in self.tables:
-            return self.tables[entity, name]
-        near = [t for (e, n), t in self.tables.items() if (e.lower(), n.lower()) == (entity.lower(), name.lower())]
+        known = {*self.tables, *self.paths}
+        if (entity, name) in known:
+            return self._opened(entity, name)
+        near = [self._opened(e, n) for e, n in sorted(known) if (e.lower(), n.lower()) == (entity.lower(), name.lower())]
         if not near:
             raise SpecError(f"no table '{name}' in entity '{entity}'")
         return near[0] if len(near) == 1 else max(near, key=lambda t: t.df.count())
@@ -68,7 +78,7 @@ class Catalog:
 
     def entities(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
-        for e, n in sorted(self.tables):
+        for e, n in sorted({*self.tables, *self.paths}):
             out.setdefault(e, []).append(n)
         return out
 

@@ -32,7 +32,11 @@ def derived(col: Column, kind: T.DataType, suffix: str) -> Column:
     return F.concat(hour, F.lit(":00-"), hour, F.lit(":59"))
 
 
-def derived_columns(cols: dict[str, tuple[Column, T.DataType]]) -> dict[str, Column]:
-    """Every derived column of the date, timestamp and text columns among cols that doesn't clash with one of them."""
+def derived_columns(cols: dict[str, tuple[Column, T.DataType]], mentioned: str | None = None) -> dict[str, Column]:
+    """The derived columns of the date, timestamp and text columns among cols that don't clash with one of them.
+
+    With mentioned, only those whose name that text holds.
+    """
     dated = (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
-    return {f"{n}{s}": derived(c, k, s) for n, (c, k) in cols.items() if isinstance(k, dated) for s in SUFFIXES if f"{n}{s}" not in cols}
+    wanted = [(n, s) for n, (_, k) in cols.items() if isinstance(k, dated) for s in SUFFIXES if f"{n}{s}" not in cols and (mentioned is None or f"{n}{s}" in mentioned)]
+    return {f"{n}{s}": derived(*cols[n], s) for n, s in wanted}

@@ -29,6 +29,8 @@ SEQUENCE = ["file_no", "pos", "row_no"]
 PUT, TOMBSTONE = "put", "tombstone"
 #: The most changes in a run that apply_feed takes in, and the changes that it reckons with for a bucket.
 RUN_CHANGES, BUCKET_CHANGES = 20_000_000, 1_000_000
+#: No bucket is made for less than so many changes.
+SMALL_BUCKET = 25_000
 
 
 def file_number(binlog_file: Column) -> Column:
@@ -153,8 +155,8 @@ class ChangeStore:
     def _write(self, cells_: DataFrame) -> None:
         cells_.select(*KEY, "col", *SEQUENCE, "value", F.col("run").cast("int")).write.insertInto(self.name)
 
-    def append(self, feed: DataFrame, runs: int = 1, arrival: str | None = None) -> list[int]:
-        """Adds the changes of feed as so many sorted runs, cut by ranges of the arrival column.
+    def append(self, feed: DataFrame, runs: int = 1, arrival: str | None = None, bounds: tuple | None = None) -> list[int]:
+        """Adds the changes of feed as so many sorted runs, cut by ranges of the arrival column (bounds, if known: its ends).
 
         Narrow changes are shuffled once, by run and bucket; a run is bounded, and so is
         what a hot key can bring into one task. There each (key, column) is folded to its
@@ -163,13 +165,13 @@ class ChangeStore:
         first = self._last() + 1
         low = high = None
         if runs > 1 and arrival:
-            low, high = feed.agg(F.min(arrival), F.max(arrival)).first()
+            low, high = bounds or feed.agg(F.min(arrival), F.max(arrival)).first()
         if low is None:
             runs, cut = 1, F.lit(0)
         else:
             cut = F.coalesce(F.floor((F.col(arrival) - F.lit(low)) * F.lit(runs) / F.lit(high - low + 1)).cast("int"), F.lit(0))
         rows = by_key(changes(feed.withColumn("run", cut + F.lit(first)), "run")).withColumn("bucket", self._bucket())
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(runs * self.buckets, 4 * self.buckets))
+        parts = runs * self.buckets if runs < 4 else max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.buckets)
         placed = rows.repartition(parts, "run", "bucket")
         self._write(newest(cells(placed, "run", "bucket"), "run", "bucket"))
         added = list(range(first, first + runs))
@@ -218,9 +220,10 @@ def apply_feed(feed: DataFrame, arrival: str = "delivery_id", least_runs: int =
     The feed is taken in by runs of at most RUN_CHANGES changes in the order of arrival.
     """
     spark = feed.sparkSession
-    n = feed.count()
+    n, low, high = feed.agg(F.count("*"), F.min(arrival), F.max(arrival)).first()
     runs = max(least_runs, math.ceil(n / RUN_CHANGES))
-    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / BUCKET_CHANGES))
+    few = max(1, math.ceil(n / SMALL_BUCKET))
+    buckets = min(few, max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / BUCKET_CHANGES)))
     store = ChangeStore(spark, shared.scratch_path(spark, "changes"), buckets)
-    store.append(feed, runs, arrival)
+    store.append(feed, runs, arrival, (low, high))
     return store.read()

@@ -55,11 +55,12 @@ def ingest(df: DataFrame, json: str, schema: dict[str, str], renamed: dict[str,
     `_rescued` is the JSON object of all fields that schema doesn't name or whose value
     can't be cast, null if there are none. A field of an old name in renamed counts as
     the new one. `_broken` is the text of a record that is no JSON object. Columns of df
-    that clash with a schema name, without regard to case, are kept as `_in_<name>`.
+    that clash with a schema name or these, without regard to case, are kept as `_in_<name>`.
     """
     renamed = {k.lower(): v.lower() for k, v in (renamed or {}).items()}
     names = {k.lower(): t for k, t in schema.items()}
-    clash = {c: f"_in_{c}" for c in df.columns if c != json and c.lower() in names}
+    own = {"_json", "_entries", "_rescued", "_broken", *[f"_v_{n}" for n in names]}
+    clash = {c: f"_in_{c}" for c in df.columns if c != json and c.lower() in {*names, *own}}
     kept = [F.col(f"`{c}`").alias(clash.get(c, c)) for c in df.columns if c != json]
     parsed = F.from_json(F.col(json), RAW)
     out = df.select(*kept, F.col(json).alias("_json"), F.map_entries(parsed).alias("_entries"))

@@ -87,6 +87,7 @@ class Plan:
             self.aliases[j.name] = catalog.table(j.entity or op.entity, j.table)
         self.joins = {j.name: j for j in op.joins}
         self.types: dict[str, T.DataType] = {}
+        self.mentioned = f"{op} {self.params.get('fields')}"
         self.scans = {alias: self._scan(alias, t) for alias, t in self.aliases.items()}
         self.windowed = False
 
@@ -94,7 +95,7 @@ class Plan:
 
     def _scan(self, alias: str, t: Table) -> DataFrame:
         cols = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in t.df.schema}
-        made = {n: c for n, (c, _) in cols.items()} | derived_columns(cols)
+        made = {n: c for n, (c, _) in cols.items()} | derived_columns(cols, self.mentioned)
         df = t.df.select(*[c.alias(f"{alias}.{n}") for n, c in made.items()])
         self.types |= {f.name: f.dataType for f in df.schema}
         self.types |= {f"{alias}.{n}": T.LongType() if n == self.joins[alias].count_matches_as else T.DoubleType() for n in (self.joins[alias].synthetic if alias in self.joins else ())}
