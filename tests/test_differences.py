@@ -29,6 +29,13 @@ def test_each_kind_of_difference(spark):
     }
 
 
+def test_numbers_compare_by_value_whatever_their_length(spark):
+    equal = [("7", "+07.00"), ("-0", "0.0"), (".5", "0.50"), ("1e3", "1000"), ("5.", "5"), ("9" * 60, "0" + "9" * 60 + ".0")]
+    assert report(spark, [(i, a, None, None, None) for i, (a, _) in enumerate(equal)], [(i, b, None, None, None) for i, (_, b) in enumerate(equal)]) == set()
+    apart = [("1", "1.0000000000001"), ("-1", "1"), ("9" * 60, "9" * 59 + "8"), ("10", "1"), ("1.", "x")]
+    assert len(report(spark, [(i, a, None, None, None) for i, (a, _) in enumerate(apart)], [(i, b, None, None, None) for i, (_, b) in enumerate(apart)])) == len(apart)
+
+
 def test_unreadable_values_compare_as_texts(spark):
     assert report(spark, [(1, "many", "maybe", "soon", "x")], [(1, " many", "MAYBE", "soon", "x")]) == set()
     assert len(report(spark, [(1, "many", None, None, None)], [(1, "few", None, None, None)])) == 1

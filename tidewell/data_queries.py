@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import changelog, differences, incremental, operations, schema_drift, shredding, small_files
+from tidewell.operators.maintenance import latest_per_key
 from tidewell.sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,29 @@ def p1_compacted(spark: SparkSession, folder: str) -> DataFrame:
     return store.read().groupBy("entity", "tbl").agg(F.count("*").alias("n_rows"))
 
 
+def _last_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """The last insert or delete of each key, moves counted as one of each."""
+    by_key = changelog.by_key(changelog.changes(table(spark, folder, "update_events")))
+    return latest_per_key(by_key.filter("op <> 'U'").select(*changelog.KEY, *changelog.SEQUENCE, "op"), changelog.KEY, changelog.SEQUENCE)
+
+
+def cdc_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys whose last whole change took the row away."""
+    return _last_markers(spark, folder).filter("op = 'D'").select(*changelog.KEY)
+
+
+def cdc_pk_change(spark: SparkSession, folder: str) -> DataFrame:
+    """The moves of rows from one key to another, each once."""
+    moved = changelog.changes(table(spark, folder, "update_events")).filter(F.col("was").isNotNull())
+    return moved.select(*changelog.KEY, "was", *changelog.SEQUENCE).distinct()
+
+
+def gtid_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranges of the last successful checkpoint of each entity."""
+    sets = incremental.last_successful(table(spark, folder, "cdc_states")).select("entity", F.inline("c_sets"))
+    return sets.select("entity", "source", F.inline("ranges"))
+
+
 def check_differences(spark: SparkSession, folder: str) -> DataFrame:
     source = differences.one_per_key(table(spark, folder, "consistency_checks").select("check_id", *CHECK_FIELDS), "check_id")
     mirror = differences.one_per_key(table(spark, folder, "consistency_checks_mirror").select("check_id", *CHECK_FIELDS, "deleted", "mirror_seq"), "check_id", ["mirror_seq"])
@@ -100,7 +124,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p6_found, cdc_delete, cdc_pk_change, gtid_sets)}
 
 
 #: In SQL: the number at the end of a log file's name, and a text without outer blanks.
@@ -208,6 +232,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _FEED + _ROWS,
         "p1_compacted": _FEED + "SELECT entity, tbl, count(DISTINCT pk) AS n_rows FROM held GROUP BY ALL",
+        "cdc_delete": _FEED + "SELECT entity, tbl, pk FROM base WHERE op = 'DELETE'",
+        "cdc_pk_change": _FEED + "SELECT DISTINCT entity, tbl, pk, was, f AS file_no, p AS pos, r AS row_no FROM m WHERE moved",
+        "gtid_sets": _UNPROCESSED[: _UNPROCESSED.index(",\ne AS")] + " SELECT entity, source, lo, hi FROM sets",
         "p2_found": _check_sql(),
         "p3_found": _ENTRIES,
         "p4_found": _DRIFT,

@@ -37,7 +37,7 @@ def aggregate(plan: Plan, a: Aggregation | Collect) -> AggregationResult:
         from tidewell.plans.shaping import collect
 
         return collect(plan, a)
-    rows = plan.rows if not plan.windowed else plan.rows
+    rows = plan.rows
     if a.kind == "Count":
         if not a.field:
             return AggregationResult("Count", None, _summary(F.count("*"), rows))

@@ -39,13 +39,14 @@ def enrich(op: ReadOp, catalog: Catalog, params: Mapping[str, Any] | None = None
     rest = tuple(f for f in s.enrichment.filters if f is not by_ids[0])
     keys = base.select(quoted(s.key_field).alias("_ids"))
     second = Plan(replace(s.enrichment, filters=rest, limit=None, limit_param=None), catalog, params, identity, replace(options, default_limit=None), (by_ids[0].field, keys))
-    more = second.projected(second.rows)
-    if key not in more.columns:
+    more = [h for h, _ in second.projection]
+    if key not in more:
         raise SpecError(f"key field '{key}' is not in the enrichment result")
-    order = [second._sort_column(o) for o in second.op.order_by]
-    values = [quoted(c) for c in more.columns]
-    shown = second.rows.select(*[c.alias(h) for h, c in second.projection], F.row_number().over(Window.partitionBy(dict(second.projection)[key]).orderBy(*order, *[c for _, c in second.projection])).alias("_rank")) if values else more
-    one = shown.filter("_rank = 1").select(*[quoted(c).alias(f"_e.{c}") for c in more.columns])
+    columns = dict(second.projection)
+    order = [*[second._sort_column(o) for o in second.op.order_by], *columns.values()]
+    rank = F.row_number().over(Window.partitionBy(columns[key]).orderBy(*order))
+    shown = second.rows.select(*[c.alias(h) for h, c in columns.items()], rank.alias("_rank"))
+    one = shown.filter("_rank = 1").select(*[quoted(c).alias(f"_e.{c}") for c in more])
     out = base.join(one, quoted(s.key_field) == quoted(f"_e.{key}"), "left")
     made = {c: quoted(c) for c in base.columns}
     for f in s.merge_fields:

@@ -142,6 +142,13 @@ def _nest(items: Column, kind: T.StructType, g: ResponseGrouping) -> Column:
     return F.transform(keys, group)
 
 
+def number_text(col: Column, digits: int = 6, trim: bool = True) -> Column:
+    """A double as text for display: whole numbers without decimals, others with at most (trim) or exactly so many."""
+    whole = (col == F.floor(col)) & (F.abs(col) < 9e15)
+    fixed = F.when(col.isNotNull(), F.format_string(f"%.{digits}f", col))
+    return F.when(whole, col.cast("bigint").cast("string")).otherwise(F.regexp_replace(fixed, r"\.?0+$", "") if trim else fixed)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """One column `json`: each row as a JSON object, typed by the schema; null fields stay as null."""
     return df.select(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell.functions.text import blank
-from tidewell.operators.changelog import ChangeStore, file_number, live_rows
+from tidewell.functions.text import blank, strip
+from tidewell.operators.changelog import SEQUENCE, ChangeStore, file_number, live_rows
 from tidewell.sources import shared
 
 #: Names of the durability profiles and the seconds between their commits.
@@ -33,12 +33,14 @@ class Replica:
         """One micro-batch; a batch taken before is left alone. Changes without a usable pk go to rejects."""
         if self._taken(batch_id):
             return
-        rejects = batch.filter(blank(F.col("pk")))
+        rejects = batch.filter(blank(F.col("pk")) & (F.coalesce(F.upper(strip(F.col("op_type"))), F.lit("")) != "TRUNCATE"))
         rejects.write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
         runs = self.store.append(batch)
         self.store.compact_if_needed(self.most_runs)
         tip = batch.agg(F.max(F.struct(file_number(F.col("binlog_file")), F.col("binlog_pos"))).alias("p"), F.max("committed_at").cast("string").alias("at")).first()
-        shared.write_json(self.spark, f"{self.path}/batches/{batch_id}.json", {"runs": runs, "position": list(tip["p"]) if tip["p"] else None, "committed_at": tip["at"]})
+        cut = batch.filter(F.upper(strip(F.col("op_type"))) == "TRUNCATE").groupBy("entity", "tbl").agg(F.max(F.struct(file_number(F.col("binlog_file")), "binlog_pos", "row_no")).alias("at"))
+        emptied = [[r["entity"], r["tbl"], *r["at"]] for r in cut.collect()]  # one a table
+        shared.write_json(self.spark, f"{self.path}/batches/{batch_id}.json", {"runs": runs, "position": list(tip["p"]) if tip["p"] else None, "committed_at": tip["at"], "emptied": emptied})
 
     def start(self, changes: DataFrame, profile: str = "strict", once: bool = False) -> StreamingQuery:
         """The running query; once takes what is there and ends."""
@@ -46,10 +48,13 @@ class Replica:
         w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{PROFILES[profile]} seconds") if PROFILES[profile] else w
         return w.start()
 
+    def _batches(self) -> list[dict]:
+        names = [x for x in shared.listing(self.spark, f"{self.path}/batches") if x.endswith(".json")]
+        return [shared.read_json(self.spark, f"{self.path}/batches/{x}") for x in names]
+
     def position(self) -> tuple[int, int] | None:
         """(file number, position) of the furthest change taken in."""
-        names = [x for x in shared.listing(self.spark, f"{self.path}/batches") if x.endswith(".json")]
-        seen = [p for x in names if (p := shared.read_json(self.spark, f"{self.path}/batches/{x}")["position"])]
+        seen = [b["position"] for b in self._batches() if b["position"]]
         return tuple(max(seen)) if seen else None
 
     def caught_up(self, tip: tuple[int, int]) -> bool:
@@ -58,7 +63,17 @@ class Replica:
         return at is not None and at >= tuple(tip)
 
     def rows(self) -> DataFrame:
-        return live_rows(self.store.merged())
+        """entity, tbl, pk, cells. What came before a table's last TRUNCATE counts for nothing."""
+        cells = self.store.merged()
+        last: dict[tuple[str, str], tuple] = {}
+        for b in self._batches():
+            for e, t, *at in b["emptied"]:
+                last[e, t] = max(last.get((e, t), tuple(at)), tuple(at))
+        for (e, t), at in last.items():
+            seq = F.struct(*SEQUENCE)
+            old = (F.col("entity") == e) & (F.col("tbl") == t) & (seq <= F.struct(*[F.lit(x).alias(n) for x, n in zip(at, SEQUENCE)]))
+            cells = cells.filter(~old)
+        return live_rows(cells)
 
     def table(self, entity: str, tbl: str, columns: dict[str, str], key: dict[str, str]) -> DataFrame:
         """One table with typed columns (name: SQL type); key names the parts of its primary key. Blank values are null."""
