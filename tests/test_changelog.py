@@ -96,3 +96,24 @@ def test_a_hot_key_is_folded(spark):
 def test_sf_feed_matches_the_model(spark, small):
     feed = spark.read.parquet(f"{small}/update_events.parquet")
     assert found(changelog.apply_feed(feed)) == current_rows(dicts(feed))
+
+
+def test_an_append_that_dies_before_its_commit_leaves_no_trace(spark, monkeypatch):
+    store = changelog.ChangeStore(spark, shared.scratch_path(spark, "t"), 2)
+    store.append(feed_of(spark, [change(1, "INSERT", "1", {"a": "x"})]))
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", dies)
+        for call in (lambda: store.append(feed_of(spark, [change(2, "INSERT", "2", {"a": "y"})])), store.compact):
+            try:
+                call()
+            except RuntimeError:
+                pass
+    assert {r[2] for r in found(store.read())} == {"1"}
+    assert store.append(feed_of(spark, [change(3, "INSERT", "3", {"a": "z"})])) == [3]
+    assert {r[2] for r in found(store.read())} == {"1", "3"} == {r[2] for r in found(changelog.ChangeStore(spark, store.path).read())}
+    assert store.vacuum() == [1, 2] and store.compact() == 4 and store.vacuum() == [0, 3]
+    assert {r[2] for r in found(store.read())} == {"1", "3"}

@@ -25,7 +25,7 @@ def test_replica_follows_a_log_through_restarts_and_replays(spark, tmp_path):
     first.start(readers.change_stream(spark, str(log), files_per_trigger=1), once=True).awaitTermination()
     land(spark, log, changes[40:90])
     land(spark, log, changes[90:])
-    again = replica.Replica(spark, home, 2, most_runs=2)
+    again = replica.Replica(spark, home, 2, most_runs=2, vacuum=True)
     again.start(readers.change_stream(spark, str(log), files_per_trigger=1), once=True).awaitTermination()
     assert found(again.rows()) == current_rows(changes)
     assert len(again.store.runs()) <= 2

@@ -144,9 +144,15 @@ class ChangeStore:
         at = len(self._versions())
         shared.write_json(self.spark, f"{self.path}/log/{at:010d}.json", {"runs": runs, "last": last, "buckets": self.buckets})
 
-    def _last(self) -> int:
+    def _written(self) -> list[int]:
+        """The runs that have files, whether they count or not."""
+        return sorted(int(x[4:]) for x in shared.listing(self.spark, f"{self.path}/data") if x.startswith("run="))
+
+    def _next(self) -> int:
+        """A number that no run has, nor any that was written and never committed."""
         versions = self._versions()
-        return shared.read_json(self.spark, f"{self.path}/log/{versions[-1]}")["last"] if versions else -1
+        last = shared.read_json(self.spark, f"{self.path}/log/{versions[-1]}")["last"] if versions else -1
+        return 1 + max([last, *self._written()])
 
     def _bucket(self) -> Column:
         """The bucket that the table's writer will choose: a task that holds whole buckets writes one file for each."""
@@ -162,7 +168,7 @@ class ChangeStore:
         what a hot key can bring into one task. There each (key, column) is folded to its
         newest cell, and the run is written sorted.
         """
-        first = self._last() + 1
+        first = self._next()
         low = high = None
         if runs > 1 and arrival:
             low, high = bounds or feed.agg(F.min(arrival), F.max(arrival)).first()
@@ -193,7 +199,7 @@ class ChangeStore:
         Tombstones stay unless drop_tombstones, which is right only if no change older
         than those merged can still arrive.
         """
-        run = self._last() + 1
+        run = self._next()
         folded = fold_keys(self.merged())
         if drop_tombstones:
             folded = folded.filter(F.col("base").isNull() | (F.col("base.kind") != TOMBSTONE))
@@ -213,6 +219,14 @@ class ChangeStore:
         self.compact()
         return True
 
+    def vacuum(self) -> list[int]:
+        """Removes the files of runs that don't count. No read that began before the last compaction may still be running."""
+        gone = sorted({*self._written()} - {*self.runs()})
+        for run in gone:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (run = {run})")
+            shared.delete(self.spark, f"{self.path}/data/run={run}")
+        return gone
+
 
 def apply_feed(feed: DataFrame, arrival: str = "delivery_id", least_runs: int = 4) -> DataFrame:
     """Current rows of a whole feed through a store in the shared folder: entity, tbl, pk, cells.

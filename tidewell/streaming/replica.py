@@ -20,10 +20,10 @@ PROFILES = {"strict": 0, "balanced": 2, "throughput": 30}
 
 
 class Replica:
-    """Tables under path, folded from a change stream."""
+    """Tables under path, folded from a change stream. With vacuum, runs that a compaction has replaced are removed at once."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, most_runs: int = 8):
-        self.spark, self.path, self.most_runs = spark, path.rstrip("/"), most_runs
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, most_runs: int = 8, vacuum: bool = False):
+        self.spark, self.path, self.most_runs, self.vacuum = spark, path.rstrip("/"), most_runs, vacuum
         self.store = ChangeStore(spark, f"{self.path}/store", buckets)
 
     def _taken(self, batch_id: int) -> bool:
@@ -36,7 +36,8 @@ class Replica:
         rejects = batch.filter(blank(F.col("pk")) & (F.coalesce(F.upper(strip(F.col("op_type"))), F.lit("")) != "TRUNCATE"))
         rejects.write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
         runs = self.store.append(batch)
-        self.store.compact_if_needed(self.most_runs)
+        if self.store.compact_if_needed(self.most_runs) and self.vacuum:
+            self.store.vacuum()
         tip = batch.agg(F.max(F.struct(file_number(F.col("binlog_file")), F.col("binlog_pos"))).alias("p"), F.max("committed_at").cast("string").alias("at")).first()
         cut = batch.filter(F.upper(strip(F.col("op_type"))) == "TRUNCATE").groupBy("entity", "tbl").agg(F.max(F.struct(file_number(F.col("binlog_file")), "binlog_pos", "row_no")).alias("at"))
         emptied = [[r["entity"], r["tbl"], *r["at"]] for r in cut.collect()]  # one a table
