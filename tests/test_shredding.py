@@ -1,6 +1,7 @@
 import json
 
 from brute import dicts, spec_entries
+from pyspark.sql import functions as F
 
 from tidewell.operators import operations
 from tidewell.operators.shredding import entities, is_json, shred
@@ -48,8 +49,9 @@ def test_nodes_keep_parents_and_scalars(spark):
 def test_entities_pivot_scalar_children(spark):
     df = spark.createDataFrame([(1, '{"xs": [{"p": "1", "q": {"p": "no"}}, {"q": 2}]}')], "id long, j string")
     nodes = shred(df, "id", "j")
-    out = entities(nodes, nodes.filter("shape = 'xs[]'"), ["p", "q"])
-    assert {(r["path"], r["v_p"], r["v_q"]) for r in out.collect()} == {("xs[0]", "1", None), ("xs[1]", None, "2")}
+    out = entities(nodes, F.col("shape") == "xs[]", ["p", "q"], ["q"])
+    assert {(r["path"], r["v_p"], r["v_q"], r["has_q"]) for r in out.collect()} == {("xs[0]", "1", None, True), ("xs[1]", None, "2", True)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
 def test_depth_beyond_the_parser_is_broken_not_a_crash(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.shredding import entities, is_json, list_entries, shred
+from tidewell.operators.shredding import entities, is_json, list_place, shred
 
 #: Where the entries lie under details, and the label of the value that names them.
 PLACES = {"joins": "join", "joins[].on": "on", "joins[].filters": "join_filter", "filters": "filter", "select": "select"}
@@ -24,18 +24,15 @@ def nodes_of(ops: DataFrame) -> DataFrame:
 
 
 def entries_of(nodes: DataFrame) -> DataFrame:
-    """One row for each entry, of any kind, with the scalar children that name it."""
-    listed = list_entries(nodes, PLACES, ["object", "string"])
-    # a condition is an object under filter_tree that has no children
-    tree = nodes.filter(F.col("shape").rlike(r"^filter_tree(\.children(\[\])?)*$") & F.col("kind").isin("object", "string"))
-    inside = nodes.filter((F.col("label") == "children") & F.col("ordinal").isNull() & (F.col("kind") != "null") & (F.coalesce(F.col("size"), F.lit(1)) > 0))
-    inside = inside.select(F.col("doc_id").alias("p_doc"), F.col("parent").alias("p_node"))
-    leaves = tree.join(inside, (F.col("doc_id") == F.col("p_doc")) & (F.col("node") == F.col("p_node")), "left_anti")
-    # a single object in place of a list of children has position 0
-    place = F.regexp_replace(F.col("path"), r"(?<=\.children)(?=\.|$)", "[0]")
-    leaves = leaves.withColumn("what", F.lit("tree")).withColumn("entry_path", place)
-    both = listed.unionByName(leaves.select(listed.columns))
-    return entities(nodes, both, sorted({*NAMED_BY.values()} | {"table", "type", "op", "right", "as"}))
+    """One row for each entry, of any kind: what it is, its entry_path, and the scalar children that name it."""
+    what, path = list_place(PLACES, "joins")
+    # a condition is a node under filter_tree that has no children; a single child has position 0
+    tree = F.col("shape").rlike(r"^filter_tree(\.children(\[\])?)*$") & F.col("kind").isin("object", "string")
+    labels = sorted({*NAMED_BY.values()} | {"table", "type", "op", "right", "as"})
+    met = entities(nodes, what.isNotNull() | tree, labels, ["children"])
+    tree_path = F.regexp_replace("path", r"(?<=\.children)(?=\.|$)", "[0]")
+    out = met.withColumn("entry_path", F.when(tree, tree_path).otherwise(path)).withColumn("what", F.when(tree, "tree").otherwise(what))
+    return out.filter((F.col("what") != "tree") | F.col("has_children").isNull())
 
 
 def found(ops: DataFrame) -> DataFrame:

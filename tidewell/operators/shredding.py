@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -104,22 +104,37 @@ def shred(df: DataFrame, doc_id: str, text: str, inner: str | None = None) -> Da
     return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lambda batches: _shred(batches, inner), NODES)
 
 
-def entities(nodes: DataFrame, entries: DataFrame, labels: list[str]) -> DataFrame:
-    """The entries (object nodes) with the scalar children of the given labels as columns; absent and null ones are null."""
-    child = nodes.filter(F.col("label").isin(labels) & F.col("ordinal").isNull() & F.col("kind").isin("string", "other"))
-    child = child.groupBy(F.col("doc_id").alias("c_doc"), F.col("parent").alias("c_parent")).agg(*[F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(f"v_{x}") for x in labels])
-    return entries.join(child, (F.col("doc_id") == F.col("c_doc")) & (F.col("node") == F.col("c_parent")), "left").drop("c_doc", "c_parent")
+def entities(nodes: DataFrame, wanted: Column, labels: list[str], containers: list[str] = []) -> DataFrame:
+    """The nodes that meet wanted, with their scalar children of the given labels as columns v_<label> and, as
+    has_<label>, whether they hold a filled list or object of a label in containers; absent and null ones are null.
 
-
-def list_entries(nodes: DataFrame, shapes: dict[str, str], kinds: list[str]) -> DataFrame:
-    """Nodes that are entries of the lists at the given shapes, with what (the value of shapes), place and entry_path.
-
-    A single object or string in place of a list counts as its entry 0.
+    The join of nodes with their children and the pivot are one aggregation: a node goes
+    to its own number, a child to its parent's, and only nodes and children that matter
+    are sent. So the documents are read and shredded once.
+    """
+    me = [c for c in nodes.columns if c not in ("doc_id", "node")]
+    scalar = F.col("kind").isin("string", "other") & F.col("label").isin(labels)
+    filled = F.col("label").isin(containers) & (F.col("kind") != "null") & (F.coalesce("size", F.lit(1)) > 0)
+    is_child = F.col("parent").isNotNull() & F.col("ordinal").isNull() & (scalar | filled)
+    own = F.struct(F.col("node").alias("key"), F.struct(*me).alias("own"), F.lit(None).cast("string").alias("c_label"), F.lit(None).cast("string").alias("c_value"))
+    no_own = F.lit(None).cast(nodes.select(F.struct(*me).alias("s")).schema["s"].dataType)
+    child = F.struct(F.col("parent").alias("key"), no_own.alias("own"), F.col("label").alias("c_label"), F.when(scalar, F.col("scalar")).alias("c_value"))
+    sent = nodes.select("doc_id", F.inline(F.array_compact(F.array(F.when(wanted, own), F.when(is_child, child)))))
+    values = [F.max(F.when(F.col("c_label") == x, F.col("c_value"))).alias(f"v_{x}") for x in labels]
+    holds = [F.max(F.when(F.col("c_label") == x, F.lit(True))).alias(f"has_{x}") for x in containers]
+    met = sent.groupBy("doc_id", "key").agg(F.max("own").alias("own"), *values, *holds).filter(F.col("own").isNotNull())
+    return met.select("doc_id", F.col("key").alias("node"), "own.*", *[f"v_{x}" for x in labels], *[f"has_{x}" for x in containers])
+
+
+def list_place(shapes: dict[str, str], single: str) -> tuple[Column, Column]:
+    """Of a node, what it is an entry of (the value of shapes, null if of no list there) and its path.
+
+    A single object or string in place of a list counts as its entry 0; single names the
+    list that may so stand for itself inside a longer path.
     """
-    what = F.coalesce(*[F.when(F.col("norm").isin(s, f"{s}[]"), F.lit(w)) for s, w in shapes.items()])
-    # joins.on and joins[].on are the same place: the single object stands for a list of one
-    norm = F.regexp_replace(F.col("shape"), r"(?<=joins)(?=\.)", "[]")
-    is_entry = F.col("norm").endswith("[]") | F.col("kind").isin("object", "string")
-    path = F.regexp_replace(F.col("path"), r"(?<=joins)(?=\.)", "[0]")
-    path = F.when(F.col("norm").endswith("[]"), path).otherwise(F.concat(path, F.lit("[0]")))
-    return nodes.withColumn("norm", norm).withColumn("what", what).filter(F.col("what").isNotNull() & is_entry & F.col("kind").isin(kinds)).withColumn("entry_path", path).drop("norm")
+    norm = F.regexp_replace("shape", rf"(?<={single})(?=\.)", "[]")
+    inside = norm.endswith("[]")
+    what = F.coalesce(*[F.when(norm.isin(s, f"{s}[]"), F.lit(w)) for s, w in shapes.items()])
+    what = F.when(F.col("kind").isin("object", "string"), what)
+    path = F.regexp_replace("path", rf"(?<={single})(?=\.)", "[0]")
+    return what, F.when(inside, path).otherwise(F.concat(path, F.lit("[0]")))
