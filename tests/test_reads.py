@@ -180,6 +180,12 @@ def test_response_grouping(spark):
     assert (x["h"], [tuple(l) for l in x["leaves"]], x["leaves_pagination"]["total_pages"]) == ("x", [(1, "p")], 2) and y["leaves"][0]["i"] == 3
     page2 = shaping.group_response(Plan(op, c, options=WHOLE), ResponseGrouping(("g",), limit=2, offset=2))
     assert {r["g"]: ([i["i"] for i in r["items"]], r["items_pagination"]["page"]) for r in page2.collect()} == {"a": ([3], 2), "b": ([], 2), None: ([], 2)}
+    asked = shaping.group_response(Plan(op, c, {"grouping_limit": "2", "rows_pagination": "2"}, None, WHOLE))
+    assert {r["g"]: (len(r["rows"]), r["rows_pagination"]["page"], r["rows_pagination"]["per_page"]) for r in asked.collect()}["a"] == (1, 2, 2)
+    assert shaping.runtime_grouping(Plan(op, c, {"grouping_offset": 7, "grouping_limit": 500})).offset == 7
+    for bad in (lambda: shaping.group_response(Plan(op, c, {"grouping_page": "x"})), lambda: shaping.group_response(Plan(ReadOp("t"), c))):
+        with pytest.raises(SpecError):
+            bad()
     none = shaping.group_response(Plan(op, c, options=WHOLE), ResponseGrouping(("g",), limit=0))
     assert all(r["items"] == [] and r["items_pagination"]["total_pages"] == 1 for r in none.collect())
     assert json.loads(shaping.json_rows(c.table("", "t").df.filter("i = 3")).first()[0]) == {"g": "a", "h": "y", "i": 3, "v": None}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +79,22 @@ def _usable(plan: Plan, df: DataFrame) -> list[OrderBy]:
     return out
 
 
+def runtime_grouping(plan: Plan) -> ResponseGrouping:
+    """The read's grouping with the page that its parameters ask for: grouping_limit, grouping_offset, or
+    grouping_page (also `<items_as>_pagination`). A page has at most 100 items."""
+    g, p = plan.op.response_grouping, plan.params
+    if g is None:
+        raise SpecError("the operation has no response_grouping")
+    try:
+        limit = min(100, max(0, int(p.get("grouping_limit", g.limit))))
+        page = p.get("grouping_page", p.get(f"{g.items_as}_pagination"))
+        offset = p.get("grouping_offset")
+        offset = int(offset) if offset is not None else (max(1, int(page)) - 1) * limit if page is not None else g.offset
+    except (TypeError, ValueError):
+        raise SpecError("grouping_limit, grouping_page and grouping_offset are numbers") from None
+    return replace(g, limit=limit, offset=max(0, offset))
+
+
 def group_response(plan: Plan, grouping: ResponseGrouping | None = None) -> DataFrame:
     """The rows as one row a group: group fields, a page of items and `<items_as>_pagination`; nested by children[0].
 
@@ -84,9 +102,7 @@ def group_response(plan: Plan, grouping: ResponseGrouping | None = None) -> Data
     Only the items up to the end of the page leave the tasks that read them, so a group
     may be of any size; its total is counted by itself. Groups come by key.
     """
-    g = grouping or plan.op.response_grouping
-    if g is None:
-        raise SpecError("the operation has no response_grouping")
+    g = grouping or runtime_grouping(plan)
     df = plan.projected(plan.rows)
     fields = list(g.fields)
     _need(df, fields, "grouping fields")

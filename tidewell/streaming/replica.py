@@ -33,6 +33,13 @@ class Replica:
         """One micro-batch; a batch taken before is left alone. Changes without a usable pk go to rejects."""
         if self._taken(batch_id):
             return
+        batch = batch.persist()  # it is gone through four times
+        try:
+            self._take(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
         rejects = batch.filter(blank(F.col("pk")) & (F.coalesce(F.upper(strip(F.col("op_type"))), F.lit("")) != "TRUNCATE"))
         rejects.write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
         runs = self.store.append(batch)
