@@ -41,12 +41,11 @@ def empty_as_null(col: Column) -> Column:
 def number_key(col: Column) -> Column:
     """A text that is equal for equal numbers of any length: '+07', '7.0' and '7e0' agree. What is no number stays as its stripped text."""
     raw = strip(col.cast("string"))
-    plain = r"^[+-]?(\d+\.?\d*|\.\d+)$"
-    digits = F.when(raw.rlike(plain), raw).otherwise(raw.try_cast("decimal(38,18)").cast("string"))
-    whole, part = F.regexp_extract(digits, r"^[+-]?0*(\d*)", 1), F.regexp_extract(digits, r"\.(\d*?)0*$", 1)
-    body = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    signed = F.when(digits.startswith("-") & (body != "0"), F.concat(F.lit("-"), body)).otherwise(body)
-    return F.when(raw != "", F.coalesce(signed, F.concat(F.lit("text:"), raw)))
+    n = F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), raw).otherwise(raw.try_cast("decimal(38,18)").cast("string"))
+    # one after the other: a plus sign and zeros in front, zeros behind the point, a bare point, a missing 0, the sign of 0
+    for pattern, by in ((r"^\+", ""), (r"^(-?)0+", "$1"), (r"(\.\d*?)0+$", "$1"), (r"\.$", ""), (r"^(-?)(?=\.|$)", "$10"), (r"^-0$", "0")):
+        n = F.regexp_replace(n, pattern, by)
+    return F.when(raw != "", F.coalesce(n, F.concat(F.lit("text:"), raw)))
 
 
 def boolean_key(col: Column) -> Column:
