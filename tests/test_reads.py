@@ -217,7 +217,7 @@ def test_split_enrichment(spark, tables):
 def test_row_level_security(spark):
     import hashlib
 
-    token, now = "bk_live_abcdefgh", datetime.datetime.now()
+    token, now = "tok_live_abcdefgh", datetime.datetime.now()
     sha = hashlib.sha256(token.encode()).hexdigest()
     day = datetime.timedelta(days=1)
     c = Catalog(spark)

@@ -109,7 +109,7 @@ def test_drift_and_repair(spark):
     assert {r["tbl"] for r in maintenance.to_repair(out).collect()} == {"s.t", "x.only"}
     assert [r["tbl"] for r in maintenance.count_drift({"s.t": a, "s.u": b}, {}, ["u"]).collect()] == ["s.u"]
     m = maintenance.matches_table_filter
-    assert m("db_beparking_prod.BpCliente", "bpcliente") and m("db_beparking_prod.BpCliente", "beparking.BpCliente") and m("db_attendant_prod.pagos", "attendant/pagos") and m("a.b", " ")
+    assert m("db_shop_prod.Client", "client") and m("db_shop_prod.Client", "shop.Client") and m("db_till_prod.sales", "till/sales") and m("a.b", " ")
     assert not m("a.b", "a") and not m("a.b", "c.b") and m("a.b", ".b")
 
 

@@ -370,11 +370,11 @@ def row_level_security(spark: SparkSession, folder: str) -> DataFrame:
     return Plan(op, catalog(spark, folder), identity=42, options=WHOLE).data
 
 
-@query("SELECT 'bk_live_' || lpad(c_custkey::VARCHAR, 10, '0') AS token, c_custkey AS user_id FROM customer WHERE c_custkey % 3 <> 0")
+@query("SELECT 'tok_live_' || lpad(c_custkey::VARCHAR, 10, '0') AS token, c_custkey AS user_id FROM customer WHERE c_custkey % 3 <> 0")
 def api_key_auth(spark: SparkSession, folder: str) -> DataFrame:
     """Keys made from customers, every third revoked, and each asked for by its token."""
     c = spark.read.parquet(f"{folder}/customer.parquet")
-    tokens = c.select(F.concat(F.lit("bk_live_"), F.lpad(F.col("c_custkey").cast("string"), 10, "0")).alias("token"), "c_custkey")
+    tokens = c.select(F.concat(F.lit("tok_live_"), F.lpad(F.col("c_custkey").cast("string"), 10, "0")).alias("token"), "c_custkey")
     revoked = F.when(F.col("c_custkey") % 3 == 0, F.current_timestamp())
     keys = tokens.select(F.col("c_custkey").alias("user_id"), F.substring("token", 1, 12).alias("prefix"), F.sha2("token", 256).alias("key_sha256"), revoked.alias("revoked_at"), F.lit(None).cast("timestamp").alias("expires_at"))
     return valid_keys(keys, tokens)
