@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import changelog, differences, incremental, operations, schema_drift, shredding, small_files
+from tidewell.operators import changelog, differences, incremental, operations, schema_drift, small_files
 from tidewell.operators.maintenance import latest_per_key
 from tidewell.sources import shared
 
@@ -28,9 +28,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_compacted(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of each table after compaction of the store."""
-    feed = table(spark, folder, "update_events")
-    store = changelog.ChangeStore(spark, shared.scratch_path(spark, "changes"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store.append(feed, 4, "delivery_id")
+    store = changelog.take_in(table(spark, folder, "update_events"))
     store.compact()
     return store.read().groupBy("entity", "tbl").agg(F.count("*").alias("n_rows"))
 

@@ -27,7 +27,7 @@ from tidewell.sources import shared
 KEY = ["entity", "tbl", "pk"]
 SEQUENCE = ["file_no", "pos", "row_no"]
 PUT, TOMBSTONE = "put", "tombstone"
-#: The most changes in a run that apply_feed takes in, and the changes that it reckons with for a bucket.
+#: The most changes in a run that take_in makes, and the changes that it reckons with for a bucket.
 RUN_CHANGES, BUCKET_CHANGES = 20_000_000, 1_000_000
 #: No bucket is made for less than so many changes.
 SMALL_BUCKET = 25_000
@@ -228,11 +228,8 @@ class ChangeStore:
         return gone
 
 
-def apply_feed(feed: DataFrame, arrival: str = "delivery_id", least_runs: int = 4) -> DataFrame:
-    """Current rows of a whole feed through a store in the shared folder: entity, tbl, pk, cells.
-
-    The feed is taken in by runs of at most RUN_CHANGES changes in the order of arrival.
-    """
+def take_in(feed: DataFrame, arrival: str = "delivery_id", least_runs: int = 4) -> ChangeStore:
+    """A new store in the shared folder that holds a whole feed, by runs of at most RUN_CHANGES changes in the order of arrival."""
     spark = feed.sparkSession
     n, low, high = feed.agg(F.count("*"), F.min(arrival), F.max(arrival)).first()
     runs = max(least_runs, math.ceil(n / RUN_CHANGES))
@@ -240,4 +237,9 @@ def apply_feed(feed: DataFrame, arrival: str = "delivery_id", least_runs: int =
     buckets = min(few, max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / BUCKET_CHANGES)))
     store = ChangeStore(spark, shared.scratch_path(spark, "changes"), buckets)
     store.append(feed, runs, arrival, (low, high))
-    return store.read()
+    return store
+
+
+def apply_feed(feed: DataFrame, arrival: str = "delivery_id", least_runs: int = 4) -> DataFrame:
+    """Current rows of a whole feed through a store of its own: entity, tbl, pk, cells."""
+    return take_in(feed, arrival, least_runs).read()
