@@ -1,11 +1,15 @@
 import random
 import unicodedata
+from pathlib import Path
 
-import zstandard
+import duckdb
+import numpy as np
+import pytest
 
+from tidewell.llm import queries
 from tidewell.llm import repetition as rp
 
-SQUEEZE = zstandard.ZstdCompressor(level=rp.LEVEL).compress
+SQUEEZE = rp.compressor().compress
 
 
 def brute(text):
@@ -35,7 +39,71 @@ def cases():
 def test_words_and_repeated_words_match_brute_force():
     for text in cases():
         words, n = brute(text)
-        assert rp.words(text) == words and rp.repeated(words) == n, text
+        assert rp.words(text) == words and rp.repeated(rp.numbered(text)) == n, text
+
+
+def test_words_of_pieces_are_those_of_the_whole():
+    r = random.Random(3)
+    text = "".join(r.choice(["e\u0301", "n\u0303 ", "a", "B", " ", "  ", "\u0301", ".", "Σ", "\n", "7"]) for _ in range(4000))
+    found = rp.words(text)
+    ids = rp.numbered(text)
+    assert [w for p in rp.pieces(text, 50) for w in rp.words(p)] == found and len(ids) == len(found)
+    assert len({*zip(found, ids.tolist())}) == len({*found}) == len({*ids.tolist()})
+
+
+def test_runs_that_share_a_code_are_told_apart(monkeypatch):
+    real = rp.runs_of
+    monkeypatch.setattr(rp, "runs_of", lambda ids, n: real(ids, n) % np.uint64(7))
+    for text in cases()[:60]:
+        assert rp.repeated(rp.numbered(text)) == brute(text)[1]
+
+
+def worded(ids, kind):
+    """Words for numbers: of random letters, of Hangul, or all short and alike."""
+    r = random.Random(5)
+    made = {}
+
+    def word(i):
+        if i not in made:
+            if kind == "latin":
+                made[i] = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9))) + "".join(chr(97 + int(d)) for d in str(i))
+            elif kind == "hangul":
+                made[i] = "".join(chr(0xAC00 + (i * 7919 + k * 104729) % 11172) for k in range(3))
+            else:
+                made[i] = "aab" + "".join(chr(97 + int(d)) for d in str(i))
+        return made[i]
+
+    return " ".join(word(int(i)) for i in ids)
+
+
+def scattered(n, place, seed, share=rp.SHARE):
+    """Numbers of n words with the share in repetition in the form that saves least: runs of ten that stand apart."""
+    r = np.random.default_rng(seed)
+    fresh = r.permutation(n)[: int(n * (1 - share))]
+    runs = -(-(n - len(fresh)) // 10)
+    copies = [fresh[s : s + 10] for s in r.integers(0, len(fresh) // 2 - 10, runs)]
+    if place == "behind":
+        return np.concatenate([fresh, *copies])
+    cuts = np.sort(r.integers(len(fresh) // 2, len(fresh), runs))
+    return np.concatenate([x for a, b, c in zip([0, *cuts], cuts, copies) for x in (fresh[a:b], c)] + [fresh[cuts[-1] :]])
+
+
+@pytest.mark.parametrize("kind", ["latin", "hangul", "alike"])
+@pytest.mark.parametrize("place", ["behind", "between"])
+def test_no_document_with_the_share_is_rejected_whatever_its_length_and_entropy(kind, place):
+    for n in (64, 80, 127, 128, 200, 256, 500, 1000, 3000, 5000, 15_000, 40_000, 65_535, 65_536, 90_000):
+        for seed in range(max(1, min(8, 4000 // n))):
+            text = worded(scattered(n, place, seed), kind)
+            m = rp.measure(text, SQUEEZE)
+            assert m[4] != "incompressible" and m[6] >= rp.SHARE, (n, seed, m)
+
+
+def test_the_limits_are_less_than_half_of_what_the_share_saves():
+    for n in (64, 128, 256, 1000, 5000, 20_000, 65_000):
+        for place in ("behind", "between"):
+            for seed in range(max(1, min(20, 4000 // n))):
+                ratio = rp.measure(worded(scattered(n, place, seed), "alike"), SQUEEZE)[1]
+                assert ratio - 1 > 2 * (rp.limits(n)[0] - 1), (n, place, seed, ratio)
 
 
 def test_no_repetitive_document_is_rejected_by_its_band():
@@ -43,16 +111,16 @@ def test_no_repetitive_document_is_rejected_by_its_band():
         words, n = brute(text)
         m = rp.measure(text, SQUEEZE)
         if words and n / len(words) >= rp.SHARE:
-            assert m[5] != "incompressible" and m[6] == n and m[7] == n / len(words)
+            assert m[4] != "incompressible" and m[5] == n and m[6] == n / len(words)
 
 
 def test_bands():
-    r = random.Random(1)
-    noise = " ".join("".join(r.choice([chr(c) for c in range(0x4E00, 0x9FA0)]) for _ in range(4)) for _ in range(2000))
-    assert rp.measure("the same ten words stand here again and again now " * 50, SQUEEZE)[5] == "repetitive"
-    assert rp.measure(noise, SQUEEZE)[5] == "incompressible" and rp.measure("!!", SQUEEZE)[5] == "empty"
-    chunked = rp.measure(noise * 1 + "stop here " * 4000, SQUEEZE)
-    assert chunked[4] > chunked[2] > chunked[3] and chunked[5] == "repetitive"
+    noise = worded(range(2000), "hangul")
+    assert rp.measure("the same ten words stand here again and again now " * 50, SQUEEZE)[4] == "repetitive"
+    assert rp.measure(noise, SQUEEZE)[4:] == ("incompressible", None, None) and rp.measure(noise, SQUEEZE, count_all=True)[4:] == ("incompressible", 0, 0.0)
+    assert rp.measure("!!", SQUEEZE)[4] == "empty" and rp.measure("one two", SQUEEZE)[4] == "short"
+    chunked = rp.measure(worded(range(9000), "hangul") + " stop here" * 2100, SQUEEZE)
+    assert chunked[3] > chunked[1] > chunked[2] and chunked[4] == "repetitive"
 
 
 def test_rows(spark):
@@ -64,12 +132,16 @@ def test_rows(spark):
     assert rp.repetition(df, ["doc_id"]).count() == len(rows) and rp.repetition(df.limit(0), ["doc_id"]).count() == 0
 
 
-def test_corpus_matches_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    want = set()
-    for r in docs.filter("length(text) < 20000").collect():
-        words, n = brute(r["text"])
-        if words and n >= rp.SHARE * len(words):
-            want.add(r["doc_id"])
-    got = {r["doc_id"] for r in rp.repetitive(docs.filter("length(text) < 20000"), ["doc_id"]).collect()}
-    assert got == want
+def test_corpus_matches_sql_and_no_band_loses_a_document(spark):
+    """Over the whole corpus, with no limit of length."""
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).is_dir():
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = dict((d, (n, k)) for d, n, k in c.execute(queries.oracle_sql()["p9_shares"]).fetchall())
+    every = queries.p9_bands(spark, folder).collect()
+    assert {r["doc_id"]: (r["n_words"], r["repeated_words"]) for r in every} == want
+    assert not [r["doc_id"] for r in every if r["band"] == "incompressible" and r["share"] >= rp.SHARE]
+    found = {r["doc_id"] for r in queries.p9_found(spark, folder).collect()}
+    assert found == {r[0] for r in c.execute(queries.oracle_sql()["p9_found"]).fetchall()} and found

@@ -1,10 +1,17 @@
 """Repetition inside single documents.
 
-Compression bands: the words of a document, in NFC and lower case, are compressed
-with zstandard as a whole and in fixed chunks, and limits for its length put the
-document into a band: repetitive, plain or incompressible. Only a document whose
-words compress less than any repetition of the wanted share allows is rejected
-without a closer look; for all others the repeated runs of words are counted.
+Compression bands: a document is coded as one fixed-width code for each phrase of
+five consecutive words, and the codes are compressed with zstandard, as a whole and
+in fixed chunks. Codes of different phrases look random, so neither the alphabet nor
+the vocabulary moves the ratio: it is 1 for a text that repeats no phrase, and each
+repeated run of words takes out its codes. Limits for its length put the document
+into a band: incompressible, plain or repetitive. Incompressible ones can't have the
+wanted share and are rejected; in all others the repeated runs are counted exactly.
+
+A run of ten words that stands apart repeats six codes, 24 bytes, and costs some
+four, so a quarter of the words in repetition saves an eighth at least. The limits
+ask for less than half of that, and only up to a length at which the compressor finds
+every match; shorter and longer documents are never rejected.
 """
 
 from __future__ import annotations
@@ -13,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -22,13 +30,16 @@ from pyspark.sql import types as T
 from tidewell.llm.spreading import spread
 
 RUN, SHARE = 10, 0.25
-CHUNK = 8192
-LEVEL = 3
-#: From so many bytes of words on: under the first ratio there is no repetition worth a look, over the second the text is repetitive.
-LIMITS = ((0, 0.0, 2.0), (512, 1.5, 2.4), (2048, 1.9, 2.8), (8192, 2.2, 3.2), (65536, 2.5, 3.6))
+PHRASE = 5
+#: Words in a chunk.
+CHUNK = 2048
+#: From so many words on: under the first ratio a document is incompressible, over the second it is repetitive.
+LIMITS = ((0, 0.0, 4 / 3), (64, 1.03, 4 / 3), (128, 1.05, 4 / 3), (65_536, 0.0, 4 / 3))
+#: Characters that are cut into words at a time, so that a text of any length takes eight bytes a word.
+PIECE = 1 << 20
 _candidates = re.compile(r"[^\W\d_]+").findall
 _MEASURES = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("chunk_low", T.DoubleType()), T.StructField("chunk_high", T.DoubleType()),
+    T.StructField("n_words", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("chunk_low", T.DoubleType()), T.StructField("chunk_high", T.DoubleType()),
     T.StructField("band", T.StringType()), T.StructField("repeated_words", T.LongType()), T.StructField("share", T.DoubleType()),
 ])
 
@@ -44,55 +55,109 @@ def words(text: str | None) -> list[str]:
     return " ".join(found).lower().split(" ") if found else []
 
 
-def repeated(found: list[str], run: int = RUN) -> int:
-    """How many words lie in a run of so many words that starts at an earlier word too. Equal runs may overlap."""
-    grams = list(zip(*[found[i:] for i in range(run)]))
-    if len(set(grams)) == len(grams):
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in parts of some size characters, cut at spaces: no word and no composed letter crosses one."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
+def numbered(text: str | None) -> np.ndarray:
+    """The words of a text as numbers: equal words have equal numbers, given by first occurrence."""
+    known: dict[str, int] = {}
+    parts = []
+    for piece in pieces(text or ""):
+        found = words(piece)
+        for w in dict.fromkeys(found):
+            known.setdefault(w, len(known))
+        parts.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: spreads a number over all bits."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def runs_of(ids: np.ndarray, length: int) -> np.ndarray:
+    """One 64-bit code for each run of so many consecutive words."""
+    n = len(ids) - length + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    spread_ids = _mixed((ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.zeros(n, np.uint64)
+    for i in range(length):
+        out = out * np.uint64(0x100000001B3) + spread_ids[i : i + n]
+    return _mixed(out)
+
+
+def repeated(ids: np.ndarray, run: int = RUN) -> int:
+    """How many words lie in a run of so many words that starts at an earlier word too. Equal runs may overlap.
+
+    Runs are found by their codes and then compared word by word, so the count is exact.
+    """
+    codes = runs_of(ids, run)
+    order = np.argsort(codes, kind="stable")
+    same = codes[order[1:]] == codes[order[:-1]]
+    later, earlier = order[1:][same], order[:-1][same]
+    if len(later) and any((ids[later + i] != ids[earlier + i]).any() for i in range(run)):  # two different runs share a code
+        _, first, back = np.unique(np.lib.stride_tricks.sliding_window_view(ids, run), axis=0, return_index=True, return_inverse=True)
+        later = np.flatnonzero(first[back.reshape(-1)] != np.arange(len(codes)))
+    if not len(later):
         return 0
-    seen: set[tuple] = set()
-    count, covered = 0, 0
-    for i, gram in enumerate(grams):
-        if gram in seen:
-            count += i + run - max(i, covered)
-            covered = i + run
-        else:
-            seen.add(gram)
-    return count
-
-
-def limits(n_bytes: int) -> tuple[float, float]:
-    return next((low, high) for least, low, high in reversed(LIMITS) if n_bytes >= least)
-
-
-def measure(text: str | None, squeeze, run: int = RUN) -> tuple:
-    """The values of _MEASURES: of a text without words zeros, band 'empty' and share 0."""
-    found = words(text)
-    if not found:
-        return (0, 0, 0.0, 0.0, 0.0, "empty", 0, 0.0)
-    data = " ".join(found).encode()
-    n = len(data)
-    ratio = n / len(squeeze(data))
-    parts = [ratio] if n <= CHUNK else [len(p) / len(squeeze(p)) for p in (data[i : i + CHUNK] for i in range(0, n, CHUNK)) if len(p) == CHUNK]
-    low, high = limits(n)
-    top = max(ratio, *parts)
-    band = "incompressible" if top < low else "repetitive" if top > high else "plain"
-    count = 0 if band == "incompressible" else repeated(found, run)
-    return (len(found), n, ratio, min(parts), max(parts), band, count, count / len(found))
-
-
-def repetition(df: DataFrame, keep: list[str], text: str = "text", run: int = RUN) -> DataFrame:
-    """The columns keep and the measures of each text: n_words, n_bytes, ratio, chunk_low, chunk_high, band, repeated_words, share.
+    starts = np.sort(later)
+    return int(run + np.minimum(np.diff(starts), run).sum())
+
+
+def limits(n_words: int) -> tuple[float, float]:
+    return next((low, high) for least, low, high in reversed(LIMITS) if n_words >= least)
+
+
+def compressor() -> zstandard.ZstdCompressor:
+    """Optimal parsing with a binary tree: no position is skipped in stretches that don't compress."""
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=22, hash_log=17, chain_log=17, search_log=4, min_match=6, target_length=32, strategy=zstandard.STRATEGY_BTOPT))
+
+
+def measure(text: str | None, squeeze, run: int = RUN, count_all: bool = False) -> tuple:
+    """The values of _MEASURES. A text without words is in band 'empty', one too short for a repeated run in 'short'.
+
+    Of an incompressible document chunks and repeated words are null unless count_all.
+    """
+    ids = numbered(text)
+    if len(ids) <= run:
+        return (len(ids), 1.0, 1.0, 1.0, "short" if len(ids) else "empty", 0, 0.0)
+    data = (runs_of(ids, PHRASE) >> np.uint64(32)).astype("<u4").tobytes()
+    ratio = len(data) / len(squeeze(data))
+    low, high = limits(len(ids))
+    if ratio < low and not count_all:
+        return (len(ids), ratio, None, None, "incompressible", None, None)
+    size = 4 * CHUNK
+    parts = [ratio] if len(data) <= size else [size / len(squeeze(p)) for p in (data[i : i + size] for i in range(0, len(data), size)) if len(p) == size]
+    band = "incompressible" if ratio < low else "repetitive" if max(ratio, *parts) > high else "plain"
+    count = repeated(ids, run)
+    return (len(ids), ratio, min(parts), max(parts), band, count, count / len(ids))
+
+
+def repetition(df: DataFrame, keep: list[str], text: str = "text", run: int = RUN, count_all: bool = True) -> DataFrame:
+    """The columns keep and the measures of each text: n_words, ratio, chunk_low, chunk_high, band, repeated_words, share.
 
     One row out for each row in. Null and empty texts and those without letters are in
-    band 'empty' with share 0. Whole texts are measured, however long.
+    band 'empty' with share 0, and texts of at most `run` words in band 'short' with
+    share 0. Without count_all, rejected documents have null in chunk_low, chunk_high,
+    repeated_words and share. Whole texts are measured, however long.
     """
     source = spread(df.select(*[f"`{c}`" for c in keep], f"`{text}`"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-        kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.string(), pa.int64(), pa.float64()]
+        squeeze = compressor().compress
+        kinds = [pa.int64(), *[pa.float64()] * 3, pa.string(), pa.int64(), pa.float64()]
         for batch in batches:
-            rows = [measure(t, squeeze, run) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [measure(t, squeeze, run, count_all) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *_MEASURES.names])
 
@@ -100,5 +165,10 @@ def repetition(df: DataFrame, keep: list[str], text: str = "text", run: int = RU
 
 
 def repetitive(df: DataFrame, keep: list[str], text: str = "text", share: float = SHARE, run: int = RUN) -> DataFrame:
-    """The columns keep of the rows with at least the share of their words in repetition."""
-    return repetition(df, keep, text, run).filter((F.col("n_words") > 0) & (F.col("share") >= share)).select(*keep)
+    """The columns keep of the rows with at least the share of their words in repetition.
+
+    The limits hold for the share and the run they are made for; for a lower share or
+    a shorter run nothing is rejected and every document is counted.
+    """
+    made_for = share >= SHARE and run >= RUN
+    return repetition(df, keep, text, run, not made_for).filter((F.col("n_words") > 0) & (F.col("share") >= share)).select(*keep)
