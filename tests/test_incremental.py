@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import incremental
 from tidewell.operators.incremental import IncrementalOutput, VersionedTable
+from tidewell.sources import shared
 
 FEED = "entity string, binlog_file string, binlog_pos long, row_no int, gtid string, state string, source int"
 STATES = "entity string, run_no long, binlog_file string, binlog_pos long, gtid_executed string, outcome string, pos int"
 
 
-def found(spark, feed, states):
-    df = incremental.unprocessed(spark.createDataFrame([(*f, "clash", 0) for f in feed], FEED), spark.createDataFrame([(*s, 0) for s in states], STATES))
+def found(spark, feed, states, **more):
+    feed_, states_ = spark.createDataFrame([(*f, "clash", 0) for f in feed], FEED), spark.createDataFrame([(*s, 0) for s in states], STATES)
+    df = incremental.unprocessed(feed_, states_, shared.scratch_path(spark, "t"), **more)
     rows = [tuple(r) for r in df.select("entity", "binlog_file", "binlog_pos", "row_no").collect()]
     assert len(rows) == len(set(rows))
     return set(rows)
@@ -36,10 +38,35 @@ def test_no_state_means_everything(spark):
 
 
 def test_whole_files_are_skipped_or_added_by_the_manifest(spark):
-    feed = spark.createDataFrame([("e", n, s, p, k) for n, s, p, k in ((1, None, 5, None), (1, None, 9, None), (2, None, 3, None), (2, None, 8, None), (3, None, 1, None), (9, "s", 1, 4), (9, "s", 2, 5), (9, "r", 2, 5))], "entity string, file_no long, source string, pos long, number long")
-    states = spark.createDataFrame([("e", 1, "b.2", 5, "s:1-9", "committed", 0)], STATES)
-    d = incremental.manifest_difference(incremental.feed_manifest(feed), incremental.last_successful(states))
+    rows = [("f", "e", n, s, p, k) for n, s, p, k in ((1, None, 5, None), (1, None, 9, None), (2, None, 3, None), (2, None, 8, None), (3, None, 1, None), (9, "s", 1, 4), (9, "s", 2, 5), (9, "r", 2, 5))]
+    scan = spark.createDataFrame(rows, "_file string, entity string, file_no long, source string, binlog_pos long, number long")
+    states = incremental.last_successful(spark.createDataFrame([("e", 1, "b.2", 5, "s:1-9", "committed", 0)], STATES))
+    d = incremental.entry_states(incremental.entries(scan), states)
     assert {(r["file_no"], r["source"]): r["state"] for r in d.collect()} == {(1, None): "same", (2, None): "partial", (3, None): "added", (9, "s"): "same", (9, "r"): "added"}
+    assert incremental.file_states(d) == {"added": [], "same": [], "partial": ["f"]}
+
+
+def test_a_run_reads_only_added_and_partial_files(spark):
+    feed = [("e", f"b.{n}", p, 0, None) for n in range(1, 9) for p in range(25)]
+    states = spark.createDataFrame([("e", 1, "b.6", 11, None, "committed", 0)], STATES)
+    table = VersionedTable(spark, shared.scratch_path(spark, "t") + "/feed")
+    old, new = incremental.import_feed(table, spark.createDataFrame([(*f, "clash", 0) for f in feed], FEED).coalesce(1), states, records_per_file=25)
+    a, b = table.manifest(old), table.manifest(new)
+    assert len(b["files"]) >= 8 and {*a["files"]} < {*b["files"]} and len(a["vectors"]) == 1 and not b["vectors"]
+    assert table.read(old).count() == 5 * 25 + 12 and table.read(new).count() == 200
+    delta = table.changes(old, new)
+    assert delta.count() == 63
+    # the files of processed changes alone are in no scan of the difference
+    rest = {f for f in a["files"] if table.scan([f]).filter("file_no < 6 OR file_no = 6 AND binlog_pos <= 11").count() == table.scan([f]).count()}
+    assert len(rest) >= 4 and not any(f.split("/")[-1] in x for f in rest for x in delta.inputFiles())
+
+
+def test_a_failure_between_runs_loses_and_repeats_nothing(spark):
+    feed = [("e", f"b.{n}", p, r, None) for n in (1, 2, 3) for p in range(9) for r in (0, 1)] * 2 + [("n", "b.1", 1, 0, "s:1")]
+    states = [("e", 1, "b.2", 4, None, "committed")]
+    want = {f[:4] for f in feed if f[0] == "n" or (file_no(f[1]), f[2]) > (2, 4)}
+    for failures in (0, 1, 3):
+        assert found(spark, feed, states, failures=failures, records_per_file=10) == want
 
 
 def rows_of(df):
@@ -89,6 +116,6 @@ def test_a_failed_run_is_repeated_and_a_committed_one_is_not(spark, tmp_path):
 def test_two_writers_on_one_version_conflict(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"))
     t.append(spark.range(2))
-    t._commit(0, t.manifest(0)["files"], [])
+    t.commit(0, t.manifest(0)["files"], [])
     with pytest.raises(FileExistsError):
-        t._commit(0, [], [])
+        t.commit(0, [], [])

@@ -118,11 +118,16 @@ def p5_compacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return incremental.unprocessed(table(spark, folder, "update_events"), table(spark, folder, "cdc_states"))
+    return incremental.unprocessed(table(spark, folder, "update_events"), table(spark, folder, "cdc_states"), shared.scratch_path(spark, "unprocessed"))
+
+
+def p6_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by two runs, of which the first fails between its write and its commit."""
+    return incremental.unprocessed(table(spark, folder, "update_events"), table(spark, folder, "cdc_states"), shared.scratch_path(spark, "resumed"), failures=1)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p6_found, cdc_delete, cdc_pk_change, gtid_sets)}
+    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p6_found, p6_resumed, cdc_delete, cdc_pk_change, gtid_sets)}
 
 
 #: In SQL: the number at the end of a log file's name, and a text without outer blanks.
@@ -238,4 +243,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _DRIFT,
         "p5_found": _LISTED + "SELECT entity, tbl, segment_path FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path) GROUP BY ALL HAVING count(DISTINCT row_no) < 20",
         "p6_found": _UNPROCESSED,
+        "p6_resumed": _UNPROCESSED,
     }

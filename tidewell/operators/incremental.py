@@ -48,17 +48,33 @@ def gtid_sets(text: Column) -> Column:
     return F.when(F.size(parts) > 0, F.transform(parts, one))
 
 
-def feed_manifest(feed: DataFrame) -> DataFrame:
-    """The files of the feed: one entry for each (entity, log file, gtid source) with its count and bounds."""
-    return feed.groupBy("entity", "file_no", "source").agg(F.count("*").alias("records"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), F.min("number").alias("min_no"), F.max("number").alias("max_no"))
+#: The columns of the position table: one row for each change, whatever the number of its deliveries.
+POSITIONS = ["entity", "binlog_file", "binlog_pos", "row_no", "file_no", "source", "number"]
+ORDER = ["entity", "file_no", "binlog_pos", "row_no"]
 
 
-def manifest_difference(manifest: DataFrame, processed: DataFrame) -> DataFrame:
-    """manifest with state: added (no record of it was processed), same (all were) or partial (a deletion vector decides).
+def positions(feed: DataFrame) -> DataFrame:
+    """POSITIONS of each change, each once: source and number are the parts of its gtid, null if it has none."""
+    gtid = F.lower(strip(F.col("gtid")))
+    slim = feed.select(
+        "entity", "binlog_file", F.col("binlog_pos").cast("bigint").alias("binlog_pos"), F.col("row_no").cast("int").alias("row_no"), file_number(F.col("binlog_file")).alias("file_no"),
+        F.when(gtid != "", F.substring_index(gtid, ":", 1)).alias("source"), F.when(gtid != "", F.substring_index(gtid, ":", -1)).try_cast("bigint").alias("number"),
+    )
+    # ranges of the order split an entity with a third of all changes, and equal changes meet in one range
+    return slim.repartitionByRange(*ORDER).distinct()
+
+
+def entries(table_scan: DataFrame) -> DataFrame:
+    """What a manifest knows of each file: one entry for each (entity, log file, gtid source) in it, with its count and bounds."""
+    return table_scan.groupBy("_file", "entity", "file_no", "source").agg(F.count("*").alias("records"), F.min("binlog_pos").alias("min_pos"), F.max("binlog_pos").alias("max_pos"), F.min("number").alias("min_no"), F.max("number").alias("max_no"))
+
 
-    processed is last_successful(); an entity without it has only added files.
+def entry_states(entries_: DataFrame, processed: DataFrame) -> DataFrame:
+    """entries with state: added (no record of it was processed), same (all were) or partial (a deletion vector decides).
+
+    processed is last_successful(); an entity without it has only added entries.
     """
-    m = manifest.join(processed.withColumn("has_state", F.lit(True)), "entity", "left")
+    m = entries_.join(processed.withColumn("has_state", F.lit(True)), "entity", "left")
     by_gtid = F.col("source").isNotNull() & F.col("c_sets").isNotNull()
     ranges = F.flatten(F.transform(F.filter("c_sets", lambda s: s["source"] == F.col("source")), lambda s: s["ranges"]))
     inside = F.exists(ranges, lambda r: (r["lo"] <= F.col("min_no")) & (r["hi"] >= F.col("max_no")))
@@ -70,35 +86,79 @@ def manifest_difference(manifest: DataFrame, processed: DataFrame) -> DataFrame:
         .when(by_gtid, F.when(apart, "added").when(inside, "same").otherwise("partial"))
         .otherwise(F.when(first > at, "added").when(last <= at, "same").otherwise("partial"))
     )
-    return m.withColumn("state", state)
+    return m.withColumn("state", F.coalesce(state, F.lit("partial")))
+
+
+def file_states(entry_states_: DataFrame) -> dict[str, list[str]]:
+    """File names by state; a file with entries of more than one state is partial."""
+    by = entry_states_.groupBy("_file").agg(F.min("state").alias("a"), F.max("state").alias("b"))
+    out: dict[str, list[str]] = {"added": [], "same": [], "partial": []}
+    for r in by.select("_file", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("partial").alias("state")).orderBy("_file").toLocalIterator():
+        out[r["state"]].append(r["_file"])
+    return out
 
 
-def hidden_by_deletion_vector() -> Column:
-    """Of a record in a partial file: whether the processed version holds it already."""
+def done(scan: DataFrame, processed: DataFrame) -> Column:
+    """Of a record joined with processed: whether its entity's last successful run had it."""
     by_gtid = F.col("source").isNotNull() & F.col("c_sets").isNotNull()
     in_set = F.exists("c_sets", lambda s: (s["source"] == F.col("source")) & F.exists(s["ranges"], lambda r: F.col("number").between(r["lo"], r["hi"])))
     at = F.struct(F.col("c_file").alias("f"), F.col("c_pos").alias("p"))
-    here = F.struct(F.col("file_no").alias("f"), F.col("pos").alias("p"))
-    return F.when(by_gtid, in_set).otherwise(here <= at)
+    here = F.struct(F.col("file_no").alias("f"), F.col("binlog_pos").alias("p"))
+    return F.col("has_state").isNotNull() & F.coalesce(F.when(by_gtid, in_set).otherwise(here <= at), F.lit(False))
 
 
-def unprocessed(feed: DataFrame, states: DataFrame) -> DataFrame:
+def import_feed(table: VersionedTable, feed: DataFrame, states: DataFrame, records_per_file: int = 1_000_000) -> tuple[int, int]:
+    """Writes a feed as files of an empty table and commits two versions of it: what the last successful runs had, and everything.
+
+    The first lists the files that hold any processed record; a deletion vector hides the
+    records of the partial ones that were not. The second lists all files. Their
+    difference is what the next run must process. The numbers of both are returned.
+    """
+    if table.version() >= 0:
+        raise ValueError(f"{table.path} has versions already")
+    files = table.stage(positions(feed).sortWithinPartitions(*ORDER), records_per_file)
+    processed = last_successful(states)
+    vectors: list[str] = []
+    have = table.scan(files)
+    by = file_states(entry_states(entries(have), processed)) if files else {"added": [], "same": [], "partial": []}
+    if by["partial"]:
+        mixed = table.scan(by["partial"]).join(processed.withColumn("has_state", F.lit(True)), "entity", "left")
+        vectors.append(table.stage_vector(mixed.filter(~done(mixed, processed))))
+    before = table.commit(-1, sorted([*by["same"], *by["partial"]]), vectors)
+    return before, table.commit(before, files, [])
+
+
+def unprocessed(feed: DataFrame, states: DataFrame, path: str, failures: int = 0, records_per_file: int = 1_000_000) -> DataFrame:
     """entity, binlog_file, binlog_pos, row_no, each once, of the changes beyond the last successful run of their entity.
 
     With a gtid and a non-empty set, membership decides, else the position. An entity
-    that was never processed has all its changes. An entity may hold a third of all
-    changes: files are joined by their entry, and a skewed entry is split at run time.
+    that was never processed has all its changes. The feed becomes a versioned table
+    under path, the next run processes the difference of its versions, and the result
+    is what the output's commits list. The first `failures` runs die after they have
+    written and before they commit; they leave nothing behind.
     """
-    gtid = F.lower(strip(F.col("gtid")))
-    slim = feed.select(
-        "entity", "binlog_file", "binlog_pos", "row_no", file_number(F.col("binlog_file")).alias("file_no"), F.col("binlog_pos").alias("pos"),
-        F.when(gtid != "", F.substring_index(gtid, ":", 1)).alias("source"), F.when(gtid != "", F.substring_index(gtid, ":", -1)).try_cast("bigint").alias("number"),
-    )
-    changed = manifest_difference(feed_manifest(slim), last_successful(states)).filter(F.col("state") != "same")
-    changed = changed.select(F.col("entity").alias("m_entity"), F.col("file_no").alias("m_file"), F.col("source").alias("m_source"), "state", "c_file", "c_pos", "c_sets")
-    on = slim["entity"].eqNullSafe(changed["m_entity"]) & slim["file_no"].eqNullSafe(changed["m_file"]) & slim["source"].eqNullSafe(changed["m_source"])
-    delta = slim.join(changed, on).filter((F.col("state") == "added") | ~F.coalesce(hidden_by_deletion_vector(), F.lit(False)))
-    return delta.select("entity", "binlog_file", "binlog_pos", "row_no").distinct()
+    spark = feed.sparkSession
+    table, output = VersionedTable(spark, f"{path}/feed"), IncrementalOutput(spark, f"{path}/output")
+    before, _ = import_feed(table, feed, states, records_per_file)
+    output.adopt(before)
+
+    def work(delta: DataFrame) -> DataFrame:
+        return delta.filter(F.col("_change") == "insert").select("entity", "binlog_file", "binlog_pos", "row_no").distinct()
+
+    def dies() -> None:
+        raise RunFailed("before the commit")
+
+    for _ in range(failures):
+        try:
+            output.run(table, work, dies)
+        except RunFailed:
+            continue
+    output.run(table, work)
+    return output.read()
+
+
+class RunFailed(RuntimeError):
+    """A run that ended before its commit."""
 
 
 # ---- tables of our own ----
@@ -122,22 +182,30 @@ class VersionedTable:
     def manifest(self, version: int) -> dict[str, list[str]]:
         return {"files": [], "vectors": []} if version < 0 else shared.read_json(self.spark, f"{self.path}/versions/{version:010d}.json")
 
-    def _commit(self, base: int, files: list[str], vectors: list[str]) -> int:
-        """Two writers on one base: the second fails with FileExistsError, and its files are never listed."""
+    def commit(self, base: int, files: list[str], vectors: list[str]) -> int:
+        """The version after base. Two writers on one base: the second fails with FileExistsError, and its files are never listed."""
         shared.write_json(self.spark, f"{self.path}/versions/{base + 1:010d}.json", {"files": files, "vectors": vectors})
         return base + 1
 
-    def _add(self, df: DataFrame) -> list[str]:
+    def stage(self, df: DataFrame, records_per_file: int = 0) -> list[str]:
+        """Writes files that no version lists yet; their names. Tasks without rows leave none."""
         name = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/data/{name}")
+        df.write.option("maxRecordsPerFile", records_per_file).parquet(f"{self.path}/data/{name}")
         return [f"{name}/{x}" for x in shared.listing(self.spark, f"{self.path}/data/{name}") if x.endswith(".parquet")]
 
     def append(self, df: DataFrame) -> int:
         base = self.version()
         m = self.manifest(base)
-        return self._commit(base, [*m["files"], *self._add(df)], m["vectors"])
+        return self.commit(base, [*m["files"], *self.stage(df)], m["vectors"])
+
+    def stage_vector(self, marked: DataFrame) -> str:
+        """Writes the (_file, _row) of marked as a vector that no version lists yet; its name."""
+        name = uuid.uuid4().hex
+        marked.select("_file", "_row").write.parquet(f"{self.path}/vectors/{name}")
+        return name
 
-    def _scan(self, files: list[str]) -> DataFrame:
+    def scan(self, files: list[str]) -> DataFrame:
+        """The records of files, with their _file and _row."""
         df = self.spark.read.parquet(*[f"{self.path}/data/{f}" for f in files])
         name = F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2))
         return df.select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
@@ -146,7 +214,7 @@ class VersionedTable:
         return self.spark.read.parquet(*[f"{self.path}/vectors/{v}" for v in names]) if names else None
 
     def _live(self, files: list[str], vectors: list[str]) -> DataFrame:
-        df, marks = self._scan(files), self._vectors(vectors)
+        df, marks = self.scan(files), self._vectors(vectors)
         return df if marks is None else df.join(marks, ["_file", "_row"], "left_anti")
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -161,14 +229,13 @@ class VersionedTable:
         m = self.manifest(base)
         if not m["files"]:
             return base
-        name = uuid.uuid4().hex
-        self._live(m["files"], m["vectors"]).filter(condition).select("_file", "_row").write.parquet(f"{self.path}/vectors/{name}")
-        return self._commit(base, m["files"], [*m["vectors"], name])
+        name = self.stage_vector(self._live(m["files"], m["vectors"]).filter(condition))
+        return self.commit(base, m["files"], [*m["vectors"], name])
 
     def compact(self) -> int:
         """Rewrites all live rows, without vectors. A consumer sees the old files go and the new ones come."""
         base = self.version()
-        return self._commit(base, self._add(self.read(base)), [])
+        return self.commit(base, self.stage(self.read(base)), [])
 
     def changes(self, since: int, until: int) -> DataFrame:
         """The rows of the difference of two versions with _change: insert or delete.
@@ -193,7 +260,7 @@ class VersionedTable:
             files = [*a["files"], *b["files"]]
             if not files:
                 raise FileNotFoundError(f"{self.path} has no files in these versions")
-            parts = [self._scan(files[:1]).filter(F.lit(False)).withColumn("_change", F.lit(""))]
+            parts = [self.scan(files[:1]).filter(F.lit(False)).withColumn("_change", F.lit(""))]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -218,19 +285,27 @@ class IncrementalOutput:
         commits = self._commits()
         return commits[-1]["version"] if commits else -1
 
-    def run(self, table: VersionedTable, work: Callable[[DataFrame], DataFrame]) -> bool:
-        """Processes what came since the last commit; False if there was nothing."""
+    def adopt(self, version: int) -> None:
+        """Starts from a version that runs outside of this output have processed."""
+        if self._commits():
+            raise ValueError(f"{self.path} has commits already")
+        shared.write_json(self.spark, f"{self.path}/commits/{0:010d}.json", {"version": version, "folder": None})
+
+    def run(self, table: VersionedTable, work: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None = None) -> bool:
+        """Processes what came since the last commit; False if there was nothing. before_commit is called between the write and the commit."""
         commits = self._commits()
         since, until = (commits[-1]["version"] if commits else -1), table.version()
         if since == until:
             return False
         folder = uuid.uuid4().hex
         work(table.changes(since, until)).write.parquet(f"{self.path}/data/{folder}")
+        if before_commit:
+            before_commit()
         shared.write_json(self.spark, f"{self.path}/commits/{len(commits):010d}.json", {"version": until, "folder": folder})
         return True
 
     def read(self) -> DataFrame:
-        commits = self._commits()
-        if not commits:
+        folders = [c["folder"] for c in self._commits() if c["folder"]]
+        if not folders:
             raise FileNotFoundError(f"{self.path} has no commit yet")
-        return self.spark.read.parquet(*[f"{self.path}/data/{c['folder']}" for c in commits])
+        return self.spark.read.parquet(*[f"{self.path}/data/{f}" for f in folders])

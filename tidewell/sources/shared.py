@@ -11,9 +11,11 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _scratch: list[tuple[SparkSession, str]] = []
+_scratch_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> None:
+    """A catalog entry that goes when the process ends."""
+    if not _scratch_tables:
+        atexit.register(_drop_tables)
+    _scratch_tables.append((spark, name))
+
+
+def _drop_tables() -> None:
+    for spark, name in _scratch_tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session may be gone by now
+            return
+
+
 def _sweep() -> None:
     for spark, path in _scratch:
         try:
@@ -67,12 +84,67 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
-    """Fails if target is there already, so that two writers can't both win."""
+    """Moves a folder to a name that is free; FileExistsError if it isn't.
+
+    FileContext never replaces a target; on HDFS the test and the move are one step.
+    Commits of one file go through publish(), which is one step elsewhere too.
+    """
     fs, p = _path(spark, source)
-    q = spark._jvm.org.apache.hadoop.fs.Path(target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    q = hadoop.Path(target)
     fs.mkdirs(q.getParent())
-    if fs.exists(q) or not fs.rename(p, q):
-        raise FileExistsError(target)
+    context = hadoop.FileContext.getFileContext(p.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        context.rename(p, q, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if fs.exists(q):
+            raise FileExistsError(target) from e
+        raise
+
+
+def publish(spark: SparkSession, part: str, target: str) -> None:
+    """Gives a whole written file the name target, of several writers to just one; FileExistsError for the others.
+
+    A local disk has hard links that never replace; HDFS renames in one step; elsewhere
+    (object stores) the file is created anew on condition that there is none.
+    """
+    fs, p = _path(spark, part)
+    q = spark._jvm.org.apache.hadoop.fs.Path(target)
+    scheme = fs.getUri().getScheme()
+    try:
+        if scheme == "file":
+            nio = spark._jvm.java.nio.file
+            nio.Files.createLink(nio.Path.of(q.toUri().getPath(), _strings(spark)), nio.Path.of(p.toUri().getPath(), _strings(spark)))
+        elif scheme == "hdfs":
+            return rename(spark, part, target)
+        else:
+            _write(fs, q, _read(fs, p), False)
+    except Py4JJavaError as e:
+        if fs.exists(q):
+            raise FileExistsError(target) from e
+        raise
+    finally:
+        fs.delete(p, False)
+
+
+def _strings(spark: SparkSession):
+    return spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0)
+
+
+def _write(fs, p, data: bytes, overwrite: bool) -> None:
+    stream = fs.create(p, overwrite)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def _read(fs, p) -> bytes:
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
 
 
 def listing(spark: SparkSession, path: str) -> list[str]:
@@ -82,26 +154,13 @@ def listing(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    fs, p = _path(spark, path)
-    stream = fs.open(p)
-    try:
-        return json.loads(bytes(stream.readAllBytes()).decode())
-    finally:
-        stream.close()
+    return json.loads(_read(*_path(spark, path)).decode())
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Written aside and renamed: a reader sees all of it or nothing."""
+    """Written aside and published: a reader sees all of it or nothing, and of two writers one fails with FileExistsError."""
     part = f"{path}.{uuid.uuid4().hex}.part"
     fs, p = _path(spark, part)
     fs.mkdirs(p.getParent())
-    stream = fs.create(p, True)
-    try:
-        stream.write(bytearray(json.dumps(value).encode()))
-    finally:
-        stream.close()
-    try:
-        rename(spark, part, path)
-    except FileExistsError:
-        delete(spark, part)
-        raise
+    _write(fs, p, json.dumps(value).encode(), True)
+    publish(spark, part, path)
