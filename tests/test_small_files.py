@@ -25,37 +25,100 @@ def test_plain_path(spark):
 def test_small_files_of_the_newest_manifest(spark):
     rows = [("s/a", i) for i in range(5)] * 2 + [("s/b", i) for i in range(25)] + [("s/old", 0), ("s/c", None), (None, 1)]
     m, r = tables(spark, [(1, ["s/old"]), (3, ["s/a", "./s//a", "s/b", "s/missing", None, "s/c"]), (2, ["s/old"])], rows)
-    assert {x["segment_path"] for x in small_files.small_files(m, r).collect()} == {"s/a", "s/c"}
-    assert small_files.small_files(*tables(spark, [], [])).count() == 0
-    assert small_files.small_files(*tables(spark, [(1, None)], rows)).count() == 0
+    found = lambda *t: {x["segment_path"] for x in small_files.small_files(*t, shared.scratch_path(spark, "s")).collect()}
+    assert found(m, r) == {"s/a", "s/c"}
+    assert found(*tables(spark, [], [])) == set() == found(*tables(spark, [(1, None)], rows))
 
 
 def test_compaction_keeps_every_record_once_in_full_files(spark):
-    rows = [(f"s/{f}", i) for f in range(30) for i in range(f)] + [("s/7", i) for i in range(7)] + [("s/big", i) for i in range(950)] + [("s/gone", 1)]
+    rows = [(f"s/{f}", i) for f in range(30) for i in range(f)] + [("s/7", i) for i in range(7)] + [("s/big", i) for i in range(950)] + [("s/gone", 1), ("s/8", None), ("s/8", None)]
     m, r = tables(spark, [(1, [f"s/{f}" for f in range(30)] + ["s/big"])], rows)
-    out = small_files.compact_segments(m, r, shared.scratch_path(spark, "c"), full=200)
-    got = [(x["segment_path"], x["row_no"]) for x in out.collect()]
-    assert len(got) == len(set(got)) and set(got) == {x for x in rows if x[0] != "s/gone"}
+    # two records under one number stay two
+    r = r.union(r.filter("segment_path = 's/9' AND row_no = 3").withColumn("row_json", F.lit('{"a": "é\\n"}')))
+    out, done = small_files.compact_segments(m, r, shared.scratch_path(spark, "c"), full=200)
+    got = [tuple(x) for x in out.select(*small_files.RECORD).collect()]
+    want = {tuple(x) for x in r.filter("segment_path <> 's/gone'").select(*small_files.RECORD).collect()}
+    assert len(got) == len(set(got)) and set(got) == want and len([x for x in got if x[2] == "s/9" and x[4] == 3]) == 2
     sizes = sorted(x["count"] for x in out.groupBy("out_path").count().collect())
     assert sizes[1:] == [200] * (len(sizes) - 1) and len(sizes) == -(-len(got) // 200)
+    assert done == {"files_before": 30, "files_after": len(sizes), "records": len(got)}
 
 
-def test_a_loss_is_noticed_and_nothing_is_published(spark, monkeypatch):
-    m, r = tables(spark, [(1, ["s/a"])], [("s/a", i) for i in range(9)])
-    pack = small_files.pack
-    monkeypatch.setattr(small_files, "pack", lambda *a: pack(*a).filter("row_no <> 3"))
-    out = shared.scratch_path(spark, "c")
-    with pytest.raises(small_files.LossError):
-        small_files.compact_segments(m, r, out)
-    assert not shared.exists(spark, out)
+def test_a_file_is_one_segment_or_part_of_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(small_files, "PART", 100)
+    rows = [(f"s/{f}", i) for f in range(200) for i in range(3)] + [("s/big", i) for i in range(250)]
+    path = shared.scratch_path(spark, "w")
+    small_files.write_segments(tables(spark, [], rows)[1].select(*small_files.RECORD), path, 4, 7)
+    by_file = spark.read.text(path).select(F.get_json_object("value", "$.segment_path").alias("p"), F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.collect_set("p").alias("p"), F.count("*").alias("n")).collect()
+    assert len(by_file) == 203 and all(len(x["p"]) == 1 for x in by_file) and sorted(x["n"] for x in by_file) == [3] * 200 + [50, 100, 100]
+
+
+def written(spark, path, n=1000, files=60):
+    df = spark.range(n).withColumn("v", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")))
+    df = df.union(df.limit(3))
+    df.repartition(files).write.parquet(path)
+    return df
 
 
 def test_directory_of_real_files(spark, tmp_path):
-    df = spark.range(1000).withColumn("v", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")))
-    df.union(df.limit(3)).repartition(60).write.parquet(str(tmp_path / "in"))
+    df = written(spark, str(tmp_path / "in"))
     done = small_files.compact_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), 1 << 20, 1 << 10)
-    assert done["files_before"] == 60 and done["files_after"] == 1 and done["records"] == 1003
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert small_files.fingerprint(back, ["id", "v"]) == small_files.fingerprint(df.union(df.limit(3)), ["id", "v"])
+    assert done == {"files_before": 60, "files_after": 1, "records": 1003}
+    assert small_files.fingerprint(spark.read.parquet(str(tmp_path / "out")), ["id", "v"]) == small_files.fingerprint(df, ["id", "v"])
     assert len([f for f in os.listdir(tmp_path / "out") if f.endswith(".parquet")]) == 1
     assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304", "4194304b", "4MB")
+    with pytest.raises(FileExistsError):
+        small_files.compact_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+
+
+def test_a_column_of_some_files_alone_is_kept(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in" / "a"))
+    spark.range(3).withColumn("extra", F.lit("x")).write.parquet(str(tmp_path / "in" / "b"))
+    for groups in (None, ["a", "b"]):
+        out = str(tmp_path / f"out{len(groups or [])}")
+        assert small_files.compact_directory(spark, str(tmp_path / "in"), out, groups=groups)["records"] == 6
+        assert sorted(tuple(r) for r in spark.read.option("mergeSchema", "true").parquet(out).select("id", F.coalesce("extra", F.lit("-"))).collect()) == [(i, e) for i in range(3) for e in "-x"]
+    with pytest.raises(ValueError):
+        small_files.compact_directory(spark, str(tmp_path / "in"), str(tmp_path / "no"), source_format="csv")
+
+
+def test_open_cost_decides_how_many_files_a_task_reads(spark, tmp_path):
+    written(spark, str(tmp_path / "in"), files=40)
+    read = lambda cost: small_files.compact_directory(spark, str(tmp_path / "in"), str(tmp_path / f"o{cost}"), 1 << 20, cost)
+    assert read(1 << 10)["files_after"] == 1 == read(1 << 18)["files_after"]
+
+
+def test_the_write_has_no_exchange(spark, tmp_path):
+    seen = []
+    df = written(spark, str(tmp_path / "in"))
+    real = small_files.functools.reduce
+    small_files.functools.reduce = lambda f, parts: seen.append(real(f, parts)) or seen[-1]
+    try:
+        small_files.compact_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    finally:
+        small_files.functools.reduce = real
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString() and df.count() == 1003
+
+
+def test_a_loss_is_noticed_and_nothing_is_published(spark, tmp_path, monkeypatch):
+    written(spark, str(tmp_path / "in"))
+    real = small_files.fingerprint
+    monkeypatch.setattr(small_files, "fingerprint", lambda df, columns: real(df.filter("id <> 3"), columns))
+    with pytest.raises(small_files.LossError):
+        small_files.compact_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() and not (tmp_path / "out.stage").exists()
+
+
+def test_fingerprints_tell_bags_apart_and_hold_for_many_rows(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("b", "b")], "x string, y string")
+    p = lambda d: small_files.fingerprint(d, ["x", "y"])
+    assert p(df) == p(df.repartition(3)) != p(df.union(df)) and p(df.filter("x = 'a'")) != p(df.filter("y = 'a'"))
+    assert all(0 <= v < 1 << 22 for v in p(df.limit(1))[2:]) and p(df.limit(0))[0] == 0
+
+
+def test_of_two_writers_of_one_name_one_fails(spark, tmp_path):
+    shared.write_json(spark, str(tmp_path / "c" / "0.json"), {"a": 1})
+    with pytest.raises(FileExistsError):
+        shared.write_json(spark, str(tmp_path / "c" / "0.json"), {"a": 2})
+    assert shared.read_json(spark, str(tmp_path / "c" / "0.json")) == {"a": 1}
+    assert [f for f in os.listdir(tmp_path / "c") if not f.startswith(".")] == ["0.json"]

@@ -109,12 +109,18 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return small_files.small_files(table(spark, folder, "manifests"), table(spark, folder, "segment_rows"))
+    return small_files.small_files(table(spark, folder, "manifests"), table(spark, folder, "segment_rows"), shared.scratch_path(spark, "segments"))
 
 
 def p5_compacted(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all listed files in their new files, written, verified and read back."""
-    return small_files.compact_segments(table(spark, folder, "manifests"), table(spark, folder, "segment_rows"), shared.scratch_path(spark, "segments"))
+    """The records of all listed files once, as they stand in the new files."""
+    return small_files.compact_segments(table(spark, folder, "manifests"), table(spark, folder, "segment_rows"), shared.scratch_path(spark, "segments"))[0].drop("out_path")
+
+
+def p5_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each table the files before the compaction, its records, and the files after it."""
+    records, _ = small_files.compact_segments(table(spark, folder, "manifests"), table(spark, folder, "segment_rows"), shared.scratch_path(spark, "segments"))
+    return records.groupBy("entity", "tbl").agg(F.count_distinct("segment_path").alias("files_before"), F.count("*").alias("records"), F.count_distinct("out_path").alias("files_after"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +133,7 @@ def p6_resumed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p6_found, p6_resumed, cdc_delete, cdc_pk_change, gtid_sets)}
+    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p5_files, p6_found, p6_resumed, cdc_delete, cdc_pk_change, gtid_sets)}
 
 
 #: In SQL: the number at the end of a log file's name, and a text without outer blanks.
@@ -242,6 +248,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _ENTRIES,
         "p4_found": _DRIFT,
         "p5_found": _LISTED + "SELECT entity, tbl, segment_path FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path) GROUP BY ALL HAVING count(DISTINCT row_no) < 20",
+        "p5_compacted": _LISTED + "SELECT DISTINCT entity, tbl, segment_path, schema_version, row_no, rec_key, row_json FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path)",
+        "p5_files": _LISTED + f"""
+SELECT entity, tbl, count(DISTINCT segment_path) AS files_before, count(*) AS records, CAST(ceil(count(*) / {small_files.FULL}.0) AS BIGINT) AS files_after
+FROM (SELECT DISTINCT entity, tbl, segment_path, schema_version, row_no, rec_key, row_json FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path)) GROUP BY ALL""",
         "p6_found": _UNPROCESSED,
         "p6_resumed": _UNPROCESSED,
     }

@@ -3,24 +3,31 @@
 compact_directory works on real files with the engine's own split packing: the
 maximum partition bytes and the cost of opening a file decide how many files one
 task reads, the tasks are coalesced without a shuffle, the output is staged, its
-records are held against the input's, and only then it is published.
+records are held against those read, and only then it is published.
 
-inventory, pack and compact_segments do the same for files that are listed in table
-manifests and whose records lie in one table.
+The test tables hold the records of files as rows of one table. write_segments lays
+the listed files out as real small files of JSON lines first; compact_segments then
+compacts them, and what it took up and wrote is read back from its output.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.ranks import salted_number
 from tidewell.sources import shared
 
 TABLE = ["entity", "tbl"]
+RECORD = ["entity", "tbl", "segment_path", "schema_version", "row_no", "rec_key", "row_json"]
+RECORD_TYPE = "entity string, tbl string, segment_path string, schema_version int, row_no int, rec_key string, row_json string"
 SMALL, FULL = 20, 200
+#: Formats whose files can be read without losing a column that only some of them have; JSON lines and the like are text.
+FORMATS = ("parquet", "orc", "text")
+#: Records of one segment that write_segments puts into one file; a larger segment comes in parts.
+PART = 100_000
 
 
 def plain_path(path: Column) -> Column:
@@ -38,94 +45,131 @@ def newest_listing(manifests: DataFrame) -> DataFrame:
     return listed.select(*TABLE, plain_path(F.col("path")).alias("segment_path")).distinct()
 
 
-def record_counts(rows: DataFrame) -> DataFrame:
-    """TABLE, segment_path and records (distinct row_no) of every file that exists, that is has rows."""
-    path = F.coalesce("segment_path", F.lit(""))
-    once = rows.select(*TABLE, path.alias("segment_path"), "row_no").distinct()
-    return once.groupBy(*TABLE, "segment_path").agg(F.count("row_no").alias("records"))
+def listed_records(manifests: DataFrame, rows: DataFrame) -> DataFrame:
+    """RECORD of the listed files that exist. A null path is ''."""
+    held = rows.select(*[F.coalesce(c, F.lit("")).alias(c) if c == "segment_path" else c for c in RECORD])
+    return held.join(newest_listing(manifests), [*TABLE, "segment_path"], "left_semi")
 
 
-def inventory(manifests: DataFrame, rows: DataFrame) -> DataFrame:
-    """TABLE, segment_path, records of the listed files that exist."""
-    return record_counts(rows).join(newest_listing(manifests), [*TABLE, "segment_path"], "left_semi")
+def write_segments(records: DataFrame, path: str, groups: int, tasks: int) -> None:
+    """Each segment of records as a small file of JSON lines of its own, under path/g=<group>/d=<number>.
 
-
-def small_files(manifests: DataFrame, rows: DataFrame, below: int = SMALL) -> DataFrame:
-    """TABLE, segment_path of the listed files with fewer records than below: what a compaction takes up."""
-    return inventory(manifests, rows).filter(F.col("records") < below).select(*TABLE, "segment_path")
-
-
-def pack(manifests: DataFrame, rows: DataFrame, full: int = FULL, salts: int = 32) -> DataFrame:
-    """Every record of the listed files once, with the file it goes to: TABLE, out_path, segment_path, row_no, schema_version, rec_key, row_json.
-
-    Records are numbered within their table and each file takes the next full of them,
-    so all files but the last of a table are full. Numbers come from salted counts: a
-    table or a file with a third of all rows is numbered by many tasks. Records stay
-    together in runs of neighbours. Of rows given twice the highest counts.
+    Equal rows are one record; all others stay, also those without a row number or with
+    the number of another. All files of a table lie in one group. A segment of more than
+    PART records comes in parts, so that no task has to write a third of all rows. The
+    local file system's checksum files are left out: they would double the files.
     """
-    listed = newest_listing(manifests)
-    held = rows.select(*TABLE, F.coalesce("segment_path", F.lit("")).alias("segment_path"), "row_no", "schema_version", "rec_key", "row_json").filter(F.col("row_no").isNotNull())
-    here = held.join(listed, [*TABLE, "segment_path"], "left_semi")
-    once = here.groupBy(*TABLE, "segment_path", "row_no").agg(F.max(F.struct("schema_version", "rec_key", "row_json")).alias("r")).select(*TABLE, "segment_path", "row_no", "r.*")
-    salt = F.pmod(F.xxhash64("segment_path", F.floor(F.col("row_no") / full)), F.lit(salts))
-    numbered = salted_number(once, TABLE, salt, ["segment_path", "row_no"], "n")
-    out = F.concat(F.lit("segments/pack_"), F.lpad(F.floor(F.col("n") / full).cast("string"), 8, "0"))
-    return numbered.select(*TABLE, out.alias("out_path"), "segment_path", "row_no", "schema_version", "rec_key", "row_json")
+    part = F.coalesce(F.floor(F.col("row_no") / PART), F.lit(0))
+    keyed = records.withColumns({"_t": F.pmod(F.xxhash64(*TABLE, "segment_path", part), F.lit(tasks)).cast("int"), "_h": F.xxhash64(F.lit(1), *TABLE, "segment_path", part)})
+    once = keyed.repartitionById(tasks, F.col("_t")).distinct()
+    # within a task each segment has a folder number of its own, so a folder gets one file from each task for each segment
+    own = F.dense_rank().over(Window.partitionBy("_t").orderBy("_h")).alias("d")
+    line = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"}).alias("value")
+    out = once.select(F.pmod(F.xxhash64(*TABLE), F.lit(groups)).alias("g"), own, line)
+    plain = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    out.write.partitionBy("g", "d").options(**plain).text(path)
 
 
 class LossError(RuntimeError):
     """The staged output doesn't hold the records of the input."""
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> tuple[int, int, int]:
-    """Count and two sums of row hashes: equal for equal bags of rows, in any order and over any number of files."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    low, high = F.pmod(h, F.lit(1 << 31)), F.shiftrightunsigned(h, 31)
-    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(low), F.lit(0)).alias("a"), F.coalesce(F.sum(high), F.lit(0)).alias("b")).first()
-    return r["n"], r["a"], r["b"]
+def _marks(columns: list[str]) -> dict[str, Column]:
+    """Count, exclusive or and three sums of row hashes: equal for equal bags of rows, in any order and over any number of files.
 
+    The sums are of 21 or 22 bits each, so they hold for a trillion rows. Nulls are hashed too.
+    """
+    cols = [F.col(f"`{c}`") for c in columns]
+    h = F.xxhash64(*cols, *[c.isNull() for c in cols])
+    cut = [h.bitwiseAND(F.lit((1 << 21) - 1)), F.shiftrightunsigned(h, 21).bitwiseAND(F.lit((1 << 21) - 1)), F.shiftrightunsigned(h, 42)]
+    return {"n": F.count(F.lit(1)), "x": F.coalesce(F.bit_xor(h), F.lit(0)), **{f"s{i}": F.coalesce(F.sum(c), F.lit(0)) for i, c in enumerate(cut)}}
 
-def compact_segments(manifests: DataFrame, rows: DataFrame, out: str, full: int = FULL) -> DataFrame:
-    """Writes pack() staged under out, holds it against the listed records, publishes it and reads it back."""
-    spark = rows.sparkSession
-    columns = [*TABLE, "segment_path", "row_no", "schema_version", "rec_key", "row_json"]
-    stage = f"{out.rstrip('/')}.stage"
-    pack(manifests, rows, full).write.mode("overwrite").parquet(stage)
-    listed = newest_listing(manifests)
-    source = rows.withColumn("segment_path", F.coalesce("segment_path", F.lit(""))).filter(F.col("row_no").isNotNull()).join(listed, [*TABLE, "segment_path"], "left_semi").select(*columns).distinct()
-    want, have = fingerprint(source, columns), fingerprint(spark.read.parquet(stage), columns)
-    if want != have:
-        shared.delete(spark, stage)
-        raise LossError(f"{want} in, {have} out")
-    shared.rename(spark, stage, out)
-    return spark.read.parquet(out)
 
+def fingerprint(df: DataFrame, columns: list[str]) -> tuple[int, ...]:
+    r = df.agg(*[c.alias(n) for n, c in _marks(columns).items()]).first()
+    return tuple(r)
 
-def compact_directory(spark: SparkSession, source: str, out: str, file_bytes: int = 128 << 20, open_cost: int = 4 << 20, source_format: str = "parquet") -> dict[str, int]:
+
+def compact_directory(
+    spark: SparkSession, source: str, out: str, file_bytes: int = 128 << 20, open_cost: int = 4 << 20, source_format: str = "parquet", groups: list[str] | None = None, most_records: int = 0, partition: dict[str, Column] | None = None,
+) -> dict[str, int]:
     """Consolidates the files under source into files of about file_bytes each at out (which must not exist yet).
 
-    open_cost is what opening one more file counts in bytes when splits are combined.
-    The settings are made in a session of their own. Returns files and records before
-    and after. Raises LossError, with nothing published, if a record is lost or doubled.
+    open_cost is what opening one more file counts in bytes when splits are combined: the
+    lower, the more small files one task reads. The settings are made in a session of
+    their own. groups names folders under source that are packed each by itself, so that
+    files of different groups never meet. most_records bounds a file. With partition
+    (name: value made from the columns of source), files are written apart by these
+    values. Columns are the union of those of all files; text files are kept line by line.
+    Returns files and records before and after. Raises LossError, with nothing
+    published, if a record is lost, doubled or changed: what is written is counted as it
+    is read, and held against what the staged files hold.
     """
-    from pyspark.sql import SparkSession as Session
-
-    own = Session(spark.sparkContext, spark._jsparkSession.cloneSession())
+    if source_format not in FORMATS:
+        raise ValueError(f"'{source_format}' can't be compacted without loss; one of {', '.join(FORMATS)}")
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     own.conf.set("spark.sql.files.maxPartitionBytes", file_bytes)
     own.conf.set("spark.sql.files.openCostInBytes", open_cost)
     own.conf.set("spark.sql.files.minPartitionNum", 1)
-    df = own.read.format(source_format).load(source)
-    files = df.inputFiles()
-    fs, _ = shared._path(spark, source)
-    size = sum(fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f)).getLen() for f in files)
-    most = max(1, math.ceil((size + open_cost * min(len(files), 1)) / file_bytes))
+    # a listing of many folders is a job: of as many tasks as there are cores, not one a folder
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.defaultParallelism)
+    schema = own.read.format(source_format).option("mergeSchema", "true").option("recursiveFileLookup", "true").load(source).schema if groups and source_format != "text" else None
+    parts, before = [], 0
+    for g in groups or [""]:
+        r = own.read.format(source_format).option("mergeSchema", "true").option("recursiveFileLookup", "true")
+        df = (r.schema(schema) if schema else r).load(f"{source}/{g}".rstrip("/"))
+        files, size = _listed_files(df)
+        before += files
+        parts.append(df.coalesce(max(1, math.ceil(size / file_bytes))))
+    df = functools.reduce(DataFrame.unionByName, parts)
+    columns = df.columns
+    seen = Observation()
     stage = f"{out.rstrip('/')}.stage"
-    df.coalesce(most).write.mode("overwrite").format(source_format).save(stage)
-    done = own.read.format(source_format).schema(df.schema).load(stage)
-    want, have = fingerprint(df, df.columns), fingerprint(done, df.columns)
+    made = df.observe(seen, *[c.alias(n) for n, c in _marks(columns).items()]).withColumns(partition or {})
+    w = made.write.mode("overwrite").format(source_format).option("maxRecordsPerFile", most_records)
+    (w.partitionBy(*partition) if partition else w).save(stage)
+    staged = own.read.format(source_format).option("recursiveFileLookup", "true").schema(df.schema).load(stage)
+    want, have = tuple(seen.get[n] for n in _marks(columns)), fingerprint(staged, columns)
     if want != have:
         shared.delete(spark, stage)
         raise LossError(f"{want} in, {have} out")
-    after = len(done.inputFiles())
+    after = _listed_files(staged)[0]
     shared.rename(spark, stage, out)
-    return {"files_before": len(files), "files_after": after, "records": have[0]}
+    return {"files_before": before, "files_after": after, "records": have[0]}
+
+
+def _listed_files(df: DataFrame) -> tuple[int, int]:
+    """How many files df reads and their bytes, from the listing that its scan has made already."""
+    scan = df._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    return len(scan.inputFiles()), scan.sizeInBytes()
+
+
+def compact_segments(manifests: DataFrame, rows: DataFrame, path: str, full: int = FULL, file_bytes: int = 128 << 20, open_cost: int = 16 << 10) -> tuple[DataFrame, dict[str, int]]:
+    """Lays out the listed segments as files under path, compacts them, and reads the output back: RECORD and out_path.
+
+    Files of a table come together by its group and are written apart by table, up to
+    `full` records each. Also returns the counts of compact_directory, all 0 if nothing
+    is listed.
+    """
+    spark = rows.sparkSession
+    groups = 2 * spark.sparkContext.defaultParallelism
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
+    source, out = f"{path}/small", f"{path}/large"
+    write_segments(listed_records(manifests, rows), source, groups, tasks)
+    folders = [x for x in shared.listing(spark, source) if x.startswith("g=")]
+    if not folders:
+        return spark.createDataFrame([], f"{RECORD_TYPE}, out_path string"), {"files_before": 0, "files_after": 0, "records": 0}
+    line = F.from_json("value", "entity string, tbl string")
+    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"e": line["entity"], "t": line["tbl"]})
+    back = spark.read.option("recursiveFileLookup", "true").text(out)
+    return back.select(F.from_json("value", RECORD_TYPE).alias("r"), F.col("_metadata.file_path").alias("out_path")).select("r.*", "out_path"), done
+
+
+def small_files(manifests: DataFrame, rows: DataFrame, path: str, below: int = SMALL) -> DataFrame:
+    """TABLE, segment_path of the files with fewer records than below that a compaction has taken up and written anew.
+
+    A record is a row number; files whose rows have none hold no record and are small.
+    """
+    records, _ = compact_segments(manifests, rows, path)
+    counted = records.groupBy(*TABLE, "segment_path").agg(F.count_distinct("row_no").alias("records"))
+    return counted.filter(F.col("records") < below).select(*TABLE, "segment_path")
