@@ -83,6 +83,29 @@ def test_merge_on_read_needs_no_shuffle(spark):
     store.append(feed_of(spark, random_changes(50, 1)), 2, "delivery_id")
     plan = store.read()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
+    # one sort merges the runs; neither the fold of columns nor that of keys sorts again
+    assert plan.count("Sort [") == 1 and plan.count("SortAggregate(") + plan.count("ObjectHashAggregate(") >= 2
+
+
+def test_runs_are_even_whatever_the_numbers_of_their_arrivals(spark):
+    changes = [change(i, "INSERT", str(i), {"a": "x"}) for i in range(1000)] + [change(10**15, "INSERT", "last", {"a": "x"})] + [{**change(0, "INSERT", f"n{i}", {"a": "x"}, row_no=i + 1), "delivery_id": None} for i in range(100)]
+    store = changelog.ChangeStore(spark, shared.scratch_path(spark, "t"), 2)
+    store.append(feed_of(spark, changes), 4, "delivery_id")
+    sizes = {r["run"]: r["count"] for r in spark.table(store.name).filter("col IS NULL").groupBy("run").count().collect()}
+    assert sorted(sizes) == store.runs() == [0, 1, 2, 3] and sum(sizes.values()) == 1101 and max(sizes.values()) < 320
+    assert found(store.read()) == current_rows([{**c, "delivery_id": 0} for c in changes])
+
+
+def test_runs_are_written_in_the_order_they_are_read_in(spark):
+    store = changelog.ChangeStore(spark, shared.scratch_path(spark, "t"), 2)
+    store.append(feed_of(spark, random_changes(400, 9)), 2, "delivery_id")
+    store.append(feed_of(spark, random_changes(90, 2)))
+    for compacted in (False, True):
+        if compacted:
+            store.compact()
+        for f in spark.table(store.name).inputFiles():
+            rows = [(r[changelog.HASH], r["entity"], r["tbl"], r["pk"].encode(), (r["col"] is not None, (r["col"] or "").encode())) for r in spark.read.parquet(f).collect()]
+            assert rows == sorted(rows)
 
 
 def test_a_hot_key_is_folded(spark):

@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 BLANK = r"^[\s\p{Z}\x1c-\x1f\x85]*$"
 EDGE = " \t\r\n\f\u000b\u00a0"
 
 
-@arrow_udf(T.StringType())
-def _nfc(values: pa.Array) -> pa.Array:
-    form = unicodedata.normalize
-    return pa.array([v if v is None else form("NFC", v) for v in values.to_pylist()], pa.string())
-
-
 def nfc(col: Column) -> Column:
-    """NFC of a text; null stays null. Only texts beyond ASCII go to Python, all others are their own NFC."""
-    return F.coalesce(_nfc(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+    """NFC of a text; null stays null. Only texts beyond ASCII are looked at, all others are their own NFC.
+
+    Done in the JVM by the ICU library that Spark brings along for its collations. To the
+    optimiser a call by reflection may give another value each time, so filters stay
+    above it: filter first, then normalise.
+    """
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(col, F.lit("")), F.lit(False))
+    return F.coalesce(F.when(col.rlike(r"[^\x00-\x7F]"), composed), col)
 
 
 def blank(col: Column) -> Column:

@@ -15,6 +15,7 @@ before anything is shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
@@ -25,6 +26,7 @@ from tidewell.functions.text import blank, nfc, strip
 from tidewell.sources import shared
 
 KEY = ["entity", "tbl", "pk"]
+HASH = "key_hash"
 SEQUENCE = ["file_no", "pos", "row_no"]
 PUT, TOMBSTONE = "put", "tombstone"
 #: The most changes in a run that take_in makes, and the changes that it reckons with for a bucket.
@@ -45,11 +47,10 @@ def changes(feed: DataFrame, *carry: str) -> DataFrame:
     kind. was is the key that an update has moved away from, else null.
     """
     op = F.upper(strip(F.col("op_type")))
-    f = feed.select(
-        *carry, "entity", "tbl", "row_columns", "row_values", op.alias("op"), F.col("pk").alias("raw_pk"),
-        nfc(F.col("pk")).alias("pk"), nfc(F.when(op == "UPDATE", F.col("pk_before"))).alias("before"),
+    f = feed.filter(~blank(F.col("pk")) & op.isin("INSERT", "UPDATE", "DELETE")).select(
+        *carry, "entity", "tbl", "row_columns", "row_values", op.alias("op"), nfc(F.col("pk")).alias("pk"), nfc(F.when(op == "UPDATE", F.col("pk_before"))).alias("before"),
         file_number(F.col("binlog_file")).alias("file_no"), F.col("binlog_pos").cast("bigint").alias("pos"), F.col("row_no").cast("int").alias("row_no"),
-    ).filter(~blank(F.col("raw_pk")) & F.col("op").isin("INSERT", "UPDATE", "DELETE"))
+    )
     was = F.when(~blank(F.col("before")) & (F.col("before") != F.col("pk")), F.col("before"))
     listed = F.col("op") != "DELETE"
     return f.select(*carry, *KEY, was.alias("was"), *SEQUENCE, F.substring("op", 1, 1).alias("op"), F.when(listed, F.col("row_columns")).alias("row_columns"), F.when(listed, F.col("row_values")).alias("row_values"))
@@ -81,18 +82,25 @@ def cells(by_key_: DataFrame, *carry: str) -> DataFrame:
     return by_key_.select(*carry, *KEY, *SEQUENCE, F.inline(every))
 
 
+def hashed(cells_: DataFrame) -> DataFrame:
+    """With HASH, the hash of the key: what buckets are made of and what everything is sorted by first."""
+    return cells_.withColumn(HASH, F.xxhash64(*KEY))
+
+
 def newest(cells_: DataFrame, *within: str) -> DataFrame:
-    """The newest cell of each (key, column). The leading hash makes the sort compare one long."""
-    by = [*within, *KEY, "col"]
-    top = F.max(F.struct(*SEQUENCE, "value")).alias("c")
-    return cells_.groupBy(F.xxhash64(*KEY, "col").alias("_h"), *by).agg(top).select(*by, "c.*")
+    """The newest cell of each (key, column) of hashed cells, in the order (*within, HASH, KEY, col)."""
+    by = [*within, HASH, *KEY, "col"]
+    return cells_.groupBy(*by).agg(F.max(F.struct(*SEQUENCE, "value")).alias("c")).select(*by, "c.*")
 
 
 def fold_keys(newest_cells: DataFrame) -> DataFrame:
-    """One row a key: base (the newest marker, null if there is none) and the cells, as wide as the table."""
+    """One row a key: base (the newest marker, null if there is none) and the cells, as wide as the table.
+
+    The order that newest() leaves is the one this needs, so nothing is sorted again.
+    """
     marker = F.when(F.col("col").isNull(), F.struct(*SEQUENCE, F.col("value").alias("kind")))
     cell = F.when(F.col("col").isNotNull(), F.struct("col", F.struct(*SEQUENCE).alias("seq"), "value"))
-    return newest_cells.groupBy(F.xxhash64(*KEY).alias("_h"), *KEY).agg(F.max(marker).alias("base"), F.collect_list(cell).alias("cells"))
+    return newest_cells.groupBy(HASH, *KEY).agg(F.max(marker).alias("base"), F.collect_list(cell).alias("cells"))
 
 
 def _base() -> Column:
@@ -127,9 +135,10 @@ class ChangeStore:
         self.buckets = buckets
         self.name = f"tidewell_runs_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (entity STRING, tbl STRING, pk STRING, col STRING, file_no BIGINT, pos BIGINT, row_no INT, value STRING, run INT) "
-            f"USING parquet PARTITIONED BY (run) CLUSTERED BY (entity, tbl, pk) SORTED BY (entity, tbl, pk, col, file_no, pos, row_no) INTO {buckets} BUCKETS LOCATION '{self.path}/data'"
+            f"CREATE TABLE {self.name} ({HASH} BIGINT, entity STRING, tbl STRING, pk STRING, col STRING, file_no BIGINT, pos BIGINT, row_no INT, value STRING, run INT) "
+            f"USING parquet PARTITIONED BY (run) CLUSTERED BY ({HASH}) SORTED BY ({HASH}, entity, tbl, pk, col) INTO {buckets} BUCKETS LOCATION '{self.path}/data'"
         )
+        shared.scratch_table(spark, self.name)  # the entry goes with the process, the files stay
         if versions:
             spark.catalog.recoverPartitions(self.name)
 
@@ -156,36 +165,40 @@ class ChangeStore:
 
     def _bucket(self) -> Column:
         """The bucket that the table's writer will choose: a task that holds whole buckets writes one file for each."""
-        return F.pmod(F.hash(*KEY), F.lit(self.buckets))
+        return F.pmod(F.hash(HASH), F.lit(self.buckets))
 
     def _write(self, cells_: DataFrame) -> None:
-        cells_.select(*KEY, "col", *SEQUENCE, "value", F.col("run").cast("int")).write.insertInto(self.name)
+        cells_.select(HASH, *KEY, "col", *SEQUENCE, "value", F.col("run").cast("int")).write.insertInto(self.name)
 
-    def append(self, feed: DataFrame, runs: int = 1, arrival: str | None = None, bounds: tuple | None = None) -> list[int]:
-        """Adds the changes of feed as so many sorted runs, cut by ranges of the arrival column (bounds, if known: its ends).
+    def append(self, feed: DataFrame, runs: int = 1, arrival: str | None = None) -> list[int]:
+        """Adds the changes of feed as so many sorted runs of about equal size, cut at quantiles of the arrival column.
 
         Narrow changes are shuffled once, by run and bucket; a run is bounded, and so is
         what a hot key can bring into one task. There each (key, column) is folded to its
-        newest cell, and the run is written sorted.
+        newest cell, and the run is written in the order it was folded in.
         """
         first = self._next()
-        low = high = None
+        cut = F.lit(0)
         if runs > 1 and arrival:
-            low, high = bounds or feed.agg(F.min(arrival), F.max(arrival)).first()
-        if low is None:
-            runs, cut = 1, F.lit(0)
-        else:
-            cut = F.coalesce(F.floor((F.col(arrival) - F.lit(low)) * F.lit(runs) / F.lit(high - low + 1)).cast("int"), F.lit(0))
-        rows = by_key(changes(feed.withColumn("run", cut + F.lit(first)), "run")).withColumn("bucket", self._bucket())
+            # changes without an arrival are dealt out, so that they don't all come into one run
+            at = F.coalesce(F.col(arrival).cast("double"), F.lit(0.0))
+            bounds = feed.select(at.alias("at")).filter(F.col(arrival).isNotNull()).approxQuantile("at", [i / runs for i in range(1, runs)], 0.05 / runs)
+            dealt = F.pmod(F.xxhash64("entity", "tbl", "pk", "binlog_pos"), F.lit(runs)).cast("int")
+            cut = F.when(F.col(arrival).isNull(), dealt).otherwise(functools.reduce(lambda a, b: a + b, [F.when(at > b, 1).otherwise(0) for b in bounds], F.lit(0)))
+        rows = hashed(by_key(changes(feed.withColumn("run", cut + F.lit(first)), "run"))).withColumn("bucket", self._bucket())
         parts = runs * self.buckets if runs < 4 else max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.buckets)
         placed = rows.repartition(parts, "run", "bucket")
-        self._write(newest(cells(placed, "run", "bucket"), "run", "bucket"))
+        self._write(newest(cells(placed, "run", "bucket", HASH), "run", "bucket"))
         added = list(range(first, first + runs))
         self._commit([*self.runs(), *added], added[-1])
         return added
 
     def merged(self) -> DataFrame:
-        """The newest cells over all runs. Each task reads one bucket of every run."""
+        """The newest cells over all runs. Each task reads one bucket of every run.
+
+        The engine has no merge of sorted inputs, but its sort (TimSort) takes the runs, each
+        in order already, as they are and merges them; nothing is sorted after that.
+        """
         live = self.runs()
         table = self.spark.table(self.name)
         return newest(table.filter(F.col("run").isin(live)) if live else table.filter(F.lit(False)))
@@ -207,8 +220,8 @@ class ChangeStore:
         marker = F.when(F.col("base").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("col"), F.struct(*seq).alias("seq"), F.col("base.kind").alias("value"))))
         none = F.array().cast(folded.schema["cells"].dataType)
         kept = F.filter("cells", lambda c: F.col("base").isNull() | (c["seq"] >= _base()))
-        flat = folded.select(*KEY, F.inline(F.concat(F.coalesce(marker, none), kept)))
-        self._write(flat.select(*KEY, "col", "seq.*", "value", F.lit(run).alias("run")))
+        flat = folded.select(HASH, *KEY, F.inline(F.concat(F.coalesce(marker, none), F.array_sort(kept))))
+        self._write(flat.select(HASH, *KEY, "col", "seq.*", "value", F.lit(run).alias("run")))
         self._commit([run], run)
         return run
 
@@ -231,12 +244,12 @@ class ChangeStore:
 def take_in(feed: DataFrame, arrival: str = "delivery_id", least_runs: int = 4) -> ChangeStore:
     """A new store in the shared folder that holds a whole feed, by runs of at most RUN_CHANGES changes in the order of arrival."""
     spark = feed.sparkSession
-    n, low, high = feed.agg(F.count("*"), F.min(arrival), F.max(arrival)).first()
+    n = feed.count()
     runs = max(least_runs, math.ceil(n / RUN_CHANGES))
     few = max(1, math.ceil(n / SMALL_BUCKET))
     buckets = min(few, max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / BUCKET_CHANGES)))
     store = ChangeStore(spark, shared.scratch_path(spark, "changes"), buckets)
-    store.append(feed, runs, arrival, (low, high))
+    store.append(feed, runs, arrival)
     return store
 
 
