@@ -60,7 +60,7 @@ def test_typed_literals(spark):
 
 
 def test_trees(spark, blanks):
-    resolve = lambda n: (F.col(n), blanks.schema[n].dataType)
+    resolve = lambda f: (F.col(f.field), blanks.schema[f.field].dataType)
     got = lambda t: {r["id"] for r in blanks.filter(predicates.tree(t, resolve)).collect()}
     assert got(FilterGroup("And")) == {1, 2, 3, 4} and got(FilterGroup("Or")) == set()
     t = tree_from({"op": "Or", "filters": [{"field": "s", "op": "Eq", "value": "x"}, {"op": "And", "children": [{"field": "n", "op": "Lt", "value": "0"}, {"field": "s", "op": "IsNull"}]}]})
@@ -80,7 +80,7 @@ def test_unknown_operators_are_errors(blanks):
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id", "cast(id AS string) AS s", "id % 7 AS k").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    test = predicates.flat([Filter("k", "Eq", "3"), Filter("s", "In", "x,y")], "And", lambda n: (F.col(n), df.schema[n].dataType))
+    test = predicates.flat([Filter("k", "Eq", "3"), Filter("s", "In", "x,y")], "And", lambda f: (F.col(f.field), df.schema[f.field].dataType))
     plan = df.filter(test).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,3)" in plan and "In(s, [x,y])" in plan
 

@@ -2,10 +2,11 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell import spec
 from tidewell.cache import ResponseCache
-from tidewell.catalog import Catalog
+from tidewell.catalog import Catalog, normalised
 from tidewell.errors import AccessDenied, SpecError
 from tidewell.plans import shaping
 from tidewell.plans.batches import Batch
@@ -234,15 +235,63 @@ def test_row_level_security(spark):
     assert credential({"AUTHORIZATION": "bearer  a "}) == "a" and credential({"X-Api-Key": "b"}) == "b" and credential({"authorization": "Basic x"}) is None
 
 
+def test_any_number_of_keys_may_share_a_prefix(spark):
+    tokens = [f"tok_live_000{i:05d}" for i in range(300)]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string").select(F.substring("token", 10, 8).cast("long").alias("user_id"), F.substring("token", 1, 12).alias("prefix"), F.sha2("token", 256).alias("key_sha256"))
+    assert df.select("prefix").distinct().count() == 1
+    assert [api_key_owner(df, tokens[i]) for i in (0, 31, 32, 150, 299)] == [0, 31, 32, 150, 299]
+
+
+def test_tables_of_users_and_keys_need_an_identity_too(spark):
+    c = Catalog(spark)
+    c.register("", "users", spark.range(2))
+    op = ReadOp("users", select=s("id"), auth=Auth(filter_col="id"))
+    with pytest.raises(AccessDenied):
+        Plan(op, c).data
+    assert rows(Plan(op, c, identity=1).data) == [(0,), (1,)]
+
+
+def test_keys_are_equal_in_any_unicode_form(spark):
+    forms = ["caf\u00e9", "cafe\u0301", "\u03a9", "\u2126", "\ud55c", "\u1112\u1161\u11ab", "n\u0303", "\ufb01", "fi", "K1", "\u212a1", "x"]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "id long, k string")
+    c = Catalog(spark)
+    c.register("", "raw", df, ["k"])
+    c.register("", "kept", normalised(df, ["k"]), ["id"], indexed=["k"], in_nfc=True)
+    c.register("", "other", df, ["id"])
+    ask = lambda t, op, v, **more: [r[0] for r in rows(Plan(ReadOp(t, select=s("id"), order_by=(OrderBy("id"),), filters=(Filter("k", op, v, **more),)), c).data)]
+    for t in ("raw", "kept"):
+        for asked, want in (("cafe\u0301", [0, 1]), ("caf\u00e9", [0, 1]), ("\u2126", [2, 3]), ("\u1112\u1161\u11ab", [4, 5]), ("\u00f1", [6]), ("fi", [8]), ("\ufb01", [7]), ("K1", [9, 10]), ("\u212a1", [9, 10]), ("x", [11])):
+            assert ask(t, "Eq", asked) == want and ask(t, "In", None, values=(asked, "zz")) == want, (t, asked)
+            assert ask(t, "Ne", asked) == ask(t, "NotIn", asked) == [i for i in range(12) if i not in want]
+    assert ask("other", "Eq", "cafe\u0301") == [1]
+    # a lookup in columns stored in NFC, and one of plain letters in any, is a plain comparison
+    for t, v in (("kept", "cafe\u0301"), ("raw", "x")):
+        assert "reflect" not in Plan(ReadOp(t, select=s("id"), filters=(Filter("k", "Eq", v),)), c).data._jdf.queryExecution().optimizedPlan().toString()
+    j = Join("raw", (JoinOn("a.k", "b.k"),), "Inner", "b")
+    pairs = rows(Plan(ReadOp("other", alias="a", joins=(j,), select=(Select("a.id", None, "x"), Select("b.id", None, "y"))), c, options=WHOLE).data)
+    assert len(pairs) == 4 * 4 + 4 and (0, 1) in pairs and (10, 9) in pairs
+
+
+def test_a_page_that_is_enriched_is_cut_once(spark):
+    c = Catalog(spark)
+    c.register("e", "l", spark.range(1000).selectExpr("id", "id % 10 AS k").repartition(7))
+    c.register("e", "r", spark.range(10).selectExpr("id AS k", "id * 2 AS amount"))
+    second = ReadOp("r", "", "e", filters=(Filter("k", "In", "$split_ids"),), select=(Select("k"), Select("amount")))
+    op = ReadOp("l", "", "e", select=(Select("id"), Select("k")), limit=5, split=SplitEnrichment("k", second, merge_fields=("amount",)))
+    got = enrich(op, c).collect()
+    assert len(got) == 5 and all(r["amount"] == 2 * r["k"] for r in got)
+    assert not Plan(op, c).settled
+
+
 def test_catalog(spark):
     c = Catalog(spark)
     c.register("E", "T", spark.range(3))
     c.register("E", "t", spark.range(2))
-    assert c.table("E", "t").df.count() == 2 and c.table("e", "T").df.count() == 3 and c.entities() == {"E": ["T", "t"]}
+    assert c.table("E", "t").df.count() == 2 and c.table("E", "T").df.count() == 3 and c.entities() == {"E": ["T", "t"]}
     assert c.ensure("new", "x", "a int, b string", ["a"]).df.columns == ["a", "b"] and c.table("NEW", "X").df.count() == 0
     c.register("E", "v", spark.createDataFrame([("b",), ("a",), ("",), (None,), ("a",)], "s string"))
     assert rows(c.field_values("E", "v", "s")) == [("a",), ("b",)]
-    for call in (lambda: c.table("E", "none"), lambda: c.register("E", "k", spark.range(1), ["zz"])):
+    for call in (lambda: c.table("E", "none"), lambda: c.table("e", "T"), lambda: c.register("E", "k", spark.range(1), indexed=["zz"]), lambda: c.register("E", "k", spark.range(1), ["zz"])):
         with pytest.raises(SpecError):
             call()
 

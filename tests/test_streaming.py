@@ -8,6 +8,7 @@ from test_changelog import COLUMNS, change, feed_of, found, random_changes
 
 from tidewell.errors import SpecError
 from tidewell.operators import maintenance
+from tidewell.operators.incremental import VersionedTable
 from tidewell.sources import readers
 from tidewell.spec import Filter, FilterGroup, InsertOp, Join, JoinOn, ReadOp
 from tidewell.streaming import replica, subscriptions
@@ -120,7 +121,11 @@ def test_snapshots(spark, tmp_path):
     assert maintenance.latest_per_key(df, ["id"], ["seq"]).agg(F.sum("seq")).first()[0] == sum(range(500, 1000))
     for _ in range(2):
         maintenance.rewrite_snapshot(spark, win, str(tmp_path / "s"), ["id"], 100)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 500
+    table = VersionedTable(spark, str(tmp_path / "s"))
+    assert table.version() == 1 and table.read().count() == table.read(0).count() == 500
+    # a rewrite of the table's own rows
+    maintenance.rewrite_snapshot(spark, table.read(), str(tmp_path / "s"), ["id"], 1000)
+    assert table.version() == 2 and table.read().agg(F.sum("id")).first()[0] == win.agg(F.sum("id")).first()[0]
     assert maintenance.needs_compaction(20, 1000) and not maintenance.needs_compaction(3, 10) and not maintenance.needs_compaction(4, 100_000)
 
 

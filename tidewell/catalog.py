@@ -7,38 +7,52 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell.errors import SpecError
+from tidewell.functions.text import nfc
 
 
 @dataclass(frozen=True)
 class Table:
-    """key: the primary key's columns, () if unknown; hidden: columns that `*` and the default projection leave out."""
+    """key: the primary key's columns, () if unknown; hidden: columns that `*` and the default projection leave out.
+
+    The texts of key and indexed columns are equal if their NFC forms are. in_nfc says that
+    they are stored in that form (see normalised), so that lookups reach the scan.
+    """
 
     df: DataFrame
     key: tuple[str, ...] = ()
     hidden: tuple[str, ...] = ()
+    indexed: tuple[str, ...] = ()
+    in_nfc: bool = False
 
     @property
     def base_columns(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.hidden]
 
 
+def normalised(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """df with the texts of columns in NFC: what a table of in_nfc columns is written from."""
+    texts = [c for c in columns if df.schema[c].dataType == StringType()]
+    return df.withColumns({c: nfc(F.col(f"`{c}`")) for c in texts})
+
+
 class Catalog:
-    """Names are matched exactly, else without regard to letter case; of several such the one with most rows is taken."""
+    """Names are matched exactly, else without regard to letter case; a name that so means several tables is an error."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[tuple[str, str], Table] = {}
         self.paths: dict[tuple[str, str], tuple[str, tuple[str, ...]]] = {}
 
-    def register(self, entity: str, name: str, df: DataFrame, key: Iterable[str] = (), hidden: Iterable[str] = ()) -> None:
-        key = tuple(key)
-        if unknown := [k for k in key if k not in df.columns]:
+    def register(self, entity: str, name: str, df: DataFrame, key: Iterable[str] = (), hidden: Iterable[str] = (), indexed: Iterable[str] = (), in_nfc: bool = False) -> None:
+        key, indexed = tuple(key), tuple(indexed)
+        if unknown := [k for k in (*key, *indexed) if k not in df.columns]:
             raise SpecError(f"key columns {unknown} are not in {entity}.{name}")
         if len(set(df.columns)) < len(df.columns):
             raise SpecError(f"{entity}.{name} has a column name twice")
-        self.tables[entity, name] = Table(df, key, tuple(hidden))
+        self.tables[entity, name] = Table(df, key, tuple(hidden), indexed, in_nfc)
 
     def register_parquet(self, entity: str, name: str, path: str, key: Iterable[str] = ()) -> None:
         """A table that is opened when it is first asked for."""
@@ -63,10 +77,12 @@ class Catalog:
         known = {*self.tables, *self.paths}
         if (entity, name) in known:
             return self._opened(entity, name)
-        near = [self._opened(e, n) for e, n in sorted(known) if (e.lower(), n.lower()) == (entity.lower(), name.lower())]
+        near = [(e, n) for e, n in sorted(known) if (e.lower(), n.lower()) == (entity.lower(), name.lower())]
         if not near:
             raise SpecError(f"no table '{name}' in entity '{entity}'")
-        return near[0] if len(near) == 1 else max(near, key=lambda t: t.df.count())
+        if len(near) > 1:
+            raise SpecError(f"'{entity}.{name}' may be any of {', '.join(f'{e}.{n}' for e, n in near)}")
+        return self._opened(*near[0])
 
     def ensure(self, entity: str, name: str, schema, key: Iterable[str] = ()) -> Table:
         """The table; one first seen in a change stream starts empty with the schema of its changes."""

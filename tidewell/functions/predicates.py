@@ -22,7 +22,8 @@ from tidewell.functions.dates import PATTERN, is_date_text
 from tidewell.functions.numbers import NUMBER, as_double
 from tidewell.spec import OPS, Filter, FilterGroup
 
-Resolve = Callable[[str], tuple[Column, T.DataType]]
+#: The column that a filter is about, and its type.
+Resolve = Callable[[Filter], tuple[Column, T.DataType]]
 _COMPARE = {"Eq": operator.eq, "Gt": operator.gt, "Gte": operator.ge, "Lt": operator.lt, "Lte": operator.le}
 _is_number = re.compile(NUMBER).match
 
@@ -125,14 +126,14 @@ def disabled(f: Filter) -> bool:
 
 def flat(filters: list[Filter], op: str, resolve: Resolve) -> Column | None:
     """A flat list joined by And or Or; None if nothing is left of it."""
-    tests = [predicate(*resolve(f.field), f) for f in filters if not disabled(f)]
+    tests = [predicate(*resolve(f), f) for f in filters if not disabled(f)]
     return functools.reduce(operator.and_ if op == "And" else operator.or_, tests) if tests else None
 
 
 def tree(node: Filter | FilterGroup, resolve: Resolve) -> Column:
     """A nested tree. An empty And is true, an empty Or false; a disabled leaf isn't there."""
     if isinstance(node, Filter):
-        return predicate(*resolve(node.field), node)
+        return predicate(*resolve(node), node)
     parts = [tree(x, resolve) for x in node.filters if not (isinstance(x, Filter) and disabled(x))]
     if not parts:
         return F.lit(node.op == "And")

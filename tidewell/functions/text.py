@@ -33,14 +33,22 @@ def empty_as_null(col: Column) -> Column:
     return F.when(col.cast("string") != "", col)
 
 
+NUMBER = r"^([+-]?)0*(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,18}))?$"
+
+
 def number_key(col: Column) -> Column:
-    """A text that is equal for equal numbers of any length: '+07', '7.0' and '7e0' agree. What is no number stays as its stripped text."""
+    """A text that is equal for equal numbers of any length and size: '+07', '7.0' and '70e-1' agree. What is no number stays as its stripped text.
+
+    Digits without zeros at their ends, and the power of ten of the first of them.
+    """
     raw = strip(col.cast("string"))
-    n = F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), raw).otherwise(raw.try_cast("decimal(38,18)").cast("string"))
-    # one after the other: a plus sign and zeros in front, zeros behind the point, a bare point, a missing 0, the sign of 0
-    for pattern, by in ((r"^\+", ""), (r"^(-?)0+", "$1"), (r"(\.\d*?)0+$", "$1"), (r"\.$", ""), (r"^(-?)(?=\.|$)", "$10"), (r"^-0$", "0")):
-        n = F.regexp_replace(n, pattern, by)
-    return F.when(raw != "", F.coalesce(n, F.concat(F.lit("text:"), raw)))
+    whole, part, power = (F.regexp_extract(raw, NUMBER, i) for i in (2, 3, 4))
+    digits = F.concat(whole, part)
+    tail = F.ltrim(digits, F.lit("0"))
+    first = F.coalesce(power.try_cast("bigint"), F.lit(0)) + F.length(whole) - (F.length(digits) - F.length(tail))
+    sign = F.when(F.regexp_extract(raw, NUMBER, 1) == "-", "-").otherwise("")
+    n = F.when(tail == "", "0").otherwise(F.concat(sign, F.rtrim(tail, F.lit("0")), F.lit("e"), first.cast("string")))
+    return F.when(raw != "", F.when(raw.rlike(NUMBER) & raw.rlike(r"^[+-]?\.?\d"), n).otherwise(F.concat(F.lit("text:"), raw)))
 
 
 def boolean_key(col: Column) -> Column:

@@ -187,10 +187,10 @@ class VersionedTable:
         shared.write_json(self.spark, f"{self.path}/versions/{base + 1:010d}.json", {"files": files, "vectors": vectors})
         return base + 1
 
-    def stage(self, df: DataFrame, records_per_file: int = 0) -> list[str]:
+    def stage(self, df: DataFrame, records_per_file: int = 0, options: dict[str, str] | None = None) -> list[str]:
         """Writes files that no version lists yet; their names. Tasks without rows leave none."""
         name = uuid.uuid4().hex
-        df.write.option("maxRecordsPerFile", records_per_file).parquet(f"{self.path}/data/{name}")
+        df.write.options(maxRecordsPerFile=records_per_file, **(options or {})).parquet(f"{self.path}/data/{name}")
         return [f"{name}/{x}" for x in shared.listing(self.spark, f"{self.path}/data/{name}") if x.endswith(".parquet")]
 
     def append(self, df: DataFrame) -> int:

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.sources import shared
+from tidewell.operators.incremental import VersionedTable
 
 
 def matches_table_filter(name: str, wanted: str) -> bool:
@@ -68,20 +68,18 @@ def needs_compaction(files: int, rows: int, target: int = 50_000, least: int = 4
     return files >= least and files > 2 * max(1, math.ceil(rows / target))
 
 
-def rewrite_snapshot(spark: SparkSession, df: DataFrame, path: str, key: list[str], rows_per_file: int = 50_000, bloom: bool = True) -> None:
-    """df sorted by key into files of at most rows_per_file rows at path, with key statistics and bloom filters.
+def rewrite_snapshot(spark: SparkSession, df: DataFrame, path: str, key: list[str], rows_per_file: int = 50_000, bloom: bool = True) -> int:
+    """df sorted by key into files of at most rows_per_file rows, with key statistics and bloom filters: a new version of the table at path.
 
-    Rows are ranged by key, so a point lookup reads one file. path is published by a
-    rename after the write.
+    Rows are ranged by key, so a point lookup reads one file. Readers (VersionedTable.read)
+    see the old version until the new one is committed, and a rewrite that dies on the way
+    leaves it as it was; df may be the old version itself.
     """
-    stage = f"{path.rstrip('/')}.stage"
-    w = df.repartitionByRange(*[F.col(k) for k in key]).sortWithinPartitions(*key).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-    for k in key if bloom else []:
-        w = w.option(f"parquet.bloom.filter.enabled#{k}", "true")
-    w.parquet(stage)
-    if shared.exists(spark, path):
-        shared.delete(spark, path)
-    shared.rename(spark, stage, path)
+    table = VersionedTable(spark, path)
+    base = table.version()
+    made = df.repartitionByRange(*[F.col(k) for k in key]).sortWithinPartitions(*key)
+    blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in key if bloom}
+    return table.commit(base, table.stage(made, rows_per_file, blooms), [])
 
 
 def composite_key(*cols: Column) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.sources import shared
@@ -26,8 +26,10 @@ RECORD_TYPE = "entity string, tbl string, segment_path string, schema_version in
 SMALL, FULL = 20, 200
 #: Formats whose files can be read without losing a column that only some of them have; JSON lines and the like are text.
 FORMATS = ("parquet", "orc", "text")
-#: Records of one segment that write_segments puts into one file; a larger segment comes in parts.
-PART = 100_000
+#: Records of one segment that write_segments puts into one file, and files of a table for one of its tasks.
+PART, TASK_FILES = 1000, 4096
+#: Files of JSON lines are compressed and, on a local disk, written without the checksum files that Hadoop puts beside each.
+SCRATCH = {"compression": "gzip", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def plain_path(path: Column) -> Column:
@@ -39,35 +41,33 @@ def plain_path(path: Column) -> Column:
 
 
 def newest_listing(manifests: DataFrame) -> DataFrame:
-    """TABLE and segment_path, each once, of the files that the highest manifest_version of each table lists."""
+    """TABLE and segment_path, each once, of the files that the highest manifest_version of each table lists, and `spread`: how many tasks the table is worth."""
     newest = manifests.groupBy(*TABLE).agg(F.max(F.struct("manifest_version", "captured_at", F.col("segments.path").alias("paths"))).alias("m"))
-    listed = newest.select(*TABLE, F.explode("m.paths").alias("path")).filter(F.col("path").isNotNull())
-    return listed.select(*TABLE, plain_path(F.col("path")).alias("segment_path")).distinct()
+    spread = F.ceil(F.size("m.paths") / TASK_FILES).cast("int").alias("spread")
+    listed = newest.select(*TABLE, spread, F.explode("m.paths").alias("path")).filter(F.col("path").isNotNull())
+    return listed.select(*TABLE, plain_path(F.col("path")).alias("segment_path"), "spread").distinct()
 
 
 def listed_records(manifests: DataFrame, rows: DataFrame) -> DataFrame:
-    """RECORD of the listed files that exist. A null path is ''."""
+    """RECORD and spread of the listed files that exist. A null path is ''."""
     held = rows.select(*[F.coalesce(c, F.lit("")).alias(c) if c == "segment_path" else c for c in RECORD])
-    return held.join(newest_listing(manifests), [*TABLE, "segment_path"], "left_semi")
+    return held.join(newest_listing(manifests), [*TABLE, "segment_path"])
 
 
-def write_segments(records: DataFrame, path: str, groups: int, tasks: int) -> None:
-    """Each segment of records as a small file of JSON lines of its own, under path/g=<group>/d=<number>.
+def write_segments(records: DataFrame, path: str, tasks: int) -> None:
+    """Each segment of records (RECORD and spread) as a small file of JSON lines of its own, in the folder path/g=<task>.
 
     Equal rows are one record; all others stay, also those without a row number or with
-    the number of another. All files of a table lie in one group. A segment of more than
-    PART records comes in parts, so that no task has to write a third of all rows. The
-    local file system's checksum files are left out: they would double the files.
+    the number of another. The files of a table lie in one folder, those of a table of
+    many files in several. A segment of more than PART records comes in parts, so no
+    task has to hold more of it.
     """
-    part = F.coalesce(F.floor(F.col("row_no") / PART), F.lit(0))
-    keyed = records.withColumns({"_t": F.pmod(F.xxhash64(*TABLE, "segment_path", part), F.lit(tasks)).cast("int"), "_h": F.xxhash64(F.lit(1), *TABLE, "segment_path", part)})
-    once = keyed.repartitionById(tasks, F.col("_t")).distinct()
-    # within a task each segment has a folder number of its own, so a folder gets one file from each task for each segment
-    own = F.dense_rank().over(Window.partitionBy("_t").orderBy("_h")).alias("d")
-    line = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"}).alias("value")
-    out = once.select(F.pmod(F.xxhash64(*TABLE), F.lit(groups)).alias("g"), own, line)
-    plain = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-    out.write.partitionBy("g", "d").options(**plain).text(path)
+    none = -1 - F.pmod(F.xxhash64("rec_key", "row_json"), F.lit(64))
+    part = F.coalesce(F.floor(F.col("row_no") / PART), none)
+    line = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"})
+    keyed = records.select(F.pmod(F.xxhash64(*TABLE, F.pmod(F.xxhash64("segment_path", part), "spread")), F.lit(tasks)).cast("int").alias("g"), *TABLE, "segment_path", part.alias("part"), line.alias("line"))
+    files = keyed.repartitionById(tasks, F.col("g")).groupBy("g", *TABLE, "segment_path", "part").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("value"))
+    files.select("g", "value").write.partitionBy("g").option("maxRecordsPerFile", 1).options(**SCRATCH).text(path)
 
 
 class LossError(RuntimeError):
@@ -90,8 +90,20 @@ def fingerprint(df: DataFrame, columns: list[str]) -> tuple[int, ...]:
     return tuple(r)
 
 
+def packed_session(spark: SparkSession, file_bytes: int, open_cost: int) -> SparkSession:
+    """A session like spark that combines small files into splits of file_bytes, each file counting open_cost bytes more."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.files.maxPartitionBytes", file_bytes)
+    own.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    # a listing of many folders is a job: of as many tasks as there are cores, not one a folder
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.defaultParallelism)
+    # in a union every group of files stays a task of its own
+    own.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return own
+
+
 def compact_directory(
-    spark: SparkSession, source: str, out: str, file_bytes: int = 128 << 20, open_cost: int = 4 << 20, source_format: str = "parquet", groups: list[str] | None = None, most_records: int = 0, partition: dict[str, Column] | None = None,
+    spark: SparkSession, source: str, out: str, file_bytes: int = 128 << 20, open_cost: int = 4 << 20, source_format: str = "parquet", groups: list[str] | None = None, most_records: int = 0, partition: dict[str, Column] | None = None, options: dict[str, str] | None = None,
 ) -> dict[str, int]:
     """Consolidates the files under source into files of about file_bytes each at out (which must not exist yet).
 
@@ -100,19 +112,15 @@ def compact_directory(
     their own. groups names folders under source that are packed each by itself, so that
     files of different groups never meet. most_records bounds a file. With partition
     (name: value made from the columns of source), files are written apart by these
-    values. Columns are the union of those of all files; text files are kept line by line.
+    values; options are those of the writer. Columns are the union of those of all files; text files are kept line by line.
     Returns files and records before and after. Raises LossError, with nothing
     published, if a record is lost, doubled or changed: what is written is counted as it
     is read, and held against what the staged files hold.
     """
     if source_format not in FORMATS:
         raise ValueError(f"'{source_format}' can't be compacted without loss; one of {', '.join(FORMATS)}")
-    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    own.conf.set("spark.sql.files.maxPartitionBytes", file_bytes)
-    own.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    own = packed_session(spark, file_bytes, open_cost)
     own.conf.set("spark.sql.files.minPartitionNum", 1)
-    # a listing of many folders is a job: of as many tasks as there are cores, not one a folder
-    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.defaultParallelism)
     schema = own.read.format(source_format).option("mergeSchema", "true").option("recursiveFileLookup", "true").load(source).schema if groups and source_format != "text" else None
     parts, before = [], 0
     for g in groups or [""]:
@@ -126,7 +134,7 @@ def compact_directory(
     seen = Observation()
     stage = f"{out.rstrip('/')}.stage"
     made = df.observe(seen, *[c.alias(n) for n, c in _marks(columns).items()]).withColumns(partition or {})
-    w = made.write.mode("overwrite").format(source_format).option("maxRecordsPerFile", most_records)
+    w = made.write.mode("overwrite").format(source_format).option("maxRecordsPerFile", most_records).options(**(options or {}))
     (w.partitionBy(*partition) if partition else w).save(stage)
     staged = own.read.format(source_format).option("recursiveFileLookup", "true").schema(df.schema).load(stage)
     want, have = tuple(seen.get[n] for n in _marks(columns)), fingerprint(staged, columns)
@@ -144,24 +152,23 @@ def _listed_files(df: DataFrame) -> tuple[int, int]:
     return len(scan.inputFiles()), scan.sizeInBytes()
 
 
-def compact_segments(manifests: DataFrame, rows: DataFrame, path: str, full: int = FULL, file_bytes: int = 128 << 20, open_cost: int = 16 << 10) -> tuple[DataFrame, dict[str, int]]:
+def compact_segments(manifests: DataFrame, rows: DataFrame, path: str, full: int = FULL, file_bytes: int = 128 << 20, open_cost: int = 1 << 10) -> tuple[DataFrame, dict[str, int]]:
     """Lays out the listed segments as files under path, compacts them, and reads the output back: RECORD and out_path.
 
-    Files of a table come together by its group and are written apart by table, up to
+    Files of a table come together by its folder and are written apart by table, up to
     `full` records each. Also returns the counts of compact_directory, all 0 if nothing
     is listed.
     """
     spark = rows.sparkSession
-    groups = 2 * spark.sparkContext.defaultParallelism
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     source, out = f"{path}/small", f"{path}/large"
-    write_segments(listed_records(manifests, rows), source, groups, tasks)
+    write_segments(listed_records(manifests, rows), source, tasks)
     folders = [x for x in shared.listing(spark, source) if x.startswith("g=")]
     if not folders:
         return spark.createDataFrame([], f"{RECORD_TYPE}, out_path string"), {"files_before": 0, "files_after": 0, "records": 0}
     line = F.from_json("value", "entity string, tbl string")
-    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"e": line["entity"], "t": line["tbl"]})
-    back = spark.read.option("recursiveFileLookup", "true").text(out)
+    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"e": line["entity"], "t": line["tbl"]}, SCRATCH)
+    back = packed_session(spark, file_bytes, open_cost).read.option("recursiveFileLookup", "true").text(out)
     return back.select(F.from_json("value", RECORD_TYPE).alias("r"), F.col("_metadata.file_path").alias("out_path")).select("r.*", "out_path"), done
 
 

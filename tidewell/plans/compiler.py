@@ -10,6 +10,7 @@ Inside a plan a column is named `alias.field`, so equal names of two tables neve
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -24,8 +25,14 @@ from tidewell.errors import AccessDenied, SpecError
 from tidewell.functions import expressions, predicates
 from tidewell.functions.dates import derived_columns
 from tidewell.functions.numbers import as_double, exact_sum
+from tidewell.functions.text import nfc
 from tidewell.params import bind_read
-from tidewell.spec import Collect, Filter, Join, OrderBy, ReadOp, check_join
+from tidewell.spec import Collect, Filter, FilterGroup, Join, OrderBy, ReadOp, check_join
+
+#: Comparisons that see canonically equal texts of key and indexed columns as one.
+EQUALITIES = ("Eq", "Ne", "In", "NotIn")
+#: Fixed value: the plain letters that are the NFC of a character beyond ASCII.
+COMPOSED = set("K;`")
 
 
 @dataclass(frozen=True)
@@ -77,7 +84,7 @@ class Plan:
 
     def __init__(self, op: ReadOp, catalog: Catalog, params: Mapping[str, Any] | None = None, identity: Any = None, options: Options = Options(), key_set: tuple[str, DataFrame] | None = None):
         self.params, self.options, self.identity, self.catalog = params or {}, options, identity, catalog
-        self.op = op = bind_read(op, self.params)
+        op = bind_read(op, self.params)
         self.key_set = key_set
         self.aliases: dict[str, Table] = {op.base: catalog.table(op.entity, op.table)}
         for j in op.joins:
@@ -85,6 +92,7 @@ class Plan:
             if j.name in self.aliases:
                 raise SpecError(f"alias '{j.name}' is there twice")
             self.aliases[j.name] = catalog.table(j.entity or op.entity, j.table)
+        self.op = op = replace(op, filters=tuple(self._in_nfc(f) for f in op.filters), filter_tree=op.filter_tree and self._in_nfc(op.filter_tree))
         self.joins = {j.name: j for j in op.joins}
         self.types: dict[str, T.DataType] = {}
         self.mentioned = f"{op} {self.params.get('fields')}"
@@ -120,6 +128,33 @@ class Plan:
         full = self.qualify(name)
         return quoted(full), self.types[full]
 
+    def _in_nfc(self, node: Filter | FilterGroup) -> Filter | FilterGroup:
+        """Values that key and indexed columns are compared with, in NFC."""
+        if isinstance(node, FilterGroup):
+            return replace(node, filters=tuple(self._in_nfc(x) for x in node.filters))
+        if node.op not in EQUALITIES or not self._canonical(node.field):
+            return node
+        form = lambda v: v and unicodedata.normalize("NFC", v)
+        return replace(node, value=form(node.value), values=tuple(map(form, node.values)))
+
+    def _canonical(self, name: str) -> Table | None:
+        """The table of a key or indexed column."""
+        head, dot, rest = name.strip().partition(".")
+        table, column = (self.aliases[head], rest) if dot and head in self.aliases else (self.aliases[self.op.base if hasattr(self, "op") else next(iter(self.aliases))], name.strip())
+        return table if column in (*table.key, *table.indexed) else None
+
+    def looked_up(self, f: Filter) -> tuple[Column, T.DataType]:
+        """The column of a filter. An equality with a key or indexed text that isn't stored in NFC compares its NFC.
+
+        A value of plain letters is equal to itself alone, but for the three that other
+        characters are composed to, so most lookups reach the scan either way.
+        """
+        c, kind = self.resolve(f.field)
+        t = self._canonical(f.field) if f.op in EQUALITIES and isinstance(kind, T.StringType) else None
+        if t is None or t.in_nfc or all(v.isascii() and not COMPOSED & set(v) for v in (f.value or "", *f.values)):
+            return c, kind
+        return nfc(c), kind
+
     def synthetic(self, name: str) -> bool:
         alias = self.alias_of(name)
         return alias in self.joins and self.qualify(name)[len(alias) + 1 :] in self.joins[alias].synthetic
@@ -153,10 +188,12 @@ class Plan:
 
     def _secured(self, base: DataFrame) -> DataFrame:
         auth = self.op.auth
-        if auth is None or not auth.enabled or self.op.table.lower() in ("users", auth.table.lower()):
+        if auth is None or not auth.enabled:
             return base
         if self.identity is None:
             raise AccessDenied(f"operation '{self.op.name}' needs an identity")
+        if self.op.table.lower() in ("users", auth.table.lower()):
+            return base
         c, kind = self.resolve(auth.filter_col)
         return base.filter(predicates.predicate(c, kind, Filter(auth.filter_col, "Eq", str(self.identity))))
 
@@ -177,12 +214,12 @@ class Plan:
         for j in op.joins:
             out = self._join(out, j, bound, self._side(self.scans[j.name], sides.get(j.name)))
             bound.append(j.name)
-        if (test := predicates.flat(late, op.filters_op, self.resolve)) is not None:
+        if (test := predicates.flat(late, op.filters_op, self.looked_up)) is not None:
             out = out.filter(test)
-        return out if op.filter_tree is None else out.filter(predicates.tree(op.filter_tree, self.resolve))
+        return out if op.filter_tree is None else out.filter(predicates.tree(op.filter_tree, self.looked_up))
 
     def _side(self, df: DataFrame, filters: list[Filter] | None) -> DataFrame:
-        test = predicates.flat(filters or [], self.op.filters_op, self.resolve)
+        test = predicates.flat(filters or [], self.op.filters_op, self.looked_up)
         return df if test is None else df.filter(test)
 
     def _can_window(self, late: list[Filter]) -> bool:
@@ -210,6 +247,12 @@ class Plan:
             else:
                 raise SpecError(f"a condition of '{j.name}' must link it with a table before it")
         keys = [self._key_pair(a, b) for a, b in pairs]
+        for i, (a, b) in enumerate(pairs):
+            if all(isinstance(self.types[x], T.StringType) for x in (a, b)) and any(t and not t.in_nfc for t in (self._canonical(a), self._canonical(b))):
+                # made beside the rows: a join takes no condition that might give another value each time
+                left = left.withColumn(f"_left{i}", nfc(keys[i][0]))
+                right = right.withColumn(f"_right{i}", nfc(keys[i][1]))
+                keys[i] = F.col(f"_left{i}"), F.col(f"_right{i}")
         if self.options.dedupe_right:
             right = right.select(*[quoted(c) for c in right.columns if self._used(c)]).distinct()
         names = [f"_key{i}" for i in range(len(keys))]
@@ -227,7 +270,7 @@ class Plan:
         else:
             right = right.withColumns({n: b for (_, b), n in zip(keys, names)})
         test = [(a.eqNullSafe(right[n]) if self.options.null_safe_join else a == right[n]) for (a, _), n in zip(keys, names)]
-        out = left.join(right, test, how).drop(*names)
+        out = left.join(right, test, how).drop(*names, *[f"_{side}{i}" for i in range(len(keys)) for side in ("left", "right")])
         zero = {f"{j.name}.{n}": F.coalesce(quoted(f"{j.name}.{n}"), F.lit(0)) for n in j.synthetic}
         return out.withColumns(zero) if zero and how == "left" else out
 
@@ -324,6 +367,11 @@ class Plan:
         ties = [quoted(f"{self.op.base}.{k}") for k in self.aliases[self.op.base].key if f"{self.op.base}.{k}" not in named]
         return df.orderBy(*[self._sort_column(o) for o in self.op.order_by], *ties)
 
+    @property
+    def settled(self) -> bool:
+        """Whether the order leaves no ties, so that a page is the same each time: it ends with the base table's key and no join repeats a row."""
+        return bool(self.op.order_by and self.aliases[self.op.base].key) and all(j.synthetic or self._unique(j) for j in self.op.joins)
+
     def projected(self, df: DataFrame) -> DataFrame:
         return df.select(*[c.alias(h) for h, c in self.projection])
 

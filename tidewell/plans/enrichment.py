@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.catalog import Catalog
 from tidewell.errors import SpecError
 from tidewell.plans.compiler import Options, Plan, quoted
+from tidewell.sources import shared
 from tidewell.spec import ReadOp
 
 
@@ -29,7 +30,12 @@ def enrich(op: ReadOp, catalog: Catalog, params: Mapping[str, Any] | None = None
         raise SpecError(f"operation '{op.name}' has no split_enrichment")
     joins = tuple(j for j in op.joins if not s.base_join_aliases or j.name in s.base_join_aliases)
     select = tuple(x for x in op.select if not s.base_select_aliases or x.header in s.base_select_aliases)
-    base = Plan(replace(op, joins=joins, select=select, split=None), catalog, params, identity, options).data
+    first = Plan(replace(op, joins=joins, select=select, split=None), catalog, params, identity, options)
+    base = first.data
+    if first.limit is not None and not first.settled:
+        # it is used twice below, and without a whole order two evaluations may cut different pages
+        shared.shared_dir(catalog.spark)
+        base = base.checkpoint()
     if s.key_field not in base.columns:
         raise SpecError(f"key field '{s.key_field}' is not in the base result")
     key, marker = s.enrichment_key_field or s.key_field, f"${s.ids_param}"

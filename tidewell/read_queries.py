@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewell import spec
 from tidewell.catalog import Catalog
-from tidewell.functions.text import nfc
 from tidewell.operators import maintenance
+from tidewell.operators.changelog import apply_feed
 from tidewell.plans import shaping
 from tidewell.plans.batches import Batch
 from tidewell.plans.compiler import WHOLE, Plan
@@ -133,10 +133,13 @@ read(
 read("in_list_split", "SELECT event_id FROM events WHERE user_id IN (1, 2, 3)", ReadOp("events", filters=(Filter("user_id", "In", "$ids|split:/:1|trim"),), selected_fields=("event_id",)), ids="users/ 1,2;3 ")
 
 
-@query("SELECT check_id, nfc_normalize(notes) AS notes FROM consistency_checks WHERE nfc_normalize(notes) LIKE '%caf' || chr(233) || '%'")
+@query("SELECT delivery_id, entity, tbl, pk FROM update_events WHERE nfc_normalize(pk) IN ('caf' || chr(233) || '-1000', 'pe' || chr(241) || 'a-1039')")
 def nfc_equal(spark: SparkSession, folder: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/consistency_checks.parquet")
-    return df.select("check_id", nfc(F.col("notes")).alias("notes")).filter(F.contains("notes", F.lit("café")))
+    """Keys that are stored and asked for in either Unicode form."""
+    c = Catalog(spark)
+    c.register("", "changes", spark.read.parquet(f"{folder}/update_events.parquet"), indexed=("pk",))
+    op = ReadOp("changes", filters=(Filter("pk", "In", values=("cafe\u0301-1000", "pe\u00f1a-1039")),), selected_fields=("delivery_id", "entity", "tbl", "pk"))
+    return Plan(op, c, {}, None, WHOLE).data
 
 
 # ---- projections and expressions ----
@@ -330,8 +333,17 @@ def cdc_latest_per_key(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT user_id, max_by(value, event_id) FILTER (WHERE event_type = 'purchase') AS last_purchase, max_by(event_type, event_id) AS last_type FROM events GROUP BY user_id")
 def cdc_partial_update(spark: SparkSession, folder: str) -> DataFrame:
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    return events.groupBy("user_id").agg(F.max_by("value", F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("last_purchase"), F.max_by("event_type", "event_id").alias("last_type"))
+    """A row for each user, put empty, of which each event updates one or two columns."""
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    text = lambda *cs: F.array(*[c.cast("string") for c in cs])
+    fixed = [F.lit("app").alias("entity"), F.lit("users").alias("tbl"), F.col("user_id").cast("string").alias("pk"), F.lit(None).cast("string").alias("pk_before"), F.lit("bin.1").alias("binlog_file"), F.lit(0).alias("row_no")]
+    put = e.select("user_id").distinct().select(*fixed, F.lit("INSERT").alias("op_type"), F.lit(-1).cast("bigint").alias("binlog_pos"), F.array().cast("array<string>").alias("row_columns"), F.array().cast("array<string>").alias("row_values"))
+    bought = F.col("event_type") == "purchase"
+    names, values = F.when(bought, text(F.lit("last_type"), F.lit("last_purchase"))).otherwise(text(F.lit("last_type"))), F.when(bought, text(F.col("event_type"), F.col("value"))).otherwise(text(F.col("event_type")))
+    partial = e.select(*fixed, F.lit("UPDATE").alias("op_type"), F.col("event_id").alias("binlog_pos"), names.alias("row_columns"), values.alias("row_values"))
+    rows = apply_feed(put.unionByName(partial), "binlog_pos")
+    held = F.map_from_entries("cells")
+    return rows.select(F.col("pk").cast("bigint").alias("user_id"), F.try_element_at(held, F.lit("last_purchase")).cast("double").alias("last_purchase"), F.try_element_at(held, F.lit("last_type")).alias("last_type"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' AND value > 100")

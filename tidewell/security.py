@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Mapping
 from typing import Any
 
@@ -15,8 +14,8 @@ from tidewell.errors import AccessDenied
 from tidewell.plans.compiler import Options, Plan
 from tidewell.spec import Auth, ReadOp
 
-#: The length of a key's indexed prefix and the most keys looked at for one.
-PREFIX, CANDIDATES = 12, 32
+#: Fixed value: the length of a key's indexed prefix.
+PREFIX = 12
 
 
 def credential(headers: Mapping[str, str]) -> str | None:
@@ -27,17 +26,18 @@ def credential(headers: Mapping[str, str]) -> str | None:
 
 
 def api_key_owner(keys: DataFrame, token: str, id_col: str = "user_id", prefix_col: str = "prefix", hash_col: str = "key_sha256") -> Any:
-    """The owner of a live key, or AccessDenied. Revoked, expired and hashless keys have none."""
+    """The owner of a live key, or AccessDenied. Revoked, expired and hashless keys have none.
+
+    The prefix narrows the scan and the hash is compared in the query, so any number of
+    keys may share a prefix. Of several owners of one key it is the least.
+    """
     digest = hashlib.sha256(token.encode()).hexdigest()
-    live = keys.filter((F.col(prefix_col) == token[:PREFIX]) & F.col(hash_col).isNotNull())
+    live = keys.filter((F.col(prefix_col) == token[:PREFIX]) & (F.lower(hash_col) == digest))
     if "revoked_at" in keys.columns:
         live = live.filter(F.col("revoked_at").isNull())
     if "expires_at" in keys.columns:
         live = live.filter(F.col("expires_at").isNull() | (F.col("expires_at").cast("timestamp") > F.current_timestamp()))
-    found = None
-    for r in live.select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash")).limit(CANDIDATES).collect():
-        if hmac.compare_digest((r["hash"] or "").lower(), digest):
-            found = r["id"]
+    found = live.agg(F.min(id_col)).first()[0]
     if found is None:
         raise AccessDenied("no live key matches the token")
     return found
@@ -57,10 +57,10 @@ def identify(auth: Auth, entity: str, catalog: Catalog, token: str | None) -> An
     keys = catalog.table(entity, auth.table).df
     if (auth.scheme or "").lower() == "api_key_sha256":
         return api_key_owner(keys, token, auth.id_col, hash_col=auth.token_col)
-    row = keys.filter(F.col(auth.token_col) == token).select(auth.id_col).first()
-    if row is None:
+    found = keys.filter(F.col(auth.token_col) == token).agg(F.min(auth.id_col)).first()[0]
+    if found is None:
         raise AccessDenied("the token is unknown")
-    return row[0]
+    return found
 
 
 def secured_read(op: ReadOp, catalog: Catalog, params: Mapping[str, Any] | None = None, headers: Mapping[str, str] | None = None, options: Options = Options()) -> Plan:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions import predicates
 from tidewell.params import bind_read
-from tidewell.spec import ReadOp
+from tidewell.spec import Filter, ReadOp
 
 
 def subscribe(changes: DataFrame, op: ReadOp, params: Mapping[str, Any] | None = None) -> DataFrame:
@@ -28,8 +28,8 @@ def subscribe(changes: DataFrame, op: ReadOp, params: Mapping[str, Any] | None =
         concerned = concerned | ((F.lower("entity") == e.lower()) & (F.lower("tbl") == t.lower()))
     values = F.transform("row_columns", lambda c, i: F.struct(F.lower(c).alias("name"), F.get("row_values", i).alias("value")))
 
-    def resolve(name: str) -> tuple[Column, T.DataType]:
-        plain = name.rsplit(".", 1)[-1].lower()
+    def resolve(f: Filter) -> tuple[Column, T.DataType]:
+        plain = f.field.rsplit(".", 1)[-1].lower()
         hit = F.filter(values, lambda v: v["name"] == plain)
         return F.get(hit, F.lit(0))["value"], T.StringType()
 
