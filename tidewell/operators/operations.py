@@ -2,50 +2,51 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.shredding import entities, is_json, list_place, shred
+from tidewell.operators.shredding import Places, entities, newest_first, shred, shred_entries
 
 #: Where the entries lie under details, and the label of the value that names them.
-PLACES = {"joins": "join", "joins[].on": "on", "joins[].filters": "join_filter", "filters": "filter", "select": "select"}
+LISTS = {"joins": "join", "joins[].on": "on", "joins[].filters": "join_filter", "filters": "filter", "select": "select"}
 NAMED_BY = {"join": "alias", "on": "left", "join_filter": "field", "filter": "field", "select": "field", "tree": "field"}
+_tree = re.compile(r"filter_tree(\.children\[\])*").fullmatch
+
+
+def _is_list(shape: str) -> bool:
+    return shape in LISTS or shape.endswith(".children") and _tree(shape[: -len(".children")]) is not None
 
 
-def newest_complete(ops: DataFrame) -> DataFrame:
-    """op_id, spec_version and spec of the highest spec_version whose spec is a complete JSON document."""
-    whole = ops.select("op_id", "spec_version", "spec").filter(F.col("spec").isNotNull()).filter(is_json(F.col("spec")))
-    return whole.groupBy("op_id").agg(F.max(F.struct("spec_version", "spec")).alias("r")).select("op_id", "r.*")
+def _what_of(shape: str) -> str | None:
+    # a condition is a node under filter_tree that has no children, which shows when its children are joined to it
+    return LISTS.get(shape[:-2]) if shape.endswith("[]") and shape[:-2] in LISTS else "tree" if _tree(shape) else None
 
 
 def nodes_of(ops: DataFrame) -> DataFrame:
     """The adjacency table of the newest complete spec of each operation, from its details."""
-    return shred(newest_complete(ops), "op_id", "spec", inner="details")
+    return shred(newest_first(ops, "op_id", "spec_version", "spec"), "_doc", "_text", "details", True)
 
 
-def entries_of(nodes: DataFrame) -> DataFrame:
-    """One row for each entry, of any kind: what it is, its entry_path, and the scalar children that name it."""
-    what, path = list_place(PLACES, "joins")
-    # a condition is a node under filter_tree that has no children; a single child has position 0
-    tree = F.col("shape").rlike(r"^filter_tree(\.children(\[\])?)*$") & F.col("kind").isin("object", "string")
-    labels = sorted({*NAMED_BY.values()} | {"table", "type", "op", "right", "as"})
-    met = entities(nodes, what.isNotNull() | tree, labels, ["children"])
-    tree_path = F.regexp_replace("path", r"(?<=\.children)(?=\.|$)", "[0]")
-    out = met.withColumn("entry_path", F.when(tree, tree_path).otherwise(path)).withColumn("what", F.when(tree, "tree").otherwise(what))
-    return out.filter((F.col("what") != "tree") | F.col("has_children").isNull())
+def entries_of(ops: DataFrame, labels: list[str]) -> DataFrame:
+    """One row for each entry of the newest complete spec of each operation: what it is, its path, and its scalar children of these labels."""
+    places = Places(_is_list, _what_of, frozenset(labels), frozenset(["children"]))
+    nodes = shred_entries(newest_first(ops, "op_id", "spec_version", "spec"), "_doc", "_text", places, "details", True)
+    return entities(nodes, labels, ["children"]).filter((F.col("what") != "tree") | F.col("has_children").isNull())
 
 
 def found(ops: DataFrame) -> DataFrame:
     """op_id, node_path, node_value of every entry; a bare string is its own value, an absent or null name is ''."""
-    entries = entries_of(nodes_of(ops))
+    entries = entries_of(ops, sorted({*NAMED_BY.values()}))
     value = F.coalesce(*[F.when(F.col("what") == w, F.col(f"v_{label}")) for w, label in NAMED_BY.items()])
     value = F.when(F.col("kind") == "string", F.col("scalar")).otherwise(F.coalesce(value, F.lit("")))
-    return entries.select(F.col("doc_id").alias("op_id"), F.col("entry_path").alias("node_path"), value.alias("node_value"))
+    return entries.select(F.col("doc_id").alias("op_id"), F.col("path").alias("node_path"), value.alias("node_value"))
 
 
 def flat_tables(ops: DataFrame) -> dict[str, DataFrame]:
     """The entity tables by name, each with op_id, entry_path, parent_path and its own columns."""
-    entries = entries_of(nodes_of(ops))
+    entries = entries_of(ops, sorted({*NAMED_BY.values()} | {"table", "type", "op", "right", "as"})).withColumnRenamed("path", "entry_path")
     parent = F.regexp_replace("entry_path", r"\.?[^.\[\]]+(\[\d+\])?$", "")
     base = entries.withColumn("op_id", F.col("doc_id")).withColumn("parent_path", parent)
 
