@@ -55,6 +55,41 @@ def test_ingest_enforces_rescues_and_promotes(spark):
     assert schema_drift.ingest(df.limit(0), "j", {"id": "bigint"}).count() == 0
 
 
+def test_evidence_is_linear_in_the_fields_and_groups_equal_ones(spark):
+    m = [manifest(1, ["id", "a", "b", "c"]), manifest(2, ["id", "x", "y", "z"])]
+    rows = [(v, k, {f: n for f in fields}) for n, k in enumerate("pqr") for v, fields in ((1, "abc"), (2, "xyz"))]
+    # all six fields hold the same values: each new field is one case renamed, no gone one is removed
+    assert report(spark, m, rows) == {(2, f, "renamed") for f in "xyz"}
+    v = schema_drift.versions(spark.createDataFrame(m, MANIFEST))
+    plan = schema_drift._renamed(v.filter("prev_manifest_version IS NOT NULL"), spark.createDataFrame([], ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "Join Cross" not in plan
+
+
+def consistent(spark, manifests, rows):
+    df = schema_drift.consistent(spark.createDataFrame(manifests, MANIFEST), spark.createDataFrame([("e", "t", v, k, d if d is None or isinstance(d, str) else json.dumps(d), 0, 0) for v, k, d in rows], ROWS))
+    return {(r["schema_version"], r["rec_key"]): ({c["name"]: next((c[k] for k in ("number", "at", "flag", "text") if c[k] is not None)) for c in r["cells"]}, r["_rescued"], r["_broken"]) for r in df.collect()}
+
+
+def test_records_of_all_versions_come_under_the_newest_columns(spark):
+    m = [manifest(1, ["id", "a", "old"], ["bigint", "int", "varchar(9)"]), manifest(2, ["id", "b", "old"], ["bigint", "int", "text"]), manifest(4, ["ID", "c", "when", "ok"], ["bigint", "decimal(9,2)", "datetime", "bit"]), manifest(5, None)]
+    rows = [(1, "x", {"id": 1, "A": 5, "old": "k"}), (2, "x", {"id": 1, "b": 5, "old": "k"}), (4, "x", {"id": 1, "c": 5, "when": "2024-01-02 03:04:05", "ok": "1"}), (4, "y", {"id": "one", "c": "1.50", "when": 2699283, "ok": "maybe", "more": {"n": [1]}, "gone": None}), (1, "z", "{"), (1, "n", None), (9, "w", {"b": 7, "ok": True, "OK": False})]
+    got = consistent(spark, m, rows + rows[:2])
+    # a became b, and b became c: values of every version stand under c; what was removed is rescued
+    assert got[1, "x"] == ({"id": 1.0, "c": 5.0}, {"old": "k"}, None) == got[2, "x"]
+    assert got[4, "x"] == ({"id": 1.0, "c": 5.0, "when": datetime.datetime(2024, 1, 2, 3, 4, 5), "ok": True}, None, None)
+    assert got[4, "y"] == ({"c": 1.5}, {"id": "one", "when": "2699283", "ok": "maybe", "more": '{"n":[1]}'}, None)
+    assert got[1, "z"] == ({}, None, "{") and got[1, "n"] == ({}, None, None)
+    # a version after all renames keeps its names, and of a name given twice the last value counts
+    assert got[9, "w"] == ({"ok": False}, {"b": "7"}, None)
+
+
+def test_rescued_values_are_replayed_when_a_newer_manifest_approves_their_field(spark):
+    m, rows = [manifest(1, ["id", "n"])], [(1, "x", {"id": 1, "n": "1.5", "extra": "e"})]
+    assert consistent(spark, m, rows)[1, "x"] == ({"id": 1.0}, {"n": "1.5", "extra": "e"}, None)
+    assert consistent(spark, [*m, manifest(2, ["id", "n", "extra"], ["int", "double", "text"])], rows)[1, "x"] == ({"id": 1.0, "n": 1.5, "extra": "e"}, None, None)
+    assert consistent(spark, [], rows)[1, "x"] == ({}, {"id": "1", "n": "1.5", "extra": "e"}, None) and consistent(spark, m, []) == {}
+
+
 def test_sf_tables_match_the_model(spark, small):
     m, r = spark.read.parquet(f"{small}/manifests.parquet"), spark.read.parquet(f"{small}/segment_rows.parquet")
     got = [tuple(x) for x in schema_drift.report(m, r).select("entity", "tbl", "manifest_version", "field_name", "change_kind").collect()]

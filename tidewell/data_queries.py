@@ -97,15 +97,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.report(table(spark, folder, "manifests"), table(spark, folder, "segment_rows"))
 
 
-#: The columns that p4_table enforces; all other fields stay rescued until they are approved.
-TARGET = {"id": "bigint", "codigo_id": "bigint", "valor": "decimal(38,9)", "placa": "string", "activo": "bigint", "fechaPago": "timestamp_ntz", "puntos": "double", "city": "string"}
-APPROVED = {"turno": "string", "saldo": "double", "nivel": "bigint"}
-
-
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Every raw record once under one set of columns, three rescued fields promoted."""
-    rows = table(spark, folder, "segment_rows").select("entity", "tbl", "segment_path", "schema_version", "row_no", "rec_key", "row_json").distinct()
-    return schema_drift.promote(schema_drift.ingest(rows, "row_json", TARGET, {"ciudad": "city"}), APPROVED)
+    """The values of every raw record under the newest columns of its table: one row a value, typed or rescued."""
+    rows = table(spark, folder, "segment_rows").select("entity", "tbl", "segment_path", "schema_version", "row_no", "rec_key", "row_json")
+    made = schema_drift.consistent(table(spark, folder, "manifests"), rows)
+    typed = F.transform("cells", lambda c: F.struct(c["name"].alias("field_name"), c["type"].alias("field_type"), c["number"].alias("number"), c["at"].alias("moment"), c["text"].alias("text"), F.lit(None).cast("string").alias("rescued")))
+    kept = F.transform(F.map_entries("_rescued"), lambda e: F.struct(e["key"].alias("field_name"), F.lit(None).cast("string").alias("field_type"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("timestamp_ntz").alias("moment"), F.lit(None).cast("string").alias("text"), e["value"].alias("rescued")))
+    none = F.array().cast("array<struct<field_name:string,field_type:string,number:double,moment:timestamp_ntz,text:string,rescued:string>>")
+    return made.select("entity", "tbl", "segment_path", "schema_version", "row_no", "rec_key", F.inline(F.concat(typed, F.coalesce(kept, none))))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +209,10 @@ met AS (
   JOIN recs rb ON rb.entity = q.entity AND rb.tbl = q.tbl AND rb.schema_version = q.b AND rb.rec_key = ra.rec_key
   LEFT JOIN cells x ON x.entity = q.entity AND x.tbl = q.tbl AND x.schema_version = q.a AND x.rec_key = ra.rec_key AND x.f = q.g
   LEFT JOIN cells y ON y.entity = q.entity AND y.tbl = q.tbl AND y.schema_version = q.b AND y.rec_key = ra.rec_key AND y.f = q.n),
-same AS (SELECT entity, tbl, b, g, n FROM met GROUP BY ALL HAVING bool_and(x IS NOT DISTINCT FROM y) AND bool_or(x IS NOT NULL)),
+same AS (SELECT entity, tbl, b, g, n FROM met GROUP BY ALL HAVING bool_and(x IS NOT DISTINCT FROM y) AND bool_or(x IS NOT NULL))
+"""
+
+_CHANGES = """,
 every AS (
   SELECT entity, tbl, b, n AS f, 'renamed' AS kind FROM same
   UNION SELECT entity, tbl, b, f, 'added' FROM fresh WHERE (entity, tbl, b, f) NOT IN (SELECT (entity, tbl, b, n) FROM same)
@@ -220,6 +222,31 @@ every AS (
 SELECT entity, tbl, b AS manifest_version, f AS field_name, kind AS change_kind FROM every
 """
 
+_TABLE = """,
+target AS (SELECT entity, tbl, unnest(fields) AS f, unnest(types) AS t FROM s QUALIFY b = max(b) OVER (PARTITION BY entity, tbl)),
+raw AS (SELECT DISTINCT entity, tbl, segment_path, schema_version, row_no, rec_key, row_json FROM segment_rows),
+pair AS (SELECT entity, tbl, b, g, min(n) AS n FROM same GROUP BY ALL),
+names AS (
+  WITH RECURSIVE c AS (
+    SELECT DISTINCT entity, tbl, schema_version AS v, f, f AS cur, schema_version AS upto FROM cells
+    UNION ALL
+    SELECT c.entity, c.tbl, c.v, c.f, p.n, p.b FROM c JOIN pair p ON p.entity = c.entity AND p.tbl = c.tbl AND p.g = c.cur AND p.b > c.upto
+    WHERE NOT EXISTS (SELECT 1 FROM pair q WHERE q.entity = c.entity AND q.tbl = c.tbl AND q.g = c.cur AND q.b > c.upto AND q.b < p.b))
+  SELECT entity, tbl, v, f, cur FROM c QUALIFY row_number() OVER (PARTITION BY entity, tbl, v, f ORDER BY upto DESC) = 1),
+vals AS (
+  SELECT r.*, names.cur AS field_name, k.val FROM (SELECT *, unnest(json_keys(row_json)) AS field FROM raw) r, LATERAL (SELECT json_extract_string(r.row_json, '$."' || r.field || '"') AS val) k
+  JOIN names ON names.entity = r.entity AND names.tbl = r.tbl AND names.v = r.schema_version AND names.f = lower(r.field) WHERE k.val IS NOT NULL),
+cast_ AS (
+  SELECT v.*, t.t AS family,
+    CASE WHEN t.t IN ('int', 'bigint', 'smallint', 'tinyint', 'mediumint', 'integer') AND regexp_full_match(val, '[+-]?[0-9]{1,18}') OR t.t IN ('decimal', 'numeric') AND regexp_full_match(val, '[+-]?[0-9]{1,28}([.][0-9]+)?')
+      OR t.t IN ('float', 'double') AND regexp_full_match(val, '[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN CAST(val AS DOUBLE) END AS number,
+    CASE WHEN t.t IN ('date', 'datetime', 'timestamp') AND regexp_full_match(val, '[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?') THEN TRY_CAST(val AS TIMESTAMP) END AS moment,
+    CASE WHEN t.t IN ('varchar', 'text') THEN val END AS text
+  FROM vals v LEFT JOIN target t ON t.entity = v.entity AND t.tbl = v.tbl AND t.f = v.field_name)
+SELECT entity, tbl, segment_path, schema_version, row_no, rec_key, field_name, CASE WHEN ok THEN family END AS field_type, number, moment, text, CASE WHEN NOT ok THEN val END AS rescued
+FROM (SELECT *, number IS NOT NULL OR moment IS NOT NULL OR text IS NOT NULL AS ok FROM cast_)
+"""
+
 _ENTRIES = r"""
 WITH n AS (SELECT DISTINCT op_id, spec FROM (SELECT * FROM saved_ops WHERE json_valid(spec)) QUALIFY rank() OVER (PARTITION BY op_id ORDER BY spec_version DESC) = 1),
 d AS (
@@ -246,7 +273,8 @@ def oracle_sql() -> dict[str, str]:
         "gtid_sets": _UNPROCESSED[: _UNPROCESSED.index(",\ne AS")] + " SELECT entity, source, lo, hi FROM sets",
         "p2_found": _check_sql(),
         "p3_found": _ENTRIES,
-        "p4_found": _DRIFT,
+        "p4_found": _DRIFT + _CHANGES,
+        "p4_table": _DRIFT + _TABLE,
         "p5_found": _LISTED + "SELECT entity, tbl, segment_path FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path) GROUP BY ALL HAVING count(DISTINCT row_no) < 20",
         "p5_compacted": _LISTED + "SELECT DISTINCT entity, tbl, segment_path, schema_version, row_no, rec_key, row_json FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path)",
         "p5_files": _LISTED + f"""

@@ -12,6 +12,9 @@ renamed field is one whose rescued values are the same on both sides.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +102,7 @@ def promote(df: DataFrame, approved: dict[str, str]) -> DataFrame:
 
 
 def versions(manifests: DataFrame) -> DataFrame:
-    """One row for each manifest that has fields, with those of the next lower version: fields, types, key; prev_*."""
+    """One row for each manifest that has fields, with those of the next lower version (null of the first): fields, types, key; prev_*; and is_last."""
     m = manifests.filter(F.size("original_fields") > 0).select(*TABLE, "manifest_version", "original_fields", "field_types", "primary_key", "primary_key_columns", "captured_at")
     m = m.groupBy(*TABLE, "manifest_version").agg(F.max(F.struct("captured_at", "original_fields", "field_types", "primary_key", "primary_key_columns")).alias("m")).select(*TABLE, "manifest_version", "m.*")
     key = F.when(F.size("primary_key_columns") > 0, F.col("primary_key_columns")).otherwise(F.array("primary_key"))
@@ -110,16 +113,20 @@ def versions(manifests: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy(*TABLE).orderBy("manifest_version")
     lag = {f"prev_{c}": F.lag(c).over(w) for c in ("manifest_version", "fields", "typed", "key")}
-    return one.withColumns(lag).filter(F.col("prev_manifest_version").isNotNull())
+    return one.withColumns({**lag, "is_last": F.lead("manifest_version").over(w).isNull()})
 
 
 def rename_evidence(steps: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (gone, new) of each step whose values agree over all shared records: TABLE, manifest_version, gone, new.
+    """The fields of each step that have the same values over all shared records: TABLE, manifest_version and matches,
+    an array of (gone, new), each a list of names: all of one entry agree with each other.
 
     steps: TABLE, manifest_version, prev_manifest_version, fields, prev_fields, gone, new.
     The records of either version are ingested under the fields of the other, and only
     the rescued parts meet, by record key. Records are hashed over (table, key) after a
-    join with the steps; a table with a third of all rows is split over its keys.
+    join with the steps; a table with a third of all rows is split over its keys. Of the
+    values of each field over the shared records a fingerprint is taken (two 64-bit
+    hashes of key and value, and their number), so the work is linear in the fields;
+    fields with equal fingerprints are the same.
     """
     roles = F.array(
         F.struct(F.col("manifest_version").alias("schema_version"), F.lit("newer").alias("role"), F.col("prev_fields").alias("target"), F.col("new").alias("wanted")),
@@ -137,12 +144,23 @@ def rename_evidence(steps: DataFrame, rows: DataFrame) -> DataFrame:
         F.max(F.when(F.col("role") == "older", F.struct("values"))).alias("older"), F.max(F.when(F.col("role") == "newer", F.struct("values"))).alias("newer")
     )
     shared = each.filter(F.col("older").isNotNull() & F.col("newer").isNotNull())
-    pairs = F.flatten(
-        F.transform("older.values", lambda g, i: F.transform("newer.values", lambda n, j: F.struct(i.alias("i"), j.alias("j"), g.eqNullSafe(n).alias("same"), (g.isNotNull() & g.eqNullSafe(n)).alias("filled"))))
-    )
-    agreed = shared.select(*TABLE, "step", F.inline(pairs)).groupBy(*TABLE, "step", "i", "j").agg(F.min("same").alias("same"), F.max("filled").alias("filled")).filter("same AND filled")
+    cell = lambda new: lambda v, i: F.struct(F.lit(new).alias("is_new"), i.alias("at"), v.alias("value"))
+    cells = shared.select(*TABLE, "step", "rec_key", F.inline(F.concat(F.transform("older.values", cell(False)), F.transform("newer.values", cell(True)))))
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "rec_key", F.col("value").isNull(), "value")).alias(salt) for salt in ("first", "second")]
+    prints = cells.groupBy(*TABLE, "step", "is_new", "at").agg(*marks, F.count("value").alias("filled")).filter("filled > 0")
+    places = lambda new: F.array_sort(F.collect_list(F.when(F.col("is_new") == new, F.col("at"))))
+    equal = prints.groupBy(*TABLE, "step", "first", "second", "filled").agg(places(False).alias("i"), places(True).alias("j")).filter((F.size("i") > 0) & (F.size("j") > 0))
+    named = equal.groupBy(*TABLE, "step").agg(F.collect_list(F.struct("i", "j")).alias("classes"))
     names = steps.select(*TABLE, F.col("manifest_version").alias("step"), "gone", "new")
-    return agreed.join(names, [*TABLE, "step"]).select(*TABLE, F.col("step").alias("manifest_version"), F.get("gone", F.col("i")).alias("gone"), F.get("new", F.col("j")).alias("new"))
+    matched = F.transform("classes", lambda c: F.struct(F.transform(c["i"], lambda i: F.get("gone", i)).alias("gone"), F.transform(c["j"], lambda j: F.get("new", j)).alias("new")))
+    return named.join(names, [*TABLE, "step"]).select(*TABLE, F.col("step").alias("manifest_version"), F.array_sort(matched).alias("matches"))
+
+
+def _renamed(v: DataFrame, rows: DataFrame) -> DataFrame:
+    """v, the versions, with gone, new and matches (see rename_evidence; null if there are none)."""
+    v = v.withColumn("gone", F.array_sort(F.array_except("prev_fields", "fields"))).withColumn("new", F.array_sort(F.array_except("fields", "prev_fields")))
+    candidates = v.filter((F.size("gone") > 0) & (F.size("new") > 0)).select(*TABLE, "manifest_version", "prev_manifest_version", "fields", "prev_fields", "gone", "new")
+    return v.join(rename_evidence(candidates, rows), [*TABLE, "manifest_version"], "left")
 
 
 def report(manifests: DataFrame, rows: DataFrame) -> DataFrame:
@@ -151,13 +169,9 @@ def report(manifests: DataFrame, rows: DataFrame) -> DataFrame:
     renamed, removed, added, retyped, and key_changed with field_name ''. A new field
     that agrees with several gone ones is one case renamed.
     """
-    v = versions(manifests)
-    v = v.withColumn("gone", F.array_sort(F.array_except("prev_fields", "fields"))).withColumn("new", F.array_sort(F.array_except("fields", "prev_fields")))
-    candidates = v.filter((F.size("gone") > 0) & (F.size("new") > 0)).select(*TABLE, "manifest_version", "prev_manifest_version", "fields", "prev_fields", "gone", "new")
-    renamed = rename_evidence(candidates, rows).groupBy(*TABLE, "manifest_version").agg(F.collect_set("gone").alias("was"), F.collect_set("new").alias("now"))
-    v = v.join(renamed, [*TABLE, "manifest_version"], "left")
+    v = _renamed(versions(manifests).filter(F.col("prev_manifest_version").isNotNull()), rows)
     none = F.array().cast("array<string>")
-    was, now = F.coalesce("was", none), F.coalesce("now", none)
+    was, now = F.coalesce(F.flatten(F.transform("matches", lambda m: m["gone"])), none), F.coalesce(F.flatten(F.transform("matches", lambda m: m["new"])), none)
 
     def cases(names: Column, kind: str) -> Column:
         return F.transform(names, lambda n: F.struct(n.alias("field_name"), F.lit(kind).alias("change_kind")))
@@ -170,3 +184,67 @@ def report(manifests: DataFrame, rows: DataFrame) -> DataFrame:
         cases(F.array_distinct(retyped), "retyped"), cases(key, "key_changed"),
     )
     return v.select(*TABLE, "manifest_version", F.inline(every))
+
+
+# ---- one table from all versions ----
+
+#: What a value must look like to be of a type family; families that aren't here hold any text.
+_INT, _TIME, _BOOL = r"^[+-]?\d{1,18}$", r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$", r"(?i)^(0|1|true|false)$"
+_DECIMAL, _DOUBLE = r"^[+-]?\d{1,28}(\.\d+)?$", r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
+_PATTERNS = {"bigint": _INT, "decimal(38,9)": _DECIMAL, "double": _DOUBLE, "timestamp_ntz": _TIME, "boolean": _BOOL}
+
+
+def targets(manifests: DataFrame, rows: DataFrame) -> DataFrame:
+    """What the records of each table become: TABLE, typed (name and type family of the newest fields) and steps,
+    the renames that the report finds: an array of (manifest_version, matches) in order."""
+    v = versions(manifests)
+    newest = v.filter("is_last").select(*TABLE, "typed")
+    found = _renamed(v.filter(F.col("prev_manifest_version").isNotNull()), rows).filter(F.col("matches").isNotNull())
+    steps = found.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("manifest_version", "matches"))).alias("steps"))
+    return newest.join(steps, TABLE, "left")
+
+
+def current_name(name: Column, version: Column, steps: Column) -> Column:
+    """The name that a field of a version has in the newest one, after all later renames; of several new names the first in order."""
+
+    def after(at: Column, step: Column) -> Column:
+        hit = F.get(F.filter(step["matches"], lambda m: F.array_contains(m["gone"], at)), F.lit(0))["new"]
+        return F.when(step["manifest_version"] > version, F.coalesce(F.get(hit, F.lit(0)), at)).otherwise(at)
+
+    return F.aggregate(F.coalesce(steps, F.array().cast("array<struct<manifest_version:int,matches:array<struct<gone:array<string>,new:array<string>>>>>")), name, after)
+
+
+def consistent(manifests: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every raw record once under the newest columns of its table, its fields renamed as the report found, its values typed.
+
+    The columns of rows but row_json, with cells: an array of (name, type, and the value in
+    number, at, flag or text) in the order of the target's columns, null values left out;
+    and _rescued, a map of the fields that the target doesn't name or whose values are not
+    of its type, as texts. When a newer manifest approves such a field, or changes its type,
+    the next build replays the rescued value into the typed column, for records of all
+    versions. Tables without any fields have all values rescued; of a record that is no JSON object
+    _rescued is null and _broken its text. Of a name given twice the last counts.
+    """
+    columns = [c for c in rows.columns if c != "row_json"]
+    once = rows.distinct()
+    t = targets(manifests, rows)
+    joined = once.join(t, TABLE, "left")
+    version = F.col("schema_version").cast("int")
+    entries = F.transform(F.filter(raw_fields(F.col("row_json")), lambda e: e["value"].isNotNull()), lambda e: F.struct(current_name(F.lower(e["key"]), version, F.col("steps")).alias("name"), e["value"].alias("value")))
+    # a name once, with its last value
+    values = F.aggregate(entries, F.create_map().cast(RAW), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["name"]), F.create_map(e["name"], e["value"])))
+    made = joined.withColumn("_values", values)
+
+    def cell(field: Column) -> Column:
+        v, family = F.try_element_at("_values", field["name"]), field["type"]
+        kinds = {k: family.isin([f for f, x in TYPES.items() if x == k]) for k in _PATTERNS}
+        numeric = functools.reduce(operator.or_, [kinds[k] & v.rlike(_PATTERNS[k]) for k in ("bigint", "decimal(38,9)", "double")])
+        at = F.when(kinds["timestamp_ntz"] & v.rlike(_TIME), v.try_cast("timestamp_ntz"))
+        flag = F.when(kinds["boolean"] & v.rlike(_BOOL), v.try_cast("boolean"))
+        text = F.when(~family.isin(list(TYPES)), v)
+        return F.struct(field["name"].alias("name"), family.alias("type"), F.when(numeric, v.try_cast("double")).alias("number"), at.alias("at"), flag.alias("flag"), text.alias("text"))
+
+    cells = F.filter(F.transform(F.coalesce("typed", F.array().cast("array<struct<name:string,type:string>>")), cell), lambda c: F.coalesce(c["number"].isNotNull() | c["at"].isNotNull() | c["flag"].isNotNull() | c["text"].isNotNull(), F.lit(False)))
+    made = made.withColumn("cells", cells)
+    rescued = F.map_filter("_values", lambda k, _: ~F.array_contains(F.transform("cells", lambda c: c["name"]), k))
+    return made.select(*columns, "cells", F.when(F.size(rescued) > 0, rescued).alias("_rescued"), F.when(F.col("_values").isNull(), F.col("row_json")).alias("_broken"))
