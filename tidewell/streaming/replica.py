@@ -7,16 +7,25 @@ batch that is delivered again after a failure changes nothing.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.functions.text import blank, strip
 from tidewell.operators.changelog import SEQUENCE, ChangeStore, file_number, live_rows
+from tidewell.operators.maintenance import to_repair
 from tidewell.sources import shared
 
 #: Names of the durability profiles and the seconds between their commits.
 PROFILES = {"strict": 0, "balanced": 2, "throughput": 30}
+#: Kinds of changes to whole tables: those that empty one, and those after which its snapshot is out of date.
+EMPTYING, STALING = ("TRUNCATE", "DROP"), ("ALTER", "DROP", "RENAME")
+
+
+class StaleTable(RuntimeError):
+    """A table is read whose definition has changed since its last snapshot."""
 
 
 class Replica:
@@ -27,28 +36,96 @@ class Replica:
         self.store = ChangeStore(spark, f"{self.path}/store", buckets)
 
     def _taken(self, batch_id: int) -> bool:
-        return shared.exists(self.spark, f"{self.path}/batches/{batch_id}.json")
+        return batch_id <= self._folded()["upto"] or shared.exists(self.spark, f"{self.path}/batches/{batch_id}.json")
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch; a batch taken before is left alone. Changes without a usable pk go to rejects."""
+        """One micro-batch; a batch taken before is left alone. Changes without a usable pk go to rejects.
+
+        TRUNCATE and DROP empty their table up to their place; ALTER, DROP and RENAME leave
+        it stale until a new snapshot is taken (see stale).
+        """
         if self._taken(batch_id):
             return
-        batch = batch.persist()  # it is gone through four times
+        batch = batch.persist()  # it is gone through several times
         try:
-            self._take(batch, batch_id)
+            self._take(batch, batch_id, [])
         finally:
             batch.unpersist()
 
-    def _take(self, batch: DataFrame, batch_id: int) -> None:
-        rejects = batch.filter(blank(F.col("pk")) & (F.coalesce(F.upper(strip(F.col("op_type"))), F.lit("")) != "TRUNCATE"))
+    def _take(self, batch: DataFrame, batch_id: int, snapshots: list) -> None:
+        op = F.coalesce(F.upper(strip(F.col("op_type"))), F.lit(""))
+        rejects = batch.filter(blank(F.col("pk")) & ~op.isin(*EMPTYING, *STALING))
         rejects.write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
         runs = self.store.append(batch)
         if self.store.compact_if_needed(self.most_runs) and self.vacuum:
             self.store.vacuum()
-        tip = batch.agg(F.max(F.struct(file_number(F.col("binlog_file")), F.col("binlog_pos"))).alias("p"), F.max("committed_at").cast("string").alias("at")).first()
-        cut = batch.filter(F.upper(strip(F.col("op_type"))) == "TRUNCATE").groupBy("entity", "tbl").agg(F.max(F.struct(file_number(F.col("binlog_file")), "binlog_pos", "row_no")).alias("at"))
-        emptied = [[r["entity"], r["tbl"], *r["at"]] for r in cut.collect()]  # one a table
-        shared.write_json(self.spark, f"{self.path}/batches/{batch_id}.json", {"runs": runs, "position": list(tip["p"]) if tip["p"] else None, "committed_at": tip["at"], "emptied": emptied})
+        place = F.struct(file_number(F.col("binlog_file")).alias("f"), F.col("binlog_pos").alias("p"), F.col("row_no").alias("r"))
+        tip = batch.agg(F.max(F.struct(place["f"], place["p"])).alias("p"), F.max("committed_at").cast("string").alias("at")).first()
+        last = lambda kinds: F.max(F.when(op.isin(*kinds), place))
+        marks = batch.filter(op.isin(*EMPTYING, *STALING)).groupBy("entity", "tbl").agg(last(EMPTYING).alias("emptied"), last(STALING).alias("stale")).collect()  # one a table
+        found = {k: [[r["entity"], r["tbl"], list(r[k])] for r in marks if r[k]] for k in ("emptied", "stale")}
+        shared.write_json(self.spark, f"{self.path}/batches/{batch_id}.json", {"runs": runs, "position": list(tip["p"]) if tip["p"] else None, "committed_at": tip["at"], **found, "snapshots": snapshots})
+        self._fold()
+
+    def resync(self, snapshot: DataFrame, entity: str, tbl: str, key: list[str], file: str, pos: int, batch_id: int) -> None:
+        """Takes one table anew from a snapshot of its source at a position: what came before it counts for nothing, what comes after it wins."""
+        if self._taken(batch_id):
+            return
+        number = int(re.search(r"(\d+)\s*$", file)[1])
+        # the place right before the snapshot's rows
+        mark = [entity, tbl, [number, pos, -1]]
+        self._take(snapshot_changes(snapshot, entity, tbl, key, file, pos), batch_id, [mark])
+
+    def repair(self, drift: DataFrame, sources: dict[str, tuple[DataFrame, list[str]]], file: str, pos: int, batch_id: int, most: int = 10) -> list[str]:
+        """Takes anew the tables (`entity.tbl`) that a drift report finds to differ by more than most, from their sources (rows and key); their names.
+
+        Batches from batch_id on are used, one a table.
+        """
+        wanted = [r["tbl"] for r in to_repair(drift, most).select("tbl").orderBy("tbl").collect() if r["tbl"] in sources]  # one a table
+        for i, name in enumerate(wanted):
+            entity, _, tbl = name.rpartition(".")
+            self.resync(sources[name][0], entity, tbl, sources[name][1], file, pos, batch_id + i)
+        return wanted
+
+    def reset_table(self, entity: str, tbl: str, batch_id: int) -> None:
+        """Empties one table up to the furthest place taken in; the others stay."""
+        at = self.position()
+        if at is None or self._taken(batch_id):
+            return
+        shared.write_json(self.spark, f"{self.path}/batches/{batch_id}.json", {"runs": [], "position": None, "committed_at": None, "emptied": [[entity, tbl, [*at, 2**31 - 1]]], "stale": [], "snapshots": []})
+
+    def _folded(self) -> dict:
+        names = [x for x in shared.listing(self.spark, f"{self.path}/state") if x.endswith(".json")]
+        return shared.read_json(self.spark, f"{self.path}/state/{names[-1]}") if names else {"upto": -1, "position": None, "committed_at": None, "emptied": [], "stale": [], "snapshots": []}
+
+    def _state(self) -> dict:
+        """What all batches say, with the furthest place of each table; only batches since the last fold are read one by one."""
+        out = self._folded()
+        names = [x for x in shared.listing(self.spark, f"{self.path}/batches") if x.endswith(".json")]
+        batches = [(int(x[:-5]), shared.read_json(self.spark, f"{self.path}/batches/{x}")) for x in names]
+        # batches that a fold which died before it removed them has counted already say the same again
+        parts = [out, *(b for _, b in batches)]
+        merged = {"upto": max([out["upto"], *(i for i, _ in batches)]), "batches": len(batches)}
+        merged["position"] = max((p["position"] for p in parts if p["position"]), default=None)
+        merged["committed_at"] = max((p["committed_at"] for p in parts if p["committed_at"]), default=None)
+        for kind in ("emptied", "stale", "snapshots"):
+            last: dict[tuple[str, str], list] = {}
+            for e, t, at in (x for p in parts for x in p[kind]):
+                last[e, t] = max(last.get((e, t), at), at)
+            merged[kind] = [[e, t, at] for (e, t), at in sorted(last.items())]
+        return merged
+
+    def _fold(self, most: int = 64) -> None:
+        """One state in place of many batch files, so that what the driver reads doesn't grow with the life of the stream. Batch numbers must grow."""
+        state = self._state()
+        if state.pop("batches") < most:
+            return
+        old = shared.listing(self.spark, f"{self.path}/state")
+        shared.write_json(self.spark, f"{self.path}/state/{state['upto']:020d}.json", state)
+        for x in shared.listing(self.spark, f"{self.path}/batches"):
+            shared.delete(self.spark, f"{self.path}/batches/{x}")
+        for x in old:
+            shared.delete(self.spark, f"{self.path}/state/{x}")
 
     def start(self, changes: DataFrame, profile: str = "strict", once: bool = False) -> StreamingQuery:
         """The running query; once takes what is there and ends."""
@@ -56,27 +133,28 @@ class Replica:
         w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{PROFILES[profile]} seconds") if PROFILES[profile] else w
         return w.start()
 
-    def _batches(self) -> list[dict]:
-        names = [x for x in shared.listing(self.spark, f"{self.path}/batches") if x.endswith(".json")]
-        return [shared.read_json(self.spark, f"{self.path}/batches/{x}") for x in names]
-
     def position(self) -> tuple[int, int] | None:
         """(file number, position) of the furthest change taken in."""
-        seen = [b["position"] for b in self._batches() if b["position"]]
-        return tuple(max(seen)) if seen else None
+        at = self._state()["position"]
+        return tuple(at) if at else None
 
     def caught_up(self, tip: tuple[int, int]) -> bool:
         """Whether the replica has reached the source's position: reads may wait for it."""
         at = self.position()
         return at is not None and at >= tuple(tip)
 
+    def stale(self) -> list[tuple[str, str]]:
+        """The tables whose definition changed after their last snapshot: they need a new one (resync)."""
+        state = self._state()
+        taken = {(e, t): at for e, t, at in state["snapshots"]}
+        return [(e, t) for e, t, at in state["stale"] if at > taken.get((e, t), [-1, -1, -1])]
+
     def rows(self) -> DataFrame:
-        """entity, tbl, pk, cells. What came before a table's last TRUNCATE counts for nothing."""
-        cells = self.store.merged()
-        last: dict[tuple[str, str], tuple] = {}
-        for b in self._batches():
-            for e, t, *at in b["emptied"]:
-                last[e, t] = max(last.get((e, t), tuple(at)), tuple(at))
+        """entity, tbl, pk, cells. What came before a table's last TRUNCATE, DROP, snapshot or reset counts for nothing."""
+        cells, state = self.store.merged(), self._state()
+        last: dict[tuple[str, str], list] = {}
+        for e, t, at in [*state["emptied"], *state["snapshots"]]:
+            last[e, t] = max(last.get((e, t), at), at)
         for (e, t), at in last.items():
             seq = F.struct(*SEQUENCE)
             old = (F.col("entity") == e) & (F.col("tbl") == t) & (seq <= F.struct(*[F.lit(x).alias(n) for x, n in zip(at, SEQUENCE)]))
@@ -84,7 +162,12 @@ class Replica:
         return live_rows(cells)
 
     def table(self, entity: str, tbl: str, columns: dict[str, str], key: dict[str, str]) -> DataFrame:
-        """One table with typed columns (name: SQL type); key names the parts of its primary key. Blank values are null."""
+        """One table with typed columns (name: SQL type); key names the parts of its primary key. Blank values are null.
+
+        A stale table is an error: its columns are no longer those that columns names.
+        """
+        if (entity, tbl) in self.stale():
+            raise StaleTable(f"{entity}.{tbl} has changed its definition; it needs a new snapshot")
         mine = self.rows().filter((F.col("entity") == entity) & (F.col("tbl") == tbl))
         parts = F.split("pk", "\u001f")
         values = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["col"], c["value"])))

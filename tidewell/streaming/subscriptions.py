@@ -41,6 +41,11 @@ def subscribe(changes: DataFrame, op: ReadOp, params: Mapping[str, Any] | None =
     return out
 
 
+def retained(buckets: DataFrame, now: Column, hours: int = 48) -> DataFrame:
+    """The hourly counts of the last so many whole hours before now's; older ones are let go."""
+    return buckets.filter(F.col("bucket") >= F.date_trunc("hour", now).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS"))
+
+
 def hourly_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", late: str | None = None) -> DataFrame:
     """bucket, kind and n: operations or notifications by the hour; on a stream late is the watermark."""
     src = events.withWatermark(at, late) if late else events
