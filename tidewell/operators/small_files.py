@@ -54,20 +54,29 @@ def listed_records(manifests: DataFrame, rows: DataFrame) -> DataFrame:
     return held.join(newest_listing(manifests), [*TABLE, "segment_path"])
 
 
-def write_segments(records: DataFrame, path: str, tasks: int) -> None:
-    """Each segment of records (RECORD and spread) as a small file of JSON lines of its own, in the folder path/g=<task>.
+def _files(records: DataFrame, groups: int) -> DataFrame:
+    """One row a file: its group g and its lines as value."""
+    g = F.pmod(F.xxhash64(*TABLE, F.pmod(F.xxhash64("segment_path", "part"), "spread")), F.lit(groups)).cast("int")
+    line = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"})
+    keyed = records.select(g.alias("g"), *TABLE, "segment_path", "part", line.alias("line"))
+    return keyed.groupBy(*TABLE, "segment_path", "part", "g").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("value")).select("g", "value")
+
+
+def write_segments(manifests: DataFrame, rows: DataFrame, path: str, groups: int) -> None:
+    """Each listed segment that exists as a small file of JSON lines of its own, in the folder path/g=<group>.
 
     Equal rows are one record; all others stay, also those without a row number or with
     the number of another. The files of a table lie in one folder, those of a table of
-    many files in several. A segment of more than PART records comes in parts, so no
-    task has to hold more of it.
+    many files in several. A segment of more than PART records comes in parts; the first
+    is written where the join with the listing leaves it, the others are dealt out, so no
+    task has to go through a large segment alone.
     """
     none = -1 - F.pmod(F.xxhash64("rec_key", "row_json"), F.lit(64))
-    part = F.coalesce(F.floor(F.col("row_no") / PART), none)
-    line = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"})
-    keyed = records.select(F.pmod(F.xxhash64(*TABLE, F.pmod(F.xxhash64("segment_path", part), "spread")), F.lit(tasks)).cast("int").alias("g"), *TABLE, "segment_path", part.alias("part"), line.alias("line"))
-    files = keyed.repartitionById(tasks, F.col("g")).groupBy("g", *TABLE, "segment_path", "part").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("value"))
-    files.select("g", "value").write.partitionBy("g").option("maxRecordsPerFile", 1).options(**SCRATCH).text(path)
+    first = F.col("row_no") < PART
+    near = listed_records(manifests, rows.filter(first)).withColumn("part", F.lit(0))
+    far = listed_records(manifests, rows.filter(~F.coalesce(first, F.lit(False)))).withColumn("part", F.coalesce(F.floor(F.col("row_no") / PART), none).cast("int"))
+    files = _files(near, groups).unionByName(_files(far.repartition(*TABLE, "segment_path", "part"), groups))
+    files.write.partitionBy("g").option("maxRecordsPerFile", 1).options(**SCRATCH).text(path)
 
 
 class LossError(RuntimeError):
@@ -160,14 +169,15 @@ def compact_segments(manifests: DataFrame, rows: DataFrame, path: str, full: int
     is listed.
     """
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     source, out = f"{path}/small", f"{path}/large"
-    write_segments(listed_records(manifests, rows), source, tasks)
+    write_segments(manifests, rows, source, groups)
     folders = [x for x in shared.listing(spark, source) if x.startswith("g=")]
     if not folders:
         return spark.createDataFrame([], f"{RECORD_TYPE}, out_path string"), {"files_before": 0, "files_after": 0, "records": 0}
-    line = F.from_json("value", "entity string, tbl string")
-    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"e": line["entity"], "t": line["tbl"]}, SCRATCH)
+    # a line starts with its entity and table, and a quote within them is never bare
+    table = F.md5(F.substring_index("value", ',"segment_path":', 1))
+    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"table": table}, SCRATCH)
     back = packed_session(spark, file_bytes, open_cost).read.option("recursiveFileLookup", "true").text(out)
     return back.select(F.from_json("value", RECORD_TYPE).alias("r"), F.col("_metadata.file_path").alias("out_path")).select("r.*", "out_path"), done
 
