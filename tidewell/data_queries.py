@@ -156,17 +156,20 @@ held AS (
 _ROWS = "SELECT entity, tbl, pk, md5(coalesce(string_agg(col || '=' || val, '|' ORDER BY col) FILTER (WHERE val <> ''), '')) AS row_md5 FROM held GROUP BY ALL"
 
 
-def _check_sql() -> str:
+def _check_sql(with_values: bool = False) -> str:
     number = "coalesce(CAST(TRY_CAST(trim({0}) AS DECIMAL(38,9)) AS VARCHAR), trim({0}))"
     make = {"number": number, "boolean": "CASE lower(trim({0})) WHEN '1' THEN 'true' WHEN '0' THEN 'false' ELSE lower(trim({0})) END", "time": "coalesce(CAST(TRY_CAST({0} AS TIMESTAMP) AS VARCHAR), {0})", "text": "nfc_normalize({0})"}
-    cols = ", ".join(f"nullif({make[k].format(f'CAST({f} AS VARCHAR)')}, '') AS {f}" for f, k in CHECK_FIELDS.items())
-    values = " UNION ALL ".join(f"SELECT s.check_id, '{f}' AS field_name, 'value' AS diff_kind FROM s JOIN m USING (check_id) WHERE s.{f} IS DISTINCT FROM m.{f}" for f in CHECK_FIELDS)
+    cols = ", ".join(f"nullif({make[k].format(f'CAST({f} AS VARCHAR)')}, '') AS {f}, CAST({f} AS VARCHAR) AS raw_{f}" for f, k in CHECK_FIELDS.items())
+    shown = "s.check_id, 'both' AS side, '{0}' AS field, s.raw_{0} AS left_value, m.raw_{0} AS right_value" if with_values else "s.check_id, '{0}' AS field_name, 'value' AS diff_kind"
+    values = " UNION ALL ".join(f"SELECT DISTINCT {shown.format(f)} FROM s JOIN m USING (check_id) WHERE s.{f} IS DISTINCT FROM m.{f}" for f in CHECK_FIELDS)
+    one_sided = """
+SELECT DISTINCT check_id, '' AS field_name, 'missing_in_mirror' AS diff_kind FROM s ANTI JOIN m USING (check_id)
+UNION ALL SELECT DISTINCT check_id, '', 'missing_in_source' FROM m ANTI JOIN s USING (check_id)
+UNION ALL """
     return f"""
 WITH s AS (SELECT DISTINCT check_id, {cols} FROM consistency_checks),
 m AS (SELECT DISTINCT check_id, {cols} FROM (SELECT * FROM consistency_checks_mirror QUALIFY rank() OVER (PARTITION BY check_id ORDER BY mirror_seq DESC) = 1) WHERE NOT deleted)
-SELECT check_id, '' AS field_name, 'missing_in_mirror' AS diff_kind FROM s ANTI JOIN m USING (check_id)
-UNION ALL SELECT check_id, '', 'missing_in_source' FROM m ANTI JOIN s USING (check_id)
-UNION ALL {values}"""
+{"" if with_values else one_sided}{values}"""
 
 
 _LISTED = r"""
@@ -259,10 +262,22 @@ e AS (
   UNION ALL
   SELECT op_id, regexp_replace(path, '\.children(\.|$)', '.children[0]\1', 'g'), type, value, 'field'
   FROM t WHERE regexp_matches(path, '^filter_tree(\.children(\[\d+\])?)*$') AND NOT (type = 'OBJECT' AND coalesce(json_type(value, '$.children'), 'NULL') <> 'NULL'))
+"""
+
+_FOUND = """
 SELECT op_id, path AS node_path, CASE type WHEN 'VARCHAR' THEN json_extract_string(value, '$') ELSE coalesce(json_extract_string(value, '$.' || label), '') END AS node_value FROM e
 """
 
 
+def _flat(start: str, *labels: str, name: str = "", where: str) -> str:
+    """The entries under a path as a flat table: its labels as columns, the first of which a bare string stands for."""
+    scalar = "CASE WHEN json_type(value, '$.{0}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(value, '$.{0}') END"
+    cols = [f"CASE type WHEN 'VARCHAR' THEN json_extract_string(value, '$') ELSE {scalar.format(x)} END AS {x}" if x == labels[0] else f"CASE type WHEN 'VARCHAR' THEN NULL ELSE {scalar.format(x)} END AS {x}" for x in labels]
+    table = f"'{name}' AS entity_table, " if name else ""
+    return f"""
+SELECT op_id, {table}path AS entry_path, regexp_replace(path, '\\.?[^.\\[\\]]+(\\[[0-9]+\\])?$', '') AS parent_path, {", ".join(cols)} FROM e WHERE starts_with(path, '{start}') AND {where}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are held against brute force in the tests."""
     return {
@@ -272,7 +287,14 @@ def oracle_sql() -> dict[str, str]:
         "cdc_pk_change": _FEED + "SELECT DISTINCT entity, tbl, pk, was, f AS file_no, p AS pos, r AS row_no FROM m WHERE moved",
         "gtid_sets": _UNPROCESSED[: _UNPROCESSED.index(",\ne AS")] + " SELECT entity, source, lo, hi FROM sets",
         "p2_found": _check_sql(),
-        "p3_found": _ENTRIES,
+        "p2_values": _check_sql(True),
+        "p3_found": _ENTRIES + _FOUND,
+        "p3_joins": _ENTRIES + _flat("joins[", "alias", "table", "type", where="NOT contains(path, '.')"),
+        "p3_conditions": "SELECT * FROM ("
+        + ") UNION ALL SELECT * FROM (".join(
+            _ENTRIES + _flat(start, "field", "op", name=name, where=where) for name, start, where in (("filters", "filters[", "true"), ("join_filters", "joins[", "contains(path, '.filters[')"), ("tree_conditions", "filter_tree", "true"))
+        )
+        + ")",
         "p4_found": _DRIFT + _CHANGES,
         "p4_table": _DRIFT + _TABLE,
         "p5_found": _LISTED + "SELECT entity, tbl, segment_path FROM segment_rows SEMI JOIN listed USING (entity, tbl, segment_path) GROUP BY ALL HAVING count(DISTINCT row_no) < 20",
