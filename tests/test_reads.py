@@ -235,6 +235,27 @@ def test_row_level_security(spark):
     assert credential({"AUTHORIZATION": "bearer  a "}) == "a" and credential({"X-Api-Key": "b"}) == "b" and credential({"authorization": "Basic x"}) is None
 
 
+def test_collect_by_pages(spark):
+    c = Catalog(spark)
+    c.register("", "t", spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9), (None, 1), (None, 2)], "g string, n int"))
+    op = lambda **more: ReadOp("t", select=s("g", "n"), aggregations=(Collect(("g",), order_by=(OrderBy("n", "Desc"),), **more),))
+    get = lambda **more: [(r["g"], [x["n"] for x in r["items"]], r["items_pagination"]["total_items"]) for r in Plan(op(**more), c).aggregations[0].data.collect()]
+    assert get(limit=2) == [(None, [2, 1], 2), ("a", [4, 3], 5), ("b", [9], 1)] and get(limit=2, offset=4) == [(None, [], 2), ("a", [0], 5), ("b", [], 1)]
+    assert "items_pagination" not in Plan(op(), c).aggregations[0].data.columns
+    assert spec.aggregation_from({"Collect": {"group_by": "g", "limit": 3, "offset": 6}}).offset == 6
+
+
+def test_guard_and_messages(tables):
+    j = Join("r", (JoinOn("l.k", "r.k"),), "Inner", "r")
+    op = read(joins=(j,), select=(Select("l.id", None, "id"),))
+    assert Plan(op, tables, options=Options(max_joined=5)).guard().data.count() == 5
+    with pytest.raises(SpecError):
+        Plan(op, tables, options=Options(max_joined=4)).guard()
+    head, *parts = shaping.messages(Plan(read(select=s("id"), order_by=(OrderBy("id"),)), tables), 4)
+    assert head == {"columns": ["id"], "types": ["bigint"], "pagination": {"page": 1, "per_page": 100, "total_pages": 1, "total_items": 6}} and [len(p) for p in parts] == [4, 2]
+    assert list(shaping.messages(Plan(read(limit=0, select=s("id")), tables)))[1:] == []
+
+
 def test_any_number_of_keys_may_share_a_prefix(spark):
     tokens = [f"tok_live_000{i:05d}" for i in range(300)]
     df = spark.createDataFrame([(t,) for t in tokens], "token string").select(F.substring("token", 10, 8).cast("long").alias("user_id"), F.substring("token", 1, 12).alias("prefix"), F.sha2("token", 256).alias("key_sha256"))

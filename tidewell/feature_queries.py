@@ -243,7 +243,7 @@ def replica_stream(spark: SparkSession, folder: str) -> DataFrame:
     for p in parts:
         p.coalesce(1).write.mode("append").parquet(path)
     r = _replica(spark)
-    r.start(readers.change_stream(spark, path, files_per_trigger=2), once=True).awaitTermination()
+    r.follow(path, "strict", once=True).awaitTermination()
     if r.stale() != [("shop", "region")]:
         raise AssertionError("the altered table must be stale")
     r.resync(region, "shop", "region", ["r_regionkey"], "bin.1", 5, 1000)

@@ -39,7 +39,7 @@ COMPOSED = set("K;`")
 class Options:
     """default_limit and max_limit: None for none. sum_digits: see exact_sum. round_digits: decimals of computed columns.
     null_as_zero: a missing number is 0 in expressions and their aggregates. null_safe_join: null keys meet each other.
-    dedupe_right: right sides of joins are sets of the columns that the operation uses."""
+    dedupe_right: right sides of joins are sets of the columns that the operation uses. max_joined: see Plan.guard."""
 
     default_limit: int | None = 100
     max_limit: int | None = 10_000
@@ -48,10 +48,11 @@ class Options:
     null_as_zero: bool = True
     null_safe_join: bool = False
     dedupe_right: bool = False
+    max_joined: int | None = 200_000
 
 
 #: Whole results, for callers that page by themselves or write them away.
-WHOLE = Options(default_limit=None, max_limit=None)
+WHOLE = Options(default_limit=None, max_limit=None, max_joined=None)
 
 
 @dataclass
@@ -407,6 +408,13 @@ class Plan:
             return None
         return {"page": self.page, "per_page": self.limit or 0, "total_pages": r["total_pages"], "total_items": r["total_items"]}
 
+    def guard(self) -> Plan:
+        """self, or SpecError if a read with joins has more rows than Options.max_joined. It counts no further than that, by one action."""
+        most = self.options.max_joined
+        if most is not None and self.op.joins and not self.windowed and self.rows.limit(most + 1).count() > most:
+            raise SpecError(f"the joins of '{self.op.name}' give more than {most} rows")
+        return self
+
     @cached_property
     def aggregations(self) -> list[AggregationResult]:
         from tidewell.plans.aggregates import aggregate

@@ -34,8 +34,7 @@ def enrich(op: ReadOp, catalog: Catalog, params: Mapping[str, Any] | None = None
     base = first.data
     if first.limit is not None and not first.settled:
         # it is used twice below, and without a whole order two evaluations may cut different pages
-        shared.shared_dir(catalog.spark)
-        base = base.checkpoint()
+        base = shared.kept(base, "page")
     if s.key_field not in base.columns:
         raise SpecError(f"key field '{s.key_field}' is not in the base result")
     key, marker = s.enrichment_key_field or s.key_field, f"${s.ids_param}"

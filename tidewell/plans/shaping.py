@@ -38,7 +38,9 @@ def collect(plan: Plan, c: Collect) -> AggregationResult:
     """One row a group with its items as an array of structs, over all rows of the read.
 
     Items come in the order of c.order_by, else of the read's order, else of their own
-    values; groups in the order of their first row in the read's order, else by key.
+    values; groups come by key. A group with all its items is one row, so with groups of
+    any size ask for a page: with c.limit only the items up to the end of the page leave
+    the tasks that read them, and `<items_as>_pagination` says how many there are.
     """
     df = plan.projected(plan.rows)
     groups = list(c.group_by)
@@ -51,6 +53,13 @@ def collect(plan: Plan, c: Collect) -> AggregationResult:
     _need(df, items, "item fields")
     if gone := [o.field for o in c.order_by if o.field not in items]:
         raise SpecError(f"Collect order_by fields {gone} must be item fields")
+    whole, totals = df, None
+    if c.limit is not None:
+        by = [quoted(o.field).asc_nulls_first() if o.direction == "Asc" else quoted(o.field).desc_nulls_last() for o in (c.order_by or _usable(plan, df))]
+        rest = [quoted(n) for n in items if not isinstance(df.schema[n].dataType, (T.MapType, T.VariantType))]
+        rank = F.row_number().over(Window.partitionBy(*[quoted(g) for g in groups]).orderBy(*by, *rest))
+        df = df.withColumn("_rank", rank).filter((F.col("_rank") <= c.offset + c.limit) & (F.col("_rank") > c.offset)).drop("_rank")
+        totals = whole.groupBy(*[quoted(g).alias(f"_g{i}") for i, g in enumerate(groups)]).agg(F.count("*").alias("_total"))
     lead = [quoted(o.field).alias(f"_k{i}") for i, o in enumerate(_usable(plan, df))] if not c.order_by else []
     item = F.struct(*[quoted(n) for n in items])
     entry = F.struct(*lead, item.alias("item")) if lead else F.struct(item.alias("item"))
@@ -63,7 +72,14 @@ def collect(plan: Plan, c: Collect) -> AggregationResult:
         directions = [(f"_k{i}", o.direction == "Asc") for i, o in enumerate(usable)]
         ordered = F.array_sort(F.array_sort("_all"), _compare(directions)) if directions else F.array_sort("_all")
         out = out.withColumn(c.items_as, F.transform(ordered, lambda e: e["item"]))
-    data = out.select(*[quoted(g) for g in groups], quoted(c.items_as)).orderBy(*[quoted(g) for g in groups])
+    if totals is None:
+        data = out.select(*[quoted(g) for g in groups], quoted(c.items_as))
+    else:
+        met = totals.join(out, [F.col(f"_g{i}").eqNullSafe(quoted(g)) for i, g in enumerate(groups)], "left")
+        none = F.array().cast(out.schema[c.items_as].dataType)
+        paging = _pagination(F.col("_total"), ResponseGrouping(c.group_by, limit=c.limit, offset=c.offset)).alias(f"{c.items_as}_pagination")
+        data = met.select(*[F.col(f"_g{i}").alias(g) for i, g in enumerate(groups)], F.coalesce(quoted(c.items_as), none).alias(c.items_as), paging)
+    data = data.orderBy(*[quoted(g) for g in groups])
     return AggregationResult("Collect", data, plan.rows.agg(F.count("*").alias("summary")))
 
 
@@ -170,6 +186,14 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def messages(plan: Plan, size: int = 1000):
+    """What a client is sent: first the columns, their types and the page, then the rows in lists of size."""
+    df = plan.data
+    yield {"columns": [] if df is None else df.columns, "types": [] if df is None else [f.dataType.simpleString() for f in df.schema], "pagination": plan.pagination()}
+    if df is not None:
+        yield from batches(df, size)
+
+
 def batches(df: DataFrame, size: int = 1000):
     """The rows in lists of size, fetched partition by partition: for sinks that send row batches to a client."""
     part = []

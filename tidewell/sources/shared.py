@@ -60,6 +60,13 @@ def _drop_tables() -> None:
             return
 
 
+def kept(df, name: str):
+    """df as a table in the shared folder, without its lineage: what is used more than once, or must not change between uses."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sweep() -> None:
     for spark, path in _scratch:
         try:

@@ -105,6 +105,8 @@ class Collect:
     item_fields: tuple[str, ...] = ()
     order_by: tuple[OrderBy, ...] = ()
     include_group_fields_in_items: bool = False
+    limit: int | None = None
+    offset: int = 0
 
 
 @dataclass(frozen=True)
@@ -288,7 +290,7 @@ def aggregation_from(d: Any) -> Aggregation | Collect:
         if not groups:
             raise SpecError("Collect needs 'group_by' or 'group_by_fields'")
         include = p.get("include_group_fields_in_items", p.get("include_group_field_in_items", False))
-        return Collect(groups, p.get("items_as", "items"), tuple(_list(p.get("item_fields"))), tuple(order_from(x) for x in _list(p.get("order_by"))), include)
+        return Collect(groups, p.get("items_as", "items"), tuple(_list(p.get("item_fields"))), tuple(order_from(x) for x in _list(p.get("order_by"))), include, p.get("limit"), p.get("offset") or 0)
     a = Aggregation(kind, p.get("field"), p.get("expression"), p.get("group_by"), p.get("n", 10), having_from(p.get("having")))
     check_aggregation(a)
     return a

@@ -17,9 +17,10 @@ from tidewell.functions.text import blank, strip
 from tidewell.operators.changelog import SEQUENCE, ChangeStore, file_number, live_rows
 from tidewell.operators.maintenance import to_repair
 from tidewell.sources import shared
+from tidewell.sources.readers import change_stream
 
-#: Names of the durability profiles and the seconds between their commits.
-PROFILES = {"strict": 0, "balanced": 2, "throughput": 30}
+#: The durability profiles: the seconds between their commits and the files of the log that one commit takes at most.
+PROFILES = {"strict": (0, 1), "balanced": (2, 32), "throughput": (30, 128)}
 #: Kinds of changes to whole tables: those that empty one, and those after which its snapshot is out of date.
 EMPTYING, STALING = ("TRUNCATE", "DROP"), ("ALTER", "DROP", "RENAME")
 
@@ -130,9 +131,14 @@ class Replica:
     def start(self, changes: DataFrame, profile: str = "strict", once: bool = False) -> StreamingQuery:
         """The running query; once takes what is there and ends."""
         w = changes.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.path}/checkpoint")
-        w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{PROFILES[profile]} seconds") if PROFILES[profile] else w
+        seconds, _ = PROFILES[profile]
+        w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{seconds} seconds") if seconds else w
         return w.start()
 
+    def follow(self, log: str, profile: str = "strict", once: bool = False) -> StreamingQuery:
+        """start() over the change log under a folder, each commit of as many files as the profile allows."""
+        return self.start(change_stream(self.spark, log, files_per_trigger=PROFILES[profile][1]), profile, once)
+
     def position(self) -> tuple[int, int] | None:
         """(file number, position) of the furthest change taken in."""
         at = self._state()["position"]
