@@ -51,6 +51,14 @@ def test_words_of_pieces_are_those_of_the_whole():
     assert len({*zip(found, ids.tolist())}) == len({*found}) == len({*ids.tolist()})
 
 
+def test_hashes_tell_words_apart_as_numbers_do():
+    for text in [*cases(), "İstanbul ΣΑΣ σας istanbul " * 3, "a" * 300_000 + " b", "é" * 10, "\U00020000x \U00020000X"]:
+        ids, codes = rp.numbered(text), rp.hashed(text)
+        assert len(ids) == len(codes) and len({*zip(ids.tolist(), codes.tolist())}) == len({*ids.tolist()}) == len({*codes.tolist()})
+    ids = rp.hashed(" ".join(worded(range(50_000), k) for k in ("latin", "hangul", "alike")))
+    assert len(np.unique(ids)) == len(np.unique(rp.numbered(" ".join(worded(range(50_000), k) for k in ("latin", "hangul", "alike")))))
+
+
 def test_runs_that_share_a_code_are_told_apart(monkeypatch):
     real = rp.runs_of
     monkeypatch.setattr(rp, "runs_of", lambda ids, n: real(ids, n) % np.uint64(7))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.tokenizing import VOCABULARY, token_counts
 from tidewell.operators.ranks import salted_number
-from tidewell.sources.shared import shared_dir
+from tidewell.sources.shared import kept
 
 CAPACITY = 2048
 LENGTHS = (256, 512, 1024, 2048)
@@ -190,6 +190,5 @@ def pack(counts: DataFrame, key: list[str], capacity: int = CAPACITY, lengths: t
 
 
 def pack_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """pack() of the texts of documents, measured in tokens. Texts are encoded once; their sizes are kept in a checkpoint."""
-    shared_dir(documents.sparkSession)
-    return pack(token_counts(documents, [key], text, vocabulary).checkpoint(), [key], capacity, lengths)
+    """pack() of the texts of documents, measured in tokens. Texts are encoded once; their sizes are kept in the shared folder till the process ends."""
+    return pack(kept(token_counts(documents, [key], text, vocabulary), "sizes"), [key], capacity, lengths)

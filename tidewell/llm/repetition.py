@@ -16,6 +16,7 @@ every match; shorter and longer documents are never rejected.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -77,6 +78,42 @@ def numbered(text: str | None) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point is of category L."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def hashed(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text, in order: the words that words() gives, but no text is made of any.
+
+    Two different words may share a hash, if hardly ever; then a text looks more
+    repetitive than it is, never less.
+    """
+    parts = []
+    for piece in pieces(text or ""):
+        points = _code_points(piece if piece.isascii() else unicodedata.normalize("NFC", piece))
+        lowered = np.where(_letters()[points], points, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").lower()
+        points = _code_points(lowered)
+        inside = points != 32
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            continue
+        letters = points[inside].astype(np.uint64)
+        lengths = ends - starts
+        firsts = np.cumsum(lengths) - lengths
+        at = np.arange(len(letters)) - np.repeat(firsts, lengths)
+        powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.add.reduceat((letters + np.uint64(0x100)) * (letters ^ np.uint64(0xBF58476D)) * powers[at], firsts)
+        parts.append(_mixed(sums + lengths.astype(np.uint64)))
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads a number over all bits."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -128,14 +165,15 @@ def measure(text: str | None, squeeze, run: int = RUN, count_all: bool = False)
 
     Of an incompressible document chunks and repeated words are null unless count_all.
     """
-    ids = numbered(text)
-    if len(ids) <= run:
-        return (len(ids), 1.0, 1.0, 1.0, "short" if len(ids) else "empty", 0, 0.0)
-    data = (runs_of(ids, PHRASE) >> np.uint64(32)).astype("<u4").tobytes()
+    codes = hashed(text)
+    if len(codes) <= run:
+        return (len(codes), 1.0, 1.0, 1.0, "short" if len(codes) else "empty", 0, 0.0)
+    data = (runs_of(codes, PHRASE) >> np.uint64(32)).astype("<u4").tobytes()
     ratio = len(data) / len(squeeze(data))
-    low, high = limits(len(ids))
+    low, high = limits(len(codes))
     if ratio < low and not count_all:
-        return (len(ids), ratio, None, None, "incompressible", None, None)
+        return (len(codes), ratio, None, None, "incompressible", None, None)
+    ids = numbered(text)
     size = 4 * CHUNK
     parts = [ratio] if len(data) <= size else [size / len(squeeze(p)) for p in (data[i : i + size] for i in range(0, len(data), size)) if len(p) == size]
     band = "incompressible" if ratio < low else "repetitive" if max(ratio, *parts) > high else "plain"
