@@ -50,7 +50,7 @@ def test_a_file_is_one_segment_or_part_of_a_large_one(spark, monkeypatch):
     rows = [(f"s/{f}", i) for f in range(200) for i in range(3)] + [("s/big", i) for i in range(250)]
     path = shared.scratch_path(spark, "w")
     small_files.write_segments(*tables(spark, [(1, sorted({p for p, _ in rows}))], rows), path, 7)
-    by_file = spark.read.text(path).select(F.get_json_object("value", "$.segment_path").alias("p"), F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.collect_set("p").alias("p"), F.count("*").alias("n")).collect()
+    by_file = small_files.read_records(spark.read.text(path), F.col("_metadata.file_path").alias("f")).withColumnRenamed("segment_path", "p").groupBy("f").agg(F.collect_set("p").alias("p"), F.count("*").alias("n")).collect()
     assert len(by_file) == 203 and all(len(x["p"]) == 1 for x in by_file) and sorted(x["n"] for x in by_file) == [3] * 200 + [50, 100, 100]
 
 

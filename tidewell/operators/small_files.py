@@ -28,8 +28,9 @@ SMALL, FULL = 20, 200
 FORMATS = ("parquet", "orc", "text")
 #: Records of one segment that write_segments puts into one file, and files of a table for one of its tasks.
 PART, TASK_FILES = 1000, 4096
-#: Files of JSON lines are compressed and, on a local disk, written without the checksum files that Hadoop puts beside each.
-SCRATCH = {"compression": "gzip", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+KEY_LENGTH = 16
+#: On a local disk, files without the checksum files that Hadoop puts beside each. Other file systems don't look at this.
+BARE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def plain_path(path: Column) -> Column:
@@ -54,10 +55,17 @@ def listed_records(manifests: DataFrame, rows: DataFrame) -> DataFrame:
     return held.join(newest_listing(manifests), [*TABLE, "segment_path"])
 
 
+def read_records(lines: DataFrame, *more: Column) -> DataFrame:
+    """RECORD and more of the lines of segment files."""
+    names = dict(c.split(" ") for c in RECORD_TYPE.split(", "))
+    held = lines.select(F.from_json("value", "array<string>").alias("r"), *more)
+    return held.select(*[F.get("r", F.lit(i)).cast(k).alias(n) for i, (n, k) in enumerate(names.items(), 1)], *[c for c in held.columns if c != "r"])
+
+
 def _files(records: DataFrame, groups: int) -> DataFrame:
-    """One row a file: its group g and its lines as value."""
+    """One row a file: its group g and its lines as value. A line is a JSON list: a key of its table, then RECORD as texts."""
     g = F.pmod(F.xxhash64(*TABLE, F.pmod(F.xxhash64("segment_path", "part"), "spread")), F.lit(groups)).cast("int")
-    line = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"})
+    line = F.to_json(F.array(F.lpad(F.hex(F.xxhash64(*TABLE)), KEY_LENGTH, "0"), *[F.col(c).cast("string") for c in RECORD]))
     keyed = records.select(g.alias("g"), *TABLE, "segment_path", "part", line.alias("line"))
     return keyed.groupBy(*TABLE, "segment_path", "part", "g").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("value")).select("g", "value")
 
@@ -76,7 +84,7 @@ def write_segments(manifests: DataFrame, rows: DataFrame, path: str, groups: int
     near = listed_records(manifests, rows.filter(first)).withColumn("part", F.lit(0))
     far = listed_records(manifests, rows.filter(~F.coalesce(first, F.lit(False)))).withColumn("part", F.coalesce(F.floor(F.col("row_no") / PART), none).cast("int"))
     files = _files(near, groups).unionByName(_files(far.repartition(*TABLE, "segment_path", "part"), groups))
-    files.write.partitionBy("g").option("maxRecordsPerFile", 1).options(**SCRATCH).text(path)
+    files.write.partitionBy("g").option("maxRecordsPerFile", 1).options(**BARE).text(path)
 
 
 class LossError(RuntimeError):
@@ -175,11 +183,10 @@ def compact_segments(manifests: DataFrame, rows: DataFrame, path: str, full: int
     folders = [x for x in shared.listing(spark, source) if x.startswith("g=")]
     if not folders:
         return spark.createDataFrame([], f"{RECORD_TYPE}, out_path string"), {"files_before": 0, "files_after": 0, "records": 0}
-    # a line starts with its entity and table, and a quote within them is never bare
-    table = F.md5(F.substring_index("value", ',"segment_path":', 1))
-    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"table": table}, SCRATCH)
+    # a line starts with the key of its table
+    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"table": F.substring("value", 3, KEY_LENGTH)}, {**BARE, "compression": "gzip"})
     back = packed_session(spark, file_bytes, open_cost).read.option("recursiveFileLookup", "true").text(out)
-    return back.select(F.from_json("value", RECORD_TYPE).alias("r"), F.col("_metadata.file_path").alias("out_path")).select("r.*", "out_path"), done
+    return read_records(back, F.col("_metadata.file_path").alias("out_path")), done
 
 
 def small_files(manifests: DataFrame, rows: DataFrame, path: str, below: int = SMALL) -> DataFrame:
