@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.errors import SpecError
 from tidewell.functions import expressions as x
+from tidewell.functions import scripts
 from tidewell.functions.numbers import as_double
 
 
@@ -60,3 +61,15 @@ def test_only_numbers_are_numbers(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(as_double(F.col("t"), df.schema["t"].dataType)).collect()]
     assert got == [5.0, 5.5, None, None, None, None, None, None, -0.5, 1000.0, None]
+
+
+def test_scripts(spark):
+    cases = {
+        "1 + 2 * 3 ^ 2 ^ 1 - -4": 23.0, "-2 ^ 2": -4.0, "7 % 4 + 5 / 0 + 5 % 0": 3.0, "n * 2 == 6 && !(n > 3) || false": True, '"a" + "b\\"c" == "ab\\"c"': True, "max(1, n, 2) + min(4)": 7.0,
+        'len(str::trim("  é ")) + floor(2.7) + ceil(0.2) + round(2.5)': 7.0, 'if(str::contains("abc", "b"), str::to_uppercase("y"), "n")': "Y", "math::abs(0 - 3) + math::sqrt(16)": 7.0, '"a" < "b"': True, 'str::regex_matches("a1", "^[a-z][0-9]$")': True,
+    }
+    df = spark.range(1).select(*[scripts.to_column(t, lambda _: F.lit(3.0)).alias(f"c{i}") for i, t in enumerate(cases)])
+    assert list(df.first()) == list(cases.values())
+    for bad in ("", "1 +", "(1", "1 2", "1 && true", '"a" + 1', "!1", "-true", "nope(1)", "if(true, 1)", 'if(true, 1, "x")', "1 = 1", "true == 1", "min()", '"open', "len(1)", "1 , 2", ") 1"):
+        with pytest.raises(SpecError):
+            scripts.to_column(bad, lambda _: F.lit(3.0))

@@ -119,3 +119,9 @@ def test_two_writers_on_one_version_conflict(spark, tmp_path):
     t.commit(0, t.manifest(0)["files"], [])
     with pytest.raises(FileExistsError):
         t.commit(0, [], [])
+
+
+def test_ranges_merge_into_the_fewest(spark):
+    rows = [("a", 1, 3), ("a", 4, 4), ("a", 8, 9), ("a", 2, 2), ("a", 20, 10), ("b", 1, 1), ("a", 9, 12), ("a", 1, 3), (None, 5, 6)]
+    out = incremental.merged_ranges(spark.createDataFrame(rows, "source string, lo long, hi long"), ["source"])
+    assert {tuple(r) for r in out.collect()} == {("a", 1, 4), ("a", 8, 12), ("b", 1, 1), (None, 5, 6)}

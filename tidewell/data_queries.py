@@ -56,6 +56,12 @@ def gtid_sets(spark: SparkSession, folder: str) -> DataFrame:
     return sets.select("entity", "source", F.inline("ranges"))
 
 
+def gtid_union(spark: SparkSession, folder: str) -> DataFrame:
+    """The transactions that any committed run of an entity had, as the fewest ranges."""
+    good = table(spark, folder, "cdc_states").filter("outcome = 'committed' AND entity IS NOT NULL").select("entity", F.inline(incremental.gtid_sets(F.col("gtid_executed"))))
+    return incremental.merged_ranges(good.select("entity", "source", F.inline("ranges")), ["entity", "source"])
+
+
 def check_differences(spark: SparkSession, folder: str) -> DataFrame:
     source = differences.one_per_key(table(spark, folder, "consistency_checks").select("check_id", *CHECK_FIELDS), "check_id")
     mirror = differences.one_per_key(table(spark, folder, "consistency_checks_mirror").select("check_id", *CHECK_FIELDS, "deleted", "mirror_seq"), "check_id", ["mirror_seq"])
@@ -132,7 +138,7 @@ def p6_resumed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p5_files, p6_found, p6_resumed, cdc_delete, cdc_pk_change, gtid_sets)}
+    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_values, p3_found, p3_nodes, p3_joins, p3_conditions, p4_found, p4_table, p5_found, p5_compacted, p5_files, p6_found, p6_resumed, cdc_delete, cdc_pk_change, gtid_sets, gtid_union)}
 
 
 #: In SQL: the number at the end of a log file's name, and a text without outer blanks.
@@ -287,6 +293,13 @@ def oracle_sql() -> dict[str, str]:
         "cdc_pk_change": _FEED + "SELECT DISTINCT entity, tbl, pk, was, f AS file_no, p AS pos, r AS row_no FROM m WHERE moved",
         "gtid_sets": _UNPROCESSED[: _UNPROCESSED.index(",\ne AS")] + " SELECT entity, source, lo, hi FROM sets",
         "p2_found": _check_sql(),
+        "gtid_union": """
+WITH parts AS (SELECT entity, unnest(string_split(lower(regexp_replace(gtid_executed, '\\s', '', 'g')), ',')) AS part FROM cdc_states WHERE outcome = 'committed' AND entity IS NOT NULL),
+r AS (SELECT entity, split_part(part, ':', 1) AS source, unnest(string_split(part, ':')[2:]) AS w FROM parts WHERE part <> ''),
+n AS (SELECT entity, source, CAST(split_part(w, '-', 1) AS BIGINT) AS lo, CAST(split_part(w, '-', -1) AS BIGINT) AS hi FROM r),
+i AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY entity, source ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS fresh FROM n WHERE lo <= hi),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY entity, source ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM i)
+SELECT entity, source, min(lo) AS lo, max(hi) AS hi FROM k GROUP BY entity, source, island""",
         "p2_values": _check_sql(True),
         "p3_found": _ENTRIES + _FOUND,
         "p3_joins": _ENTRIES + _flat("joins[", "alias", "table", "type", where="NOT contains(path, '.')"),

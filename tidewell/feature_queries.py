@@ -106,6 +106,15 @@ def batch_scoped_params(spark: SparkSession, folder: str) -> DataFrame:
     return b.result().select(F.col("f").cast("bigint").alias("f"), F.col("o").cast("bigint").alias("o"))
 
 
+@query("SELECT n > 100 AND NOT n % 2 = 1 AS many, 'ORDERS' || ': ' || CASE WHEN n > 10 THEN 'lots' ELSE 'few' END AS shown, CAST(least(n, 7) AS DOUBLE) ^ 2 + n % 10 AS made FROM (SELECT count(*) AS n FROM orders)")
+def batch_script(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts, truth values and functions over the summary of an operation."""
+    n = {"n": "o.summary"}
+    made = [("many", "n > 100 && !(n % 2 == 1)"), ("shown", 'str::to_uppercase("orders") + ": " + if(n > 10, "lots", "few")'), ("made", "min(n, 7) ^ 2 + n % 10")]
+    op = BatchOp("b", ("o",), tuple(spec.Computed(name, text, n, "script") for name, text in made), "computed_only")
+    return Batch(op, {"o": ReadOp("orders", aggregations=(Aggregation("Count"),))}, catalog(spark, folder)).result()
+
+
 @query("SELECT CAST(ceil(max(n) / 100.0) AS BIGINT) AS total_pages, CAST(sum(n) AS BIGINT) AS total_items FROM (SELECT count(*) AS n FROM orders UNION ALL SELECT count(*) FROM customer)")
 def batch_meta(spark: SparkSession, folder: str) -> DataFrame:
     """Pages and items over the operations of a batch."""

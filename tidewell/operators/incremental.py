@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import strip
@@ -48,6 +48,17 @@ def gtid_sets(text: Column) -> Column:
     return F.when(F.size(parts) > 0, F.transform(parts, one))
 
 
+def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """by, lo, hi: the union of ranges (by, lo, hi) of transaction numbers as the fewest ranges; neighbours become one.
+
+    Checkpoints are few and their ranges too; the ranges of one source are gone through in order.
+    """
+    w = Window.partitionBy(*by).orderBy("lo", "hi")
+    reached = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = ranges.filter(F.col("lo") <= F.col("hi")).withColumn("_new", F.coalesce(F.col("lo") > reached + 1, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*by, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
+
+
 #: The columns of the position table: one row for each change, whatever the number of its deliveries.
 POSITIONS = ["entity", "binlog_file", "binlog_pos", "row_no", "file_no", "source", "number"]
 ORDER = ["entity", "file_no", "binlog_pos", "row_no"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog import Catalog
 from tidewell.errors import SpecError
-from tidewell.functions import expressions
+from tidewell.functions import expressions, scripts
 from tidewell.params import scoped
 from tidewell.plans.compiler import Options, Plan
 from tidewell.spec import BatchOp, Operation, ReadOp
@@ -57,7 +57,7 @@ class Batch:
                     raise SpecError(f"'{field}' has no input '{name}'")
                 return F.coalesce(inputs[name], F.lit(0.0))
 
-            out[c.name] = expressions.to_column(expressions.parse(c.expression), value)
+            out[c.name] = scripts.to_column(c.expression, value) if c.language == "script" else expressions.to_column(expressions.parse(c.expression), value)
         return out
 
     def computed(self) -> DataFrame:

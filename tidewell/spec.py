@@ -194,9 +194,12 @@ class DeleteOp:
 
 @dataclass(frozen=True)
 class Computed:
+    """language: plain for that of columns (functions/expressions), script for the wider one (functions/scripts)."""
+
     name: str
     expression: str
     inputs: dict[str, str] = field(default_factory=dict)
+    language: str = "plain"
 
 
 @dataclass(frozen=True)
@@ -340,7 +343,7 @@ def operation_from(d: dict) -> Operation:
     if kind == "read":
         return read_from(p)
     if kind == "batch":
-        computed = tuple(Computed(_need(x, "name", "computed_fields"), _need(x, "expression", "computed_fields"), x.get("inputs") or {}) for x in _list(p.get("computed_fields")))
+        computed = tuple(Computed(_need(x, "name", "computed_fields"), _need(x, "expression", "computed_fields"), x.get("inputs") or {}, _one_of(x.get("language") or "plain", ("plain", "script"), "language")) for x in _list(p.get("computed_fields")))
         return BatchOp(_need(p, "name", "a batch"), tuple(_list(p.get("operations"))), computed, _one_of(p.get("response_mode") or "full", BATCH_MODES, "response mode"))
     head = (_need(p, "name", kind), p.get("entity", ""), _need(p, "table", kind))
     if kind == "insert":
