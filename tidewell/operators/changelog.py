@@ -186,8 +186,8 @@ class ChangeStore:
             dealt = F.pmod(F.xxhash64("entity", "tbl", "pk", "binlog_pos"), F.lit(runs)).cast("int")
             cut = F.when(F.col(arrival).isNull(), dealt).otherwise(functools.reduce(lambda a, b: a + b, [F.when(at > b, 1).otherwise(0) for b in bounds], F.lit(0)))
         rows = hashed(by_key(changes(feed.withColumn("run", cut + F.lit(first)), "run"))).withColumn("bucket", self._bucket())
-        parts = runs * self.buckets if runs < 4 else max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.buckets)
-        placed = rows.repartition(parts, "run", "bucket")
+        # a task for each bucket of each run: none gets two by chance
+        placed = rows.repartitionById(runs * self.buckets, ((F.col("run") - first) * self.buckets + F.col("bucket")).cast("int"))
         self._write(newest(cells(placed, "run", "bucket", HASH), "run", "bucket"))
         added = list(range(first, first + runs))
         self._commit([*self.runs(), *added], added[-1])
