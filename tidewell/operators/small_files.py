@@ -29,8 +29,8 @@ FORMATS = ("parquet", "orc", "text")
 #: Records of one segment that write_segments puts into one file, and files of a table for one of its tasks.
 PART, TASK_FILES = 1000, 4096
 KEY_LENGTH = 16
-#: On a local disk, files without the checksum files that Hadoop puts beside each. Other file systems don't look at this.
-BARE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Files of lines are compressed and, on a local disk, written without the checksum files that Hadoop puts beside each.
+SCRATCH = {"compression": "gzip", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def plain_path(path: Column) -> Column:
@@ -84,7 +84,7 @@ def write_segments(manifests: DataFrame, rows: DataFrame, path: str, groups: int
     near = listed_records(manifests, rows.filter(first)).withColumn("part", F.lit(0))
     far = listed_records(manifests, rows.filter(~F.coalesce(first, F.lit(False)))).withColumn("part", F.coalesce(F.floor(F.col("row_no") / PART), none).cast("int"))
     files = _files(near, groups).unionByName(_files(far.repartition(*TABLE, "segment_path", "part"), groups))
-    files.write.partitionBy("g").option("maxRecordsPerFile", 1).options(**BARE).text(path)
+    files.write.partitionBy("g").option("maxRecordsPerFile", 1).options(**SCRATCH).text(path)
 
 
 class LossError(RuntimeError):
@@ -184,7 +184,7 @@ def compact_segments(manifests: DataFrame, rows: DataFrame, path: str, full: int
     if not folders:
         return spark.createDataFrame([], f"{RECORD_TYPE}, out_path string"), {"files_before": 0, "files_after": 0, "records": 0}
     # a line starts with the key of its table
-    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"table": F.substring("value", 3, KEY_LENGTH)}, {**BARE, "compression": "gzip"})
+    done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"table": F.substring("value", 3, KEY_LENGTH)}, SCRATCH)
     back = packed_session(spark, file_bytes, open_cost).read.option("recursiveFileLookup", "true").text(out)
     return read_records(back, F.col("_metadata.file_path").alias("out_path")), done
 
