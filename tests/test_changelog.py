@@ -140,3 +140,12 @@ def test_an_append_that_dies_before_its_commit_leaves_no_trace(spark, monkeypatc
     assert {r[2] for r in found(store.read())} == {"1", "3"} == {r[2] for r in found(changelog.ChangeStore(spark, store.path).read())}
     assert store.vacuum() == [1, 2] and store.compact() == 4 and store.vacuum() == [0, 3]
     assert {r[2] for r in found(store.read())} == {"1", "3"}
+
+
+def test_an_append_shuffles_once(spark, monkeypatch):
+    store = changelog.ChangeStore(spark, shared.scratch_path(spark, "t"), 3)
+    seen = []
+    write = store._write
+    monkeypatch.setattr(store, "_write", lambda df: seen.append(df) or write(df))
+    store.append(feed_of(spark, random_changes(50, 1)), 2, "delivery_id")
+    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -187,8 +187,9 @@ class ChangeStore:
             cut = F.when(F.col(arrival).isNull(), dealt).otherwise(functools.reduce(lambda a, b: a + b, [F.when(at > b, 1).otherwise(0) for b in bounds], F.lit(0)))
         rows = hashed(by_key(changes(feed.withColumn("run", cut + F.lit(first)), "run"))).withColumn("bucket", self._bucket())
         # a task for each bucket of each run: none gets two by chance
-        placed = rows.repartitionById(runs * self.buckets, ((F.col("run") - first) * self.buckets + F.col("bucket")).cast("int"))
-        self._write(newest(cells(placed, "run", "bucket", HASH), "run", "bucket"))
+        slot = ((F.col("run") - first) * self.buckets + F.col("bucket")).cast("int")
+        placed = rows.withColumn("slot", slot).repartitionById(runs * self.buckets, F.col("slot"))
+        self._write(newest(cells(placed, "slot", "run", HASH), "slot", "run"))
         added = list(range(first, first + runs))
         self._commit([*self.runs(), *added], added[-1])
         return added
