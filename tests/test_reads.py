@@ -8,6 +8,7 @@ from tidewell import spec
 from tidewell.cache import ResponseCache
 from tidewell.catalog import Catalog, normalised
 from tidewell.errors import AccessDenied, SpecError
+from tidewell.gate import Busy, Gate
 from tidewell.plans import shaping
 from tidewell.plans.batches import Batch
 from tidewell.plans.compiler import WHOLE, Options, Plan
@@ -256,6 +257,21 @@ def test_guard_and_messages(tables):
     assert list(shaping.messages(Plan(read(limit=0, select=s("id")), tables)))[1:] == []
 
 
+def test_gate(tables):
+    j = Join("r", (JoinOn("l.k", "r.k"),), "Inner", "r")
+    join, plain = Plan(read(joins=(j,), select=(Select("l.id", None, "id"),)), tables), Plan(read(select=s("id")), tables)
+    gate = Gate(queries=2, joins=1, wait=0.05)
+    with gate.open(join) as p:
+        assert p.data.count() == 5
+        with pytest.raises(Busy):
+            gate.open(join).__enter__()
+        with gate.open(plain):
+            with pytest.raises(Busy):
+                gate.open(plain).__enter__()
+    with gate.open(join), gate.open(plain):
+        pass
+
+
 def test_any_number_of_keys_may_share_a_prefix(spark):
     tokens = [f"tok_live_000{i:05d}" for i in range(300)]
     df = spark.createDataFrame([(t,) for t in tokens], "token string").select(F.substring("token", 10, 8).cast("long").alias("user_id"), F.substring("token", 1, 12).alias("prefix"), F.sha2("token", 256).alias("key_sha256"))
