@@ -67,7 +67,7 @@ def _files(records: DataFrame, groups: int) -> DataFrame:
     g = F.pmod(F.xxhash64(*TABLE, F.pmod(F.xxhash64("segment_path", "part"), "spread")), F.lit(groups)).cast("int")
     line = F.to_json(F.array(F.lpad(F.hex(F.xxhash64(*TABLE)), KEY_LENGTH, "0"), *[F.col(c).cast("string") for c in RECORD]))
     keyed = records.select(g.alias("g"), *TABLE, "segment_path", "part", line.alias("line"))
-    return keyed.groupBy(*TABLE, "segment_path", "part", "g").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("value")).select("g", "value")
+    return keyed.groupBy(*TABLE, "segment_path", "part", "g").agg(F.array_join(F.collect_set("line"), "\n").alias("value")).select("g", "value")
 
 
 def write_segments(manifests: DataFrame, rows: DataFrame, path: str, groups: int) -> None:
@@ -82,7 +82,7 @@ def write_segments(manifests: DataFrame, rows: DataFrame, path: str, groups: int
     none = -1 - F.pmod(F.xxhash64("rec_key", "row_json"), F.lit(64))
     first = F.col("row_no") < PART
     near = listed_records(manifests, rows.filter(first)).withColumn("part", F.lit(0))
-    far = listed_records(manifests, rows.filter(~F.coalesce(first, F.lit(False)))).withColumn("part", F.coalesce(F.floor(F.col("row_no") / PART), none).cast("int"))
+    far = listed_records(manifests, rows.filter((F.col("row_no") >= PART) | F.col("row_no").isNull())).withColumn("part", F.coalesce(F.floor(F.col("row_no") / PART), none).cast("int"))
     files = _files(near, groups).unionByName(_files(far.repartition(*TABLE, "segment_path", "part"), groups))
     files.write.partitionBy("g").option("maxRecordsPerFile", 1).options(**SCRATCH).text(path)
 
@@ -185,6 +185,7 @@ def compact_segments(manifests: DataFrame, rows: DataFrame, path: str, full: int
         return spark.createDataFrame([], f"{RECORD_TYPE}, out_path string"), {"files_before": 0, "files_after": 0, "records": 0}
     # a line starts with the key of its table
     done = compact_directory(spark, source, out, file_bytes, open_cost, "text", folders, full, {"table": F.substring("value", 3, KEY_LENGTH)}, SCRATCH)
+    shared.delete(spark, source)  # the new files stand for them
     back = packed_session(spark, file_bytes, open_cost).read.option("recursiveFileLookup", "true").text(out)
     return read_records(back, F.col("_metadata.file_path").alias("out_path")), done
 
