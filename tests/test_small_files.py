@@ -1,6 +1,10 @@
 import datetime
+import gzip
 import os
+import time
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +58,68 @@ def test_a_file_is_one_segment_or_part_of_a_large_one(spark, monkeypatch):
     assert len(by_file) == 203 and all(len(x["p"]) == 1 for x in by_file) and sorted(x["n"] for x in by_file) == [3] * 200 + [50, 100, 100]
 
 
+def test_shuffles_of_the_layout_go_with_it(spark):
+    rows = [(f"s/{f}", i) for f in range(20) for i in range(50)]
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, path, was = held(), shared.scratch_path(spark, "w"), dict(spark.conf.getAll)
+    small_files.write_segments(*tables(spark, [(1, sorted({p for p, _ in rows}))], rows), path, 3)
+    end = time.time() + 10
+    while held() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not held() - before and dict(spark.conf.getAll) == was
+
+
+def test_any_text_is_read_back_as_it_was(spark):
+    texts = ["", "\\", "\\N", "\\0", "\\1", "\\\\1", "a\tb", "\n", "\r\n", "\\t", "0\\", "\\\t0", None, "é\x85\u2028", "\\\\N", '{"a": "x\\n"}']
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", small_files.escaped(F.col("x")).alias("e"))
+    got = df.select("x", "e", small_files.unescaped(F.col("e")).alias("u")).collect()
+    assert all(r["x"] == r["u"] and not set("\t\n\r") & set(r["e"]) for r in got) and len({r["e"] for r in got}) == len(texts)
+    m, r = tables(spark, [(1, [f"s/{i}" for i in range(len(texts))])], [(f"s/{i}", i) for i in range(len(texts))])
+    r = r.drop("rec_key", "row_json").join(spark.createDataFrame([(i, x, x) for i, x in enumerate(texts)], "row_no int, rec_key string, row_json string"), "row_no")
+    out, _ = small_files.compact_segments(m, r, shared.scratch_path(spark, "t"))
+    assert {(x["row_no"], x["rec_key"], x["row_json"]) for x in out.collect()} == {(i, x, x) for i, x in enumerate(texts)}
+
+
+def test_files_off_a_local_disk_hold_the_same(spark, monkeypatch):
+    rows = [(f"s/{f}", i) for f in range(9) for i in range(f)] + [("s/1", None)]
+    made = []
+    for local in (True, False):
+        if not local:
+            monkeypatch.setattr(shared, "local_path", lambda *_: None)
+        path = shared.scratch_path(spark, "w")
+        small_files.write_segments(*tables(spark, [(1, [f"s/{f}" for f in range(9)])], rows), path, 3)
+        made.append(sorted((f.parent.name, gzip.decompress(f.read_bytes())) for f in Path(path.removeprefix("file://")).glob("g=*/*.gz")))
+    assert made[0] == made[1] and len(made[0]) == 9 and all(v.endswith(b"\n") for _, v in made[0])
+
+
+def test_a_second_attempt_changes_nothing(spark, tmp_path):
+    batch = pa.RecordBatch.from_pydict({"g": pa.array([0, 1], pa.int32()), "name": ["a", "b"], "value": [b"x\ny", "é".encode()]})
+    assert [b["n"].to_pylist() for _ in range(2) for b in small_files._on_disk(str(tmp_path))(iter([batch]))] == [[2], [2]]
+    assert {str(f.relative_to(tmp_path)): gzip.decompress(f.read_bytes()).decode() for f in tmp_path.rglob("*") if f.is_file()} == {"g=0/a.txt.gz": "x\ny\n", "g=1/b.txt.gz": "é\n"}
+
+
+def test_lines_of_files_read_whole(spark, tmp_path, monkeypatch):
+    for i, text in enumerate(["", "\n", "a", "a\n", "a\n\n", "\né\n b ", "c\n" * 500]):
+        (tmp_path / f"{i}.txt").write_text(text)
+        (tmp_path / f"{i}.txt.gz").write_bytes(gzip.compress(text.encode()))
+    r = spark.read.option("recursiveFileLookup", "true")
+    name = F.col("_metadata.file_name").alias("f")
+    want = sorted(tuple(x) for x in r.text(str(tmp_path)).select("value", name).collect())
+    whole = small_files.lines_of(r.format("binaryFile").load(str(tmp_path)), name)
+    assert sorted(tuple(x) for x in whole.collect()) == want and len(want) == 1016
+    batch = pa.RecordBatch.from_pydict({"content": [f"{i}\n{i}".encode() for i in range(9)], "path": [str(i) for i in range(9)], "f": list(range(9))})
+    monkeypatch.setattr(small_files, "LINES_BYTES", 4)
+    made = list(small_files._split(iter([batch])))
+    assert len(made) == 5 and [(int(v), f) for b in made for v, f in zip(b["value"].to_pylist(), b["f"].to_pylist(), strict=True)] == [(i, i) for i in range(9) for _ in "ab"]
+    with pytest.raises(ValueError):
+        list(small_files._split(iter([pa.RecordBatch.from_pydict({"content": [b""], "path": ["7.txt.bz2"]})])))
+
+
 def written(spark, path, n=1000, files=60):
     df = spark.range(n).withColumn("v", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")))
     df = df.union(df.limit(3))

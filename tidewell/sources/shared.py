@@ -7,9 +7,11 @@ local disk, HDFS or an object store.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -60,6 +62,18 @@ def _drop_tables() -> None:
             return
 
 
+@contextlib.contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go at its end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def kept(df, name: str):
     """df as a table in the shared folder, without its lineage: what is used more than once, or must not change between uses."""
     path = scratch_path(df.sparkSession, name)
@@ -80,6 +94,12 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system has it, if it is one of a local disk."""
+    fs, p = _path(spark, path)
+    return p.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _path(spark, path)
     return fs.exists(p)
